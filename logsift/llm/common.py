@@ -19,15 +19,15 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Text bytes that a task works on at once.
 CHUNK_BYTES = 4 << 20
 ARROW_ROWS = 1000
-M64 = (1 << 64) - 1
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="logsift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _own[:] = _own or [tempfile.mkdtemp(prefix="logsift-")]
+        root = _own[0]
     return root.rstrip("/")
 
 
