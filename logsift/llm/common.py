@@ -168,3 +168,59 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
 def bounds_of(owner: np.ndarray, n: int) -> np.ndarray:
     """Where each of n owners' entries start in a sorted owner array, with the end of the last."""
     return np.searchsorted(owner, np.arange(n + 1))
+
+
+POSTINGS = "bucket int, base long, keys binary, docs binary"
+#: Buckets for each shuffle partition, so that a task holds one bucket at a time.
+BUCKETS_EACH = 8
+KEY_BYTES = 6
+
+
+def postings(keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of POSTINGS for 64-bit keys and the row key of the document of each, by bucket."""
+    if not len(keys):
+        return pa.RecordBatch.from_pylist([], schema=_POSTINGS)
+    bucket = ((keys >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    keys, docs, bucket = keys[order], docs[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
+    base = int(docs.min())
+    small = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+    near = (docs - base).astype("<u4" if int(docs.max()) - base < 1 << 32 else "<i8")
+    rows = range(len(starts))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([base] * len(starts), pa.int64()), pa.array([small[starts[i] : stops[i]].tobytes() for i in rows], pa.binary()), pa.array([near[starts[i] : stops[i]].tobytes() for i in rows], pa.binary())], schema=_POSTINGS)
+
+
+_POSTINGS = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and row keys of each bucket in turn; rows come sorted by bucket."""
+    at, keys, docs = None, [], []
+    for batch in batches:
+        for bucket, base, k, d in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "keys", "docs")), strict=True):
+            if bucket != at and keys:
+                yield np.concatenate(keys), np.concatenate(docs)
+                keys, docs = [], []
+            at = bucket
+            n = len(k) // KEY_BYTES
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(n, KEY_BYTES)
+            keys.append(wide.view("<u8").ravel())
+            docs.append(np.frombuffer(d, "<u4" if len(d) == 4 * n else "<i8").astype(np.int64) + base)
+    if keys:
+        yield np.concatenate(keys), np.concatenate(docs)
+
+
+def dealt(rows: DataFrame, column: str = "bucket") -> DataFrame:
+    """rows with all of a bucket in one task, sorted by bucket."""
+    return rows.repartition(partitions(rows.sparkSession), column).sortWithinPartitions(column)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join of left, where a key may hold any share of the rows, to right, where it stands once."""
+    cols = [F.col(c) for c in left.columns]
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copied, [key, "_salt"], how).drop("_salt")
