@@ -18,6 +18,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Bits of a part of the sketch.
 PART_BITS = 1 << 20
+#: Bits of a whole sketch for each shingle, at least.
+BITS_EACH = 4
+#: Row keys that are broadcast at most (8 bytes each).
+BROADCAST_KEYS = 500_000
 SMALLEST = 4  # smaller sets link with equal ones only
 
 
@@ -94,17 +98,33 @@ def sketch_keys(hashes: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tu
     return np.concatenate(keys), np.concatenate(docs)
 
 
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, odd or even; the length is a power of two that grows with the set."""
+    size = 64 << max(0, (BITS_EACH * len(hashes) // 64).bit_length())
+    at = (mix(hashes ^ np.uint64(3)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two parity sketches, the longer one folded to the shorter one's length."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_facts(docs: DataFrame) -> DataFrame:
-    """_rid, n (set size) and two sums that tell sets apart, of every row of docs (_rid, text)."""
+    """_rid, n (set size), two sums that tell sets apart, and the parity sketch, of every row of docs (_rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, bounds = shingle_sets(part.column("text"))
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(k)), dtype=np.uint64))) for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column("_rid"), pa.array(np.diff(bounds).astype(np.int64)), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums)], names=["_rid", "n", "h1", "h2"])
+                sketch = pa.array([parity_sketch(hashes[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("_rid"), pa.array(np.diff(bounds).astype(np.int64)), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums), sketch], names=["_rid", "n", "h1", "h2", "sketch"])
 
-    return docs.select("_rid", "text").mapInArrow(run, "_rid long, n long, h1 long, h2 long")
+    return docs.select("_rid", "text").mapInArrow(run, "_rid long, n long, h1 long, h2 long, sketch binary")
 
 
 def sketches(docs: DataFrame, buckets: int) -> DataFrame:
@@ -157,12 +177,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("_rid"), pa.array([hashes[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["_rid", "set"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets link."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_rid")).distinct()
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches are no farther apart than linked sets' may be."""
+    for batch in batches:
+        na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        most = (na + nb) * (100 - PERCENT) // (100 + PERCENT)
+        fit = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+        keep = [bool(f) and sketch_distance(x.as_py(), y.as_py()) <= m for f, m, x, y in zip(fit, most, batch.column("sketch_a"), batch.column("sketch_b"), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: first their sketches are compared, then, if those are near, the whole sets."""
+    side = lambda k, cols: [F.col("_rid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols)]
+    left = salted_join(pairs, facts.select(*side("a", ("n", "sketch"))), "a")
+    both = left.join(facts.select(*side("b", ("n", "sketch"))), "b")
+    near = materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long"))
+    needed = materialize(near.select(F.explode(F.array("a", "b")).alias("_rid")).distinct())
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
     sets = materialize(docs.select("_rid", "text").join(needed, "_rid", "left_semi").mapInArrow(_sets, "_rid long, set binary"))
-    left = salted_join(pairs, sets.select(F.col("_rid").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("_rid").alias("b"), F.col("set").alias("set_b")), "b")
+    left = salted_join(near, sets.select(*side("a", ("set",))), "a")
+    both = left.join(sets.select(*side("b", ("set",))), "b")
     return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
 
 
@@ -206,7 +241,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     pairs = represented(represented(met.where("kind = 0").select("a", "b").distinct(), "a"), "b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    links = verified(pairs, docs)
+    links = verified(pairs, facts, docs)
     labels = materialize(components(links))
     # groups whose documents aren't all in one component yet: all their pairs across components
     sizes = facts.select(F.col("_rid").alias("b"), "n")
@@ -217,9 +252,9 @@ def classes(docs: DataFrame) -> DataFrame:
     across = left.join(rest, "key").where(f"a < b and la <> label and 100 * least(na, n) >= {PERCENT} * greatest(na, n)").select("a", "b").distinct()
     across = materialize(across.join(pairs, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        links = links.unionByName(verified(across, docs))
+        links = links.unionByName(verified(across, facts, docs))
     labels = components(links.unionByName(same.select(F.col("rep").alias("a"), F.col("_rid").alias("b"))))
-    return facts.join(labels, "_rid", "left").select("_rid", F.col("n").alias("n_shingles"), F.coalesce("label", "_rid").alias("label"))
+    return facts.select("_rid", "n").join(labels, "_rid", "left").select("_rid", F.col("n").alias("n_shingles"), F.coalesce("label", "_rid").alias("label"))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
