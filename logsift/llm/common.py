@@ -17,8 +17,8 @@ SPACE_RE = "[ \\t-\\r]+"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Text bytes that a task works on at once.
-CHUNK_BYTES = 4 << 20
-ARROW_ROWS = 1000
+CHUNK_BYTES = 1 << 20
+ARROW_ROWS = 256
 _own: list[str] = []
 
 
@@ -172,7 +172,7 @@ def bounds_of(owner: np.ndarray, n: int) -> np.ndarray:
 
 POSTINGS = "bucket int, base long, keys binary, docs binary"
 #: Buckets for each shuffle partition, so that a task holds one bucket at a time.
-BUCKETS_EACH = 8
+BUCKETS_EACH = 4
 KEY_BYTES = 6
 
 

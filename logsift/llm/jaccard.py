@@ -20,8 +20,14 @@ PERCENT = 80
 PART_BITS = 1 << 20
 #: Bits of a whole sketch for each shingle, at least.
 BITS_EACH = 4
+#: Documents of a group that are compared at once with as many others.
+GROUP_ROWS = 2048
+#: Bytes of sketches that are broadcast at most.
+BROADCAST_SKETCHES = 32 << 20
 #: Row keys that are broadcast at most (8 bytes each).
 BROADCAST_KEYS = 500_000
+LOOK_ROWS = 8192
+COMMON = 4
 SMALLEST = 4  # smaller sets link with equal ones only
 
 
@@ -58,16 +64,41 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
     return hashes[new], bounds_of(whose[new], n)
 
 
-def sketch_keys(hashes: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def is_in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted table."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def _odd_parts(x: np.ndarray, owner: np.ndarray, parts: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts (text * parts + part) with an odd bit, their odd bits as one number, and each text's parts without."""
+    cell = owner * parts + (x % np.uint64(parts)).astype(np.int64)
+    code = mix((x >> np.uint64(40)) % np.uint64(PART_BITS) + np.uint64(1))  # the exclusive or of the odd bits' codes
+    order = np.argsort(cell, kind="stable")
+    cell, code = cell[order], code[order]
+    at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+    odd = np.bitwise_xor.reduceat(code, at) if len(at) else np.zeros(0, np.uint64)
+    cell, odd = cell[at][odd != 0], odd[odd != 0]
+    return cell, odd, parts - np.bincount(cell // parts, minlength=texts)
+
+
+def sketch_keys(hashes: np.ndarray, bounds: np.ndarray, which: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sketch parts of the texts in which, and the text of each.
 
-    In a band with sets of at most s shingles, linked sets differ in d = 2 s / 9 at most, so of p parts at least p - d
-    are equal. Parts without an odd bit are left out for texts with fewer than p - d such parts, as an equal part with
-    an odd bit remains; other texts give those too.
+    In a band with sets of at most s shingles, linked sets differ in d = 2 s / 9 at most, and so do they without their
+    common shingles; of p parts at least p - d are equal. If a text has fewer than p - d parts without an odd bit, an equal
+    part with one remains, so such parts needn't meet. A text that has more of them gives the parts of its whole set too,
+    and if it has too many of those, also the parts without an odd bit: two such texts meet there.
     """
     sizes = np.diff(bounds)
     floors = band_floors(int(sizes.max(initial=0)) * 2 + 8)
-    keys, docs = [], []
+    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def give(band: int, parts: int, whole: int, texts: np.ndarray, cell: np.ndarray, odd: np.ndarray) -> None:
+        keys.append(mix(odd ^ mix((cell % parts).astype(np.uint64) + np.uint64((2 * band + whole) << 40) + np.uint64(1))))
+        docs.append(texts[cell // parts])
+
     for b in range(len(floors) - 1):
         low, high = floors[b], floors[b + 1] - 1
         chosen = which[(sizes[which] <= high) & (100 * sizes[which] >= PERCENT * low) & (sizes[which] >= SMALLEST)]
@@ -77,27 +108,42 @@ def sketch_keys(hashes: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tu
         parts = differ + 1 + max(2, -(-differ // 5))
         x = np.concatenate([hashes[bounds[i] : bounds[i + 1]] for i in chosen])
         owner = np.repeat(np.arange(len(chosen)), sizes[chosen])
+        rare = ~is_in(x, common)
         x = mix(x ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        cell = owner * parts + (x % np.uint64(parts)).astype(np.int64)
-        bit = (x >> np.uint64(40)) % np.uint64(PART_BITS)
-        code = mix(bit + np.uint64(1))  # a part's odd bits as one number: the exclusive or of the bits' codes
-        order = np.argsort(cell, kind="stable")
-        cell, code = cell[order], code[order]
-        at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        odd = np.bitwise_xor.reduceat(code, at)
-        cell, odd = cell[at][odd != 0], odd[odd != 0]
-        even = parts - np.bincount(cell // parts, minlength=len(chosen))
-        weak = np.flatnonzero(even >= parts - differ)
-        if len(weak):
-            blank = np.setdiff1d((weak[:, None] * parts + np.arange(parts)).ravel(), cell, assume_unique=True)
-            cell, odd = np.concatenate((cell, blank)), np.concatenate((odd, np.zeros(len(blank), np.uint64)))
-        keys.append(mix(odd ^ mix((cell % parts).astype(np.uint64) + np.uint64(b << 40) + np.uint64(1))))
-        docs.append(chosen[cell // parts])
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        cell, odd, even = _odd_parts(x[rare], owner[rare], parts, len(chosen))
+        give(b, parts, 0, chosen, cell, odd)
+        weak = even >= parts - differ
+        if weak.any():
+            mine = weak[owner]
+            cell, odd, even = _odd_parts(x[mine], (np.cumsum(weak) - 1)[owner[mine]], parts, int(weak.sum()))
+            give(b, parts, 1, chosen[weak], cell, odd)
+            bare = np.flatnonzero(even >= parts - differ)
+            blank = np.setdiff1d((bare[:, None] * parts + np.arange(parts)).ravel(), cell, assume_unique=True)
+            give(b, parts, 1, chosen[weak], blank, np.zeros(len(blank), np.uint64))
     return np.concatenate(keys), np.concatenate(docs)
 
 
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted shingles that stand in COMMON or more of about LOOK_ROWS texts, chosen by a hash of the row key.
+
+    They only choose which parts meet: links don't depend on them. There are at most LOOK_ROWS / COMMON for each shingle
+    of a mean text.
+    """
+    n = docs.count()
+    look = docs.where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 20)) < int(min(1.0, LOOK_ROWS / max(1, n)) * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, bounds = shingle_sets(part.column("text"))
+                sets = {hashes[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)}
+                keys, counts = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+
+    counts = look.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int64).view(np.uint64))
+
+
 def parity_sketch(hashes: np.ndarray) -> bytes:
     """A bit for each residue of the hashes, odd or even; the length is a power of two that grows with the set."""
     size = 64 << max(0, (BITS_EACH * len(hashes) // 64).bit_length())
@@ -127,8 +173,9 @@ def set_facts(docs: DataFrame) -> DataFrame:
     return docs.select("_rid", "text").mapInArrow(run, "_rid long, n long, h1 long, h2 long, sketch binary")
 
 
-def sketches(docs: DataFrame, buckets: int) -> DataFrame:
+def sketches(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
     """Postings of the sketch parts of every row of docs (_rid, text); of equal sets in a run of rows one gives them."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +186,7 @@ def sketches(docs: DataFrame, buckets: int) -> DataFrame:
                 kind = np.stack((np.diff(bounds).astype(np.uint64), sums[bounds[1:]] - sums[bounds[:-1]]), 1)
                 order = np.argsort(rid, kind="stable")
                 _, first = np.unique(kind[order], axis=0, return_index=True)
-                keys, at = sketch_keys(hashes, bounds, np.sort(order[first]))
+                keys, at = sketch_keys(hashes, bounds, np.sort(order[first]), shared.value)
                 yield postings(keys, rid[at], buckets)
 
     return docs.select("_rid", "text").mapInArrow(run, POSTINGS)
@@ -187,20 +234,93 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: first their sketches are compared, then, if those are near, the whole sets."""
-    side = lambda k, cols: [F.col("_rid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols)]
-    left = salted_join(pairs, facts.select(*side("a", ("n", "sketch"))), "a")
-    both = left.join(facts.select(*side("b", ("n", "sketch"))), "b")
-    near = materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long"))
+def _side(k: str, cols: tuple[str, ...]) -> list:
+    return [F.col("_rid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols)]
+
+
+def near_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are near."""
+    left = salted_join(pairs, facts.select(*_side("a", ("n", "sketch"))), "a")
+    both = left.join(facts.select(*_side("b", ("n", "sketch"))), "b")
+    return materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long"))
+
+
+def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets link."""
     needed = materialize(near.select(F.explode(F.array("a", "b")).alias("_rid")).distinct())
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
     sets = materialize(docs.select("_rid", "text").join(needed, "_rid", "left_semi").mapInArrow(_sets, "_rid long, set binary"))
-    left = salted_join(near, sets.select(*side("a", ("set",))), "a")
-    both = left.join(sets.select(*side("b", ("set",))), "b")
+    left = salted_join(near, sets.select(*_side("a", ("set",))), "a")
+    both = left.join(sets.select(*_side("b", ("set",))), "b")
     return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
 
 
+def _near_across(rid: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: list[bytes], side: np.ndarray | None) -> np.ndarray:
+    """Pairs of documents with different labels whose sketches are near; side: which of two blocks each is in."""
+    words = np.array([len(x) // 8 for x in sketch])
+    classes = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+    bits = {w: np.stack([np.frombuffer(sketch[i], np.uint64) for i in at]) for w, at in classes.items()}
+    found = []
+    for u, at in classes.items():
+        for v, bt in classes.items():
+            if v < u:
+                continue
+            x, y = bits[u], bits[v]
+            while y.shape[1] > u:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            step = max(1, (1 << 20) // max(1, y.size))
+            for i in range(0, len(at), step):
+                k = at[i : i + step]
+                far = np.bitwise_count(x[i : i + step, None, :] ^ y[None]).sum(2, dtype=np.int64)
+                both, least = n[k][:, None] + n[bt][None], np.minimum(n[k][:, None], n[bt][None])
+                fit = (far <= both * (100 - PERCENT) // (100 + PERCENT)) & (100 * least >= PERCENT * (both - least)) & (label[k][:, None] != label[bt][None])
+                if side is not None:
+                    fit &= side[k][:, None] != side[bt][None]
+                p, q = np.nonzero(fit)
+                found.append(np.stack((rid[k[p]], rid[bt[q]]), 1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near pairs across labels within each group; rows come sorted by key, lo and hi."""
+
+    def give(rows: list[tuple]) -> pa.RecordBatch:
+        rid, label, n, side = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 7))
+        pairs = _near_across(rid, label, n, [r[6] for r in rows], side if rows[0][1] != rows[0][2] else None)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "b", "label", "n", "sketch", "side")), strict=True):
+            if held and held[-1][:3] != row[:3]:
+                yield give(held)
+                held = []
+            held.append(row)
+    if held:
+        yield give(held)
+
+
+def near_across(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Near pairs of documents that share a key and have different labels; members: key, b, label, each once.
+
+    Groups are cut to blocks of GROUP_ROWS, and two blocks at a time meet in a task. Sketches are broadcast if they are
+    small, else joined.
+    """
+    groups = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
+    rest = salted_join(members, groups.select("key", F.ceil(F.col("k") / GROUP_ROWS).cast("int").alias("nb")), "key")
+    cells = rest.withColumn("side", F.pmod(F.xxhash64("b"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = materialize(cells.select("key", "b", "label", "side", F.least("side", "j").alias("lo"), F.greatest("side", "j").alias("hi")))
+    facts = materialize(facts.join(cells.select(F.col("b").alias("_rid")).distinct(), "_rid", "left_semi").select(F.col("_rid").alias("b"), "n", "sketch"))
+    size, order = facts.agg(F.sum(F.length("sketch"))).first()[0] or 0, ["key", "lo", "hi"]
+    parts = partitions(members.sparkSession)
+    if size <= BROADCAST_SKETCHES:
+        rows = cells.repartition(parts, *order).sortWithinPartitions(*order).join(F.broadcast(facts), "b")
+    else:
+        rows = cells.join(facts, "b").repartition(parts, *order).sortWithinPartitions(*order)
+    return materialize(rows.select(*order, "b", "label", "n", "sketch", "side").mapInArrow(_across, "a long, b long")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """_rid and the smallest row key that links (a, b) reach from it, for every row key in a link.
 
@@ -233,7 +353,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # equal sets link; every other link is looked for between the first ones of equal sets
     same = materialize(facts.where("n > 0").withColumn("_salt", salt).join(copied, ["n", "h1", "h2", "_salt"]).where("_rid > rep").select("_rid", "rep"))
     buckets = BUCKETS_EACH * partitions(spark)
-    met = materialize(dealt(sketches(docs, buckets)).mapInArrow(_meet, "kind int, a long, b long"))
+    met = materialize(dealt(sketches(docs, buckets, common_shingles(docs))).mapInArrow(_meet, "kind int, a long, b long"))
 
     def represented(rows: DataFrame, column: str) -> DataFrame:
         to = same.select(F.col("_rid").alias(column), "rep")
@@ -241,18 +361,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     pairs = represented(represented(met.where("kind = 0").select("a", "b").distinct(), "a"), "b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    links = verified(pairs, facts, docs)
+    facts = facts.drop("h1", "h2")
+    links = verified(near_pairs(pairs, facts), docs)
     labels = materialize(components(links))
     # groups whose documents aren't all in one component yet: all their pairs across components
-    sizes = facts.select(F.col("_rid").alias("b"), "n")
     members = represented(met.where("kind = 1").select(F.col("a").alias("key"), "b"), "b").join(labels.select(F.col("_rid").alias("b"), "label"), "b", "left").select("key", "b", F.coalesce("label", "b").alias("label"))
-    open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = materialize(salted_join(members.distinct(), open_, "key").join(sizes, "b"))
-    left = rest.select("key", F.col("b").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    across = left.join(rest, "key").where(f"a < b and la <> label and 100 * least(na, n) >= {PERCENT} * greatest(na, n)").select("a", "b").distinct()
-    across = materialize(across.join(pairs, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        links = links.unionByName(verified(across, facts, docs))
+    near = near_across(materialize(members.distinct()), facts)
+    links = links.unionByName(verified(near, docs))
     labels = components(links.unionByName(same.select(F.col("rep").alias("a"), F.col("_rid").alias("b"))))
     return facts.select("_rid", "n").join(labels, "_rid", "left").select("_rid", F.col("n").alias("n_shingles"), F.coalesce("label", "_rid").alias("label"))
 

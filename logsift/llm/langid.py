@@ -22,7 +22,7 @@ TOP_GRAMS = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Log of the weight that a step to shorter n-grams costs.
 BACKOFF = math.log(0.4)
-CACHE = 400_000
+CACHE = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 

@@ -22,7 +22,7 @@ from .common import BUCKETS_EACH, BYTE_CODE, POSTINGS, by_bucket, dealt, materia
 #: These only choose how windows meet, not which; at most 1 / COMMON anchors for each one of a mean document are common.
 LOOK_ROWS = 4096
 COMMON = 0.01
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 MASK48 = np.uint64((1 << 48) - 1)
 META = np.dtype([("key", "<u8"), ("rid", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("size", "<i4")])
 SNIPPETS = "bucket int, meta binary, body binary"

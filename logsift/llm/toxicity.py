@@ -21,7 +21,7 @@ PREFIXES = (4, 5, 6, 7)
 #: Least log likelihood ratio by which a feature's toxic rate is above the base rate.
 EVIDENCE = 14.0
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 100_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
