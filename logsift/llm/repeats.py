@@ -3,13 +3,14 @@
 Every window of `width` tokens has one anchor: its `gram`-token run with the least hash, the first of equals. Equal
 windows have equal anchors, so only anchors are exchanged: those found twice give their stretches of windows as
 snippets, which meet by anchor. An anchor that stands in very many documents would bring too many snippets together;
-its windows meet by their own hash instead. Of equal snippets in a run of rows only the first is sent.
+its windows meet by their own hash instead. A snippet that stands earlier among the rows of its task isn't sent again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import BUCKETS_EACH, BYTE_CODE, POSTINGS, by_bucket, dealt, materia
 LOOK_ROWS = 4096
 COMMON = 0.01
 CHUNK = 1 << 20
+#: Snippets of a task that are remembered at once, by digest; what is forgotten is sent again.
+SEEN = 500_000
 MASK48 = np.uint64((1 << 48) - 1)
 META = np.dtype([("key", "<u8"), ("rid", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("size", "<i4")])
 SNIPPETS = "bucket int, meta binary, body binary"
@@ -134,7 +137,7 @@ def _packed(meta: np.ndarray, bodies: list[bytes], buckets: int) -> pa.RecordBat
 
 
 def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
-    def pack(c: Chunk, rid: np.ndarray, known: list) -> pa.RecordBatch:
+    def pack(c: Chunk, rid: np.ndarray, known: list, seen: dict[bytes, tuple[int, int]]) -> pa.RecordBatch:
         a, b = c.stretches()
         keys, whose = c.grams[c.anchor[a]], c.owner[a]
         hot = np.isin(keys, common)
@@ -152,20 +155,26 @@ def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
             start, whose, count = start[at] + step, whose[at], np.where(hot[at], 1, count[at])
             keys = np.where(hot[at], (window_hashes(c.codes, kind.width) & MASK48)[start], keys[at])
         local = start - c.first[whose]
-        meta, bodies, seen = np.zeros(len(start), META), [], {}
+        meta, bodies = np.zeros(len(start), META), []
+        if len(seen) > SEEN:
+            seen.clear()
         for k, i in enumerate(np.lexsort((local, rid[whose])).tolist()):
-            body, r = c.body(int(start[i]), int(count[i]) + kind.width - 1), int(rid[whose[i]])
-            first = seen.setdefault((keys[i], body), (r, k))
-            if first[1] != k and (kind.again or first[0] != r):
-                body = b""  # all its windows stand earlier in this run of rows
-            meta[k] = (keys[i], r, local[i], count[i], len(body))
+            body, here = c.body(int(start[i]), int(count[i]) + kind.width - 1), (int(rid[whose[i]]), int(local[i]))
+            digest = blake2b(body, digest_size=16, key=int(keys[i]).to_bytes(8, "little")).digest()
+            first = seen.get(digest)
+            if first is None or here < first:
+                seen[digest] = here
+            elif first[0] != here[0] or (kind.again and first != here):
+                body = b""  # all its windows stand earlier in this task
+            meta[k] = (keys[i], *here, count[i], len(body))
             bodies.append(body)
         return _packed(meta, bodies, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             for part in slices(batch, limit=CHUNK):
-                yield pack(Chunk(part.column("text"), kind), part.column("_rid").to_numpy(), part.column("keys").to_pylist())
+                yield pack(Chunk(part.column("text"), kind), part.column("_rid").to_numpy(), part.column("keys").to_pylist(), seen)
 
     return run
 
