@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKETS_EACH, POSTINGS, bounds_of, by_bucket, dealt, keyed, materialize, mix, partitions, postings, salted_join, slices, small_batches, text_bytes, window_hashes, word_hashes, word_spans
+from .common import BUCKETS_EACH, POSTINGS, bounds_of, by_bucket, dealt, hot_join, keyed, materialize, mix, partitions, postings, salted_join, slices, small_batches, text_bytes, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -240,7 +240,7 @@ def _side(k: str, cols: tuple[str, ...]) -> list:
 
 def near_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches are near."""
-    left = salted_join(pairs, facts.select(*_side("a", ("n", "sketch"))), "a")
+    left = hot_join(pairs, facts.select(*_side("a", ("n", "sketch"))), "a")
     both = left.join(facts.select(*_side("b", ("n", "sketch"))), "b")
     return materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long"))
 
@@ -250,7 +250,7 @@ def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
     needed = materialize(near.select(F.explode(F.array("a", "b")).alias("_rid")).distinct())
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
     sets = materialize(docs.select("_rid", "text").join(needed, "_rid", "left_semi").mapInArrow(_sets, "_rid long, set binary"))
-    left = salted_join(near, sets.select(*_side("a", ("set",))), "a")
+    left = hot_join(near, sets.select(*_side("a", ("set",))), "a")
     both = left.join(sets.select(*_side("b", ("set",))), "b")
     return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
 
@@ -304,10 +304,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_across(members: DataFrame, facts: DataFrame) -> DataFrame:
     """Near pairs of documents that share a key and have different labels; members: key, b, label, each once.
 
-    Groups are cut to blocks of GROUP_ROWS, and two blocks at a time meet in a task. Sketches are broadcast if they are
+    Groups with the same members count once. They are cut to blocks of GROUP_ROWS, and two blocks at a time meet in a task. Sketches are broadcast if they are
     small, else joined.
     """
-    groups = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
+    same = [F.bit_xor(F.xxhash64("b", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    groups = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k"), *same).where("x <> y")
+    groups = groups.groupBy("k", "x", "y", "h1", "h2").agg(F.min("key").alias("key"))  # of groups with the same members one
     rest = salted_join(members, groups.select("key", F.ceil(F.col("k") / GROUP_ROWS).cast("int").alias("nb")), "key")
     cells = rest.withColumn("side", F.pmod(F.xxhash64("b"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cells = materialize(cells.select("key", "b", "label", "side", F.least("side", "j").alias("lo"), F.greatest("side", "j").alias("hi")))
@@ -388,8 +390,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 def keep_first_of_class(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of docs, with the named columns, that have the smallest row key of their class."""
     rows = keyed(docs, *columns)
-    kept = classes(rows).where("label = _rid").select("_rid")
-    return rows.join(kept, "_rid", "left_semi").select(*columns)
+    gone = classes(rows).where("label <> _rid").select("_rid")
+    return rows.join(gone.hint("shuffle_hash"), "_rid", "left_anti").select(*columns)  # texts aren't sorted
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
