@@ -152,7 +152,7 @@ def mixed_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     base = keyed(docs, *columns)
     rows = materialize(base.select("_rid", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size")))
     taken = copies(rows).where("copies > 0").select("_rid", F.expr("array_repeat(0, cast(copies as int))").alias("_n"))
-    return base.join(taken, "_rid").select(*columns, F.explode("_n").alias("_x")).drop("_x")
+    return base.join(taken.hint("shuffle_hash"), "_rid").select(*columns, F.explode("_n").alias("_x")).drop("_x")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
