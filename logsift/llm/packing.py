@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, slices, small_batches
+from .common import materialize, slices, small_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -269,10 +269,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     short. Rows that repeat a doc_id are packed each on its own, null ids too. No rows: no rows.
     """
     spark = docs.sparkSession
-    ids = materialize(token_ids(keyed(docs), path or tokenizer_path()))
+    rows = docs.select(docs["doc_id"], docs["text"], F.monotonically_increasing_id().alias("_rid"))
+    ids = materialize(token_ids(rows, path or tokenizer_path()))  # written, so that each row keeps its key
     small_batches(spark)
     pieces = placed(ids.select("_rid", "n"), window).groupBy("_rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    return ids.join(pieces, "_rid").select("doc_id", "n", "ids", "pieces").mapInArrow(_cut, PIECES_SCHEMA)
+    return ids.join(pieces.hint("shuffle_hash"), "_rid").select("doc_id", "n", "ids", "pieces").mapInArrow(_cut, PIECES_SCHEMA)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
