@@ -248,7 +248,7 @@ def repeated_runs(rows: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
     common = common_anchors(rows, kind)
     texts = rows.select("_rid", "text")
     twice = dealt(texts.mapInArrow(_anchors(kind, buckets, common), POSTINGS)).mapInArrow(_repeated, "_rid long, key long")
-    lists = twice.groupBy("_rid").agg(F.collect_list("key").alias("keys"))
+    lists = twice.groupBy("_rid").agg(F.collect_list("key").alias("keys")).hint("shuffle_hash")  # texts aren't sorted
     found = texts.join(lists, "_rid", "left") if len(common) else texts.join(lists, "_rid")
     sent = found.select("_rid", "text", "keys").mapInArrow(_snippets(kind, buckets, common), SNIPPETS)
     return materialize(dealt(sent).mapInArrow(_decided(decide), RUNS))
@@ -256,7 +256,7 @@ def repeated_runs(rows: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
 
 def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """rows and their runs as an array (null: none)."""
-    return rows.join(runs.groupBy("_rid").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "_rid", "left")
+    return rows.join(runs.groupBy("_rid").agg(F.collect_list(F.struct("start", "stop")).alias("runs")).hint("shuffle_hash"), "_rid", "left")
 
 
 def covered(n: int, runs: list | None) -> np.ndarray:
