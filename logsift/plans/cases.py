@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from ..operators import answers as A
 from ..operators import evaluate as E
 from ..operators import rules
 from ..sources.driver import EVENTS_SQL, baselines, events
+from .queries import PARAMS
 
+Alerts = Callable[[SparkSession, str], DataFrame]
 STEPS = ("privilege_escalation", "log_deletion", "bulk_file_download")
 
 
@@ -33,16 +37,21 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of the three rules that table al of the SQL holds; all_alerts has those of all twelve."""
     ev, bl = events(spark, d), baselines(spark, d)
     return rules.run_rules(ev, bl, registry={k: rules.REGISTRY[k] for k in ("R001", "R003", "R006")})
 
 
+def all_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return rules.run_rules(events(spark, d), baselines(spark, d), PARAMS)
+
+
 def _chain_text(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("case_id", F.array_join(F.transform("attack_chain", lambda s: s["description"]), " ").alias("text"))
 
 
-def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    found = rules.rule_results(_alerts(spark, d), events(spark, d)).select("case_id", F.col("verdict").alias("rule_verdict"))
+def verdicts(spark: SparkSession, d: str, alerts: Alerts = _alerts) -> DataFrame:
+    found = rules.rule_results(alerts(spark, d), events(spark, d)).select("case_id", F.col("verdict").alias("rule_verdict"))
     return truth(spark, d).join(found, "case_id").join(answers(spark, d).select("case_id", F.col("verdict").alias("llm_verdict")), "case_id")
 
 
@@ -53,8 +62,8 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     return A.parse(answers(spark, d).select("case_id", raw.alias("raw"))).select("case_id", "parse_failed", "verdict", "suspect", F.size("attack_chain").alias("steps"))
 
 
-def f1_scores(spark: SparkSession, d: str) -> DataFrame:
-    both = E.rule_precision(truth(spark, d), _alerts(spark, d)).join(E.recall(truth(spark, d), _chain_text(spark, d)), "case_id")
+def f1_scores(spark: SparkSession, d: str, alerts: Alerts = _alerts) -> DataFrame:
+    both = E.rule_precision(truth(spark, d), alerts(spark, d)).join(E.recall(truth(spark, d), _chain_text(spark, d)), "case_id")
     return both.select("case_id", E.f1(F.col("rule_precision"), F.col("recall_pct") / 100).alias("f1"))
 
 
@@ -71,6 +80,11 @@ QUERIES = {
     "e5_rule_precision": lambda s, d: E.rule_precision(truth(s, d), _alerts(s, d)),
     "e6_f1": f1_scores,
     "e9_rule_breakdown": lambda s, d: E.rule_breakdown(truth(s, d), _alerts(s, d)),
+    "e1_verdicts_all_rules": lambda s, d: E.verdict_accuracy(verdicts(s, d, all_alerts)),
+    "e3_false_positives_all_rules": lambda s, d: E.false_positives(truth(s, d), all_alerts(s, d), events(s, d)),
+    "e5_rule_precision_all_rules": lambda s, d: E.rule_precision(truth(s, d), all_alerts(s, d)),
+    "e6_f1_all_rules": lambda s, d: f1_scores(s, d, all_alerts),
+    "e9_rule_breakdown_all_rules": lambda s, d: E.rule_breakdown(truth(s, d), all_alerts(s, d)),
     "h_report": lambda s, d: A.report(answers(s, d), events(s, d)),
 }
 

@@ -5,7 +5,8 @@ import pytest
 
 from logsift.operators import answers as A
 from logsift.operators import evaluate as E
-from logsift.plans.cases import QUERIES, SQL
+from logsift.plans import queries as plans
+from logsift.plans.cases import QUERIES, SQL, truth
 
 from .conftest import SMALL
 
@@ -44,3 +45,27 @@ def test_checks_and_empty_answer(spark):
     truth = spark.createDataFrame([("c", "ATTACK", ["privilege_escalation", "odd_step"]), ("d", "BENIGN", [])], "case_id string, label string, attack_steps array<string>")
     texts = an.select("case_id", an.attack_chain[0]["description"].alias("text"))
     assert by(E.recall(truth, texts)) == {"c": (2, 1, 50.0, "odd_step"), "d": (0, 0, 100.0, "")}
+
+
+def test_scores_of_all_twelve_rules(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    n, hit = {}, set()
+    for name in [f"r{k:03}" for k in range(1, 13)]:  # r012 has no SQL
+        rows = con.sql(f"SELECT case_id, severity FROM ({plans.SQL[name]})").fetchall() if name in plans.SQL else [(r.case_id, r.severity) for r in plans.QUERIES[name](spark, SMALL).collect()]
+        for case, severity in rows:
+            n[case, name.upper()] = n.get((case, name.upper()), 0) + 1
+            hit |= {case} if severity == "critical" else set()
+    run = lambda name: QUERIES[f"{name}_all_rules"](spark, SMALL).collect()
+    breakdown = run("e9_rule_breakdown")
+    assert {(r.case_id, r.rule_id): r.alert_count for r in breakdown} == n and len({rule for _, rule in n}) > 8
+    labels = {r.case_id: r.label for r in truth(spark, SMALL).collect()}
+    of = lambda case: sum(k for (c, _), k in n.items() if c == case)
+    assert {r.case_id: r.rule_mapped for r in run("e1_verdicts")} == {c: "ATTACK" if c in hit else "BENIGN" for c in labels}
+    assert {r.case_id: r.rule_fp_count for r in run("e3_false_positives")} == {c: of(c) if v == "BENIGN" else 0 for c, v in labels.items()}
+    precision = {r.case_id: r.rule_precision for r in run("e5_rule_precision")}
+    told = {"R003", "R004", "R006", "R008", "R011"}  # titles or texts with a word of a step: privilege, download, deleted, exfiltration
+    assert all(precision[c] is None if v == "BENIGN" or not of(c) else abs(precision[c] - sum(k for (d, rule), k in n.items() if d == c and rule in told) / of(c)) < 1e-4 for c, v in labels.items())
+    recall = {r.case_id: r.recall_pct / 100 for r in QUERIES["e2_recall"](spark, SMALL).collect()}
+    f1 = lambda p, q: 2 * p * q / (p + q) if p and q else 0.0
+    assert all(abs(r.f1 - f1(precision[r.case_id], recall[r.case_id])) < 1e-4 for r in run("e6_f1"))
