@@ -3,7 +3,8 @@
 Every window of `width` tokens has one anchor: its `gram`-token run with the least hash, the first of equals. Equal
 windows have equal anchors, so only anchors are exchanged: those found twice give their stretches of windows as
 snippets, which meet by anchor. An anchor that stands in very many documents would bring too many snippets together;
-its windows meet by their own hash instead. A snippet that stands earlier among the rows of its task isn't sent again.
+its windows meet by their own hash instead. A snippet that stands earlier among the rows of its task isn't sent again;
+each task's rows come in order of their key, so that a task that is run again sends the same.
 """
 
 from __future__ import annotations
@@ -179,6 +180,11 @@ def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
     return run
 
 
+def sent_snippets(found: DataFrame, kind: Kind, buckets: int, common: np.ndarray) -> DataFrame:
+    """SNIPPETS of found (_rid, text, keys), the same in whatever order a task gets its rows."""
+    return found.select("_rid", "text", "keys").sortWithinPartitions("_rid").mapInArrow(_snippets(kind, buckets, common), SNIPPETS)
+
+
 Decide = Callable[[np.ndarray, bytes], tuple[np.ndarray, np.ndarray]]
 
 
@@ -250,8 +256,7 @@ def repeated_runs(rows: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
     twice = dealt(texts.mapInArrow(_anchors(kind, buckets, common), POSTINGS)).mapInArrow(_repeated, "_rid long, key long")
     lists = twice.groupBy("_rid").agg(F.collect_list("key").alias("keys")).hint("shuffle_hash")  # texts aren't sorted
     found = texts.join(lists, "_rid", "left") if len(common) else texts.join(lists, "_rid")
-    sent = found.select("_rid", "text", "keys").mapInArrow(_snippets(kind, buckets, common), SNIPPETS)
-    return materialize(dealt(sent).mapInArrow(_decided(decide), RUNS))
+    return materialize(dealt(sent_snippets(found, kind, buckets, common)).mapInArrow(_decided(decide), RUNS))
 
 
 def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:

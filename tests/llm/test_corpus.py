@@ -7,9 +7,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from logsift.llm import fingerprint, jaccard, langid, mixing, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
+from logsift.llm import fingerprint, jaccard, langid, mixing, packing, pii, quality, repeats, substring_dedup, suffix_dedup, toxicity
 from logsift.llm.queries import ORACLE_SQL
 
 from ..conftest import SMALL
@@ -181,3 +182,13 @@ def test_restored_words():
             lm[a, b, c] = -0.5
     r = toxicity.Restorer(lm)
     assert "idiot" in r.text("you 1d10t").split() and "loser" in r.text("l.o.s.e.r").split() and "idiot" in r.text("idioooot!").split()
+
+
+def test_snippets_in_any_order(spark):
+    kind, common = substring_dedup.Kind(True, 20, 8, True), np.zeros(0, np.uint64)
+    text = " ".join(f"w{i}" for i in range(40))
+    whole = repeats.Chunk(pa.array([text]), kind)
+    keys = sorted({int(k) for k in whole.grams[whole.anchor].view(np.int64)})
+    rows = [(5, text, keys), (10, text, keys), (7, text + " tail", keys)]
+    sent = lambda x: [tuple(map(bytes, r[1:])) + r[:1] for r in repeats.sent_snippets(spark.createDataFrame(x, "_rid long, text string, keys array<long>").coalesce(1), kind, 64, common).collect()]
+    assert sent(rows) and sent(rows) == sent(rows[::-1])
