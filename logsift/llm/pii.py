@@ -18,20 +18,33 @@ _TITLE_M, _TITLE_F = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин", "Mrs|M
 _FIRST = "".join(sorted({t[0] for t in f"{_TITLE_M}|{_TITLE_F}".split("|")}))
 #: What a text with an entity contains, but for digits and @: cheap to look for before the patterns are tried.
 SIGNS = [*f"{_TITLE_M}|{_TITLE_F}".split("|"), "password=", "passwd=", "secret=", "api_key="]
-#: Patterns by type, in the order in which they are tried at a place. Their quantifiers are bounded but for digits.
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FO|FI|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+#: Patterns by type, in the order in which they are tried at a place. What has no bound is possessive.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<![\d.-])\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "access": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    # by the country's length; of other countries groups of four, or any length without blanks
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?![A-Za-z0-9])|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9]))",
     "man": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_M})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
     "woman": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_F})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
-    "secret": r"(?<==)(?<=password=|passwd=|secret=|api_key=)[^\s\"',;]{6,128}",
+    "secret": r"(?<==)(?<=password=|passwd=|secret=|api_key=)[^\s\"',;]{6,}+",
+    # last, as these fit what the types above do: 8 to 15 digits after a plus sign
+    "abroad": r"(?<![\w+])\+(?=\d(?:[ .()/-]{0,2}\d){7,14}(?!\d))\d{1,3}(?:[ .-]?\(\d{1,5}\)|[ ./-]?\d){5,14}(?!\d)",
+    "number": r"(?<![\d.])(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)",
 }
+#: A card of another length or grouping than four by four; counts if its check digit is right.
+LUHN = "number"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NAMES = {
     ("man", True): "Adam Bruno Colin David Erik Felix Gavin Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul".split(),
@@ -105,7 +118,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     last = F.when(latin, syllables(True)).otherwise(syllables(False))
     first = reduce(lambda rest, x: F.when((kind == x[0][0]) & (latin == F.lit(x[0][1])), _pick(x[1], n(9, 16))).otherwise(rest), NAMES.items(), F.lit(""))
     name = F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], first, last)).otherwise(F.concat_ws(" ", parts[0], last))
-    cases = {"email": email, "phone": phone, "card": card, "ip": ip, "access": access, "hex": _shape(entity, noise, "abcdef"), "iban": iban, "man": name, "woman": name}
+    cases = {"email": email, "phone": phone, "card": card, "ip": ip, "access": access, "hex": _shape(entity, noise, "abcdef"), "iban": iban, "man": name, "woman": name, "abroad": phone, "number": card}
     whole = reduce(lambda rest, k: F.when(kind == k, cases[k]).otherwise(rest), cases, _shape(entity, noise))
     return F.when(attempt < WIDEN, whole).otherwise(F.concat(whole, F.substring(noise, 1, 8)))
 
@@ -144,12 +157,14 @@ def replace_entities(docs: DataFrame, columns: list[str] | None = None, key: str
     hits = materialize(base.where(has).select("_rid", *rest, F.split("text", ANY).alias("_pieces"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("_found")))
     spots = hits.select("_rid", F.posexplode("_found").alias("at", "entity"))
     entities = materialize(spots.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).select(kind_of(F.col("entity")).alias("kind"), "entity"))
-    table = surrogates(entities, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # an entity may stand in any share of the rows
+    real = (F.col("kind") != LUHN) | (_checked(F.col("entity")) == F.col("entity"))
+    known = surrogates(entities.where(real), key).unionByName(entities.where(~real).select("entity", F.col("entity").alias("surrogate")))
+    table = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # an entity may stand in any share of the rows
     spots = spots.withColumn("_salt", F.pmod(F.xxhash64("_rid", "at"), F.lit(SALTS)).cast("int"))
-    filled = spots.join(table, ["entity", "_salt"]).groupBy("_rid").agg(F.collect_list(F.struct("at", "surrogate")).alias("_new"))
+    filled = spots.join(table, ["entity", "_salt"]).groupBy("_rid").agg(F.collect_list(F.struct("at", "surrogate")).alias("_new"), F.count_if(F.col("surrogate") != F.col("entity")).alias("_n"))
     new = F.transform(F.sort_array("_new"), lambda x: x["surrogate"])
     text = F.array_join(F.zip_with("_pieces", new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = hits.join(filled, "_rid").select(*rest, text.alias("text"), F.size("_found").cast("long").alias("n_replaced"))
+    done = hits.join(filled, "_rid").select(*rest, text.alias("text"), F.col("_n").alias("n_replaced"))
     same = base.where(~has).select(*rest, "text", F.lit(0).cast("long").alias("n_replaced"))
     return same.unionByName(done).select(*cols, "n_replaced")
 

@@ -192,3 +192,20 @@ def test_snippets_in_any_order(spark):
     rows = [(5, text, keys), (10, text, keys), (7, text + " tail", keys)]
     sent = lambda x: [tuple(map(bytes, r[1:])) + r[:1] for r in repeats.sent_snippets(spark.createDataFrame(x, "_rid long, text string, keys array<long>").coalesce(1), kind, 64, common).collect()]
     assert sent(rows) and sent(rows) == sent(rows[::-1])
+
+
+def test_personal_data_of_any_length(spark):
+    private = [
+        "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "IT60 X054 2811 1010 0000 0123 456", "NL91ABNA0417164300", "NO93 8601 1117 947", "QA58 DOHA 0000 1234 5678 90AB CDEF G",
+        f"{'x' * 70}@mail.example.com", "378282246310005", "3782 822463 10005", "30569309025904", "4222222222222", "6304000000000000000", "+49 30 901820", "+44 (0)20 7946 0958", "+33 1 42 68 53 00", "+393331234567",
+    ]
+    secret = "ab1" * 100
+    rows = [(i, f"see {x}, or so") for i, x in enumerate(private)] + [(100, f"password={secret} end"), (101, "built 1732790400123 at 378282246310006"), (102, "NO93 8601 1117 947 OK 12"), (103, "DE89 3704 0044 0532 0130 00 IS 12")]
+    out = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(private):
+        groups = [g for g in re.split(r"[ ,]+", x) if len(re.sub(r"\D", "", g)) > 3 or "@" in g]
+        assert out[i].n_replaced == 1 and len(out[i].text) == len(rows[i][1]) and not any(g in out[i].text for g in groups), (x, out[i].text)
+    assert out[100].n_replaced == 1 and "ab1ab1" not in out[100].text and out[100].text.startswith("password=") and out[100].text.endswith(" end")
+    assert (out[101].text, out[101].n_replaced) == (rows[-3][1], 0)
+    assert out[102].text.endswith(" OK 12") and out[103].text.endswith(" IS 12") and out[103].n_replaced == 1
+    assert out[103].text[:-6] == out[1].text[4:-7]
