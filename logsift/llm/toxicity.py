@@ -25,10 +25,16 @@ CACHE = 100_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
+_UNIT = "(?:[^\\W\\d_]|[01345789@$!|+])"
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?![^\W_])")
+#: The same with letters and what may stand for one, and words in pieces of up to three.
+MIXED = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .*_-]{{1,2}}{_UNIT}){{2,}}(?![^\W_])")
+PIECES = re.compile(rf"(?<![^\W_]){_UNIT}{{1,3}}(?:[ .*_-]{{1,2}}{_UNIT}{{1,3}})+(?![^\W_])")
+CUT = re.compile(r"[ .*_-]+")
 INNER = re.compile(r"[^\w@$!|+]+|_+")
 PART = re.compile(r"[^\W_]+(?:[@$!|+]+[^\W_]+)*|[@$][^\W\d_][^\W_]*")
 REPEATED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +113,8 @@ class Restorer:
 
     def spaced(self, text: str) -> list[str]:
         """Words written letter by letter."""
-        return [self.decode(m, True) for m in SPACED.findall(text)]
+        mixed = [m for m in MIXED.findall(text) if any(c.isalpha() for c in m) and any(c in LEET for c in m)]
+        return [self.decode(m, True) for m in [*SPACED.findall(text), *mixed]]
 
     def text(self, text: str | None) -> str:
         """The whole restored text: its words, and those spelled out."""
@@ -175,12 +182,48 @@ class Scorer:
     def __init__(self, lm: np.ndarray, weights: dict[str, float], base: float):
         self.restore, self.weights, self.base = Restorer(lm), weights, base
         self.cache: dict[str, float] = {}
+        self.begins = {f.rstrip("~")[:k] for f in weights for k in range(len(f) + 1)}
+
+    def _step(self, found: set[str], c: str) -> set[str]:
+        """Beginnings of telling features that found and one more character may stand for."""
+        options = LEET.get(c, "") + (c if c.isalpha() else "")
+        out = {b for p in found for x in options if (b := p + x) in self.begins}
+        return out | {p for p in found if p and p[-1] in options}  # one of two in a row
+
+    def doubled(self, t: str) -> float:
+        """Rate of what a token with doubled letters stands for if copies are dropped."""
+        best, found = 0.0, {""}
+        for i, c in enumerate(t):
+            if not (found := self._step(found, c)):
+                return best
+            if i + 1 < len(t):
+                best = max(best, *(self.weights.get(f"{p}~", 0.0) for p in found))
+        return max(best, *(self.weights.get(p, 0.0) for p in found))
+
+    def pieces(self, text: str) -> list[float]:
+        """Rates of the telling words that stand in pieces of one to three characters, from any piece to any later one."""
+        rates = []
+        for run in PIECES.findall(text):
+            units = CUT.split(run)
+            for i in range(len(units) - 1):
+                found, letters = {""}, False
+                for k in range(i, len(units)):
+                    for c in units[k]:
+                        letters |= c.isalpha()
+                        if not (found := self._step(found, c)):
+                            break
+                    if not found:
+                        break
+                    if k > i and letters:
+                        rates += [w for p in found if (w := self.weights.get(p, 0.0))]
+        return rates
 
     def word(self, w: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
 
     def token(self, t: str) -> float:
-        return max((self.word(w) for w in self.restore.token(t)), default=0.0)
+        best = max((self.word(w) for w in self.restore.token(t)), default=0.0)
+        return max(best, *map(self.doubled, PART.findall(t))) if not best and DOUBLED.search(t) and PART.search(t) else best
 
     def score(self, text: str | None) -> float:
         """1 less the product of 1 less the rates of the telling words, or the rate of documents without any."""
@@ -194,6 +237,7 @@ class Scorer:
             if p:
                 rates.append(p)
         rates += [p for w in self.restore.spaced(low) if (p := self.word(w))]
+        rates += self.pieces(low)
         return 1 - math.prod(1 - p for p in rates) if rates else self.base
 
 

@@ -209,3 +209,19 @@ def test_personal_data_of_any_length(spark):
     assert (out[101].text, out[101].n_replaced) == (rows[-3][1], 0)
     assert out[102].text.endswith(" OK 12") and out[103].text.endswith(" IS 12") and out[103].n_replaced == 1
     assert out[103].text[:-6] == out[1].text[4:-7]
+
+
+def test_mixed_disguises():
+    lm = np.full((27, 27, 27), -5.0)
+    for w in ("idiot", "moron", "trash", "loser", "worthless", "stupid"):
+        x = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(x, x[1:], x[2:], strict=False):
+            lm[a, b, c] = -0.5
+    r = toxicity.Restorer(lm)
+    for seen, word in {"i d 1 o t": "idiot", "m.0.r.0.n": "moron", "1.d.1.o.t": "idiot", "t r 4 s h": "trash", "l 0 s e r": "loser", "w-o-r-t-h-l-3-s-s": "worthless"}.items():
+        assert word in r.text(f"you {seen}").split(), seen
+    s = toxicity.Scorer(lm, dict.fromkeys(("idiot", "moron", "trash", "loser", "worthless", "stupid"), 0.9), 0.1)
+    for seen in ("i d 1 o t", "st up id", "5t up 1d", "wor-th-l3-ss", "a l 0 s e r", "5 l o s e r", "iddiot", "1ddi0t", "moronn", "l.o.s.e.r", "you are st up id ok"):
+        assert s.score(f"x1 {seen}") > 0.8, seen
+    for seen in ("it is an id", "we st 1 2 3", "0 1 3 4 5", "middle letter", "a + b = c", ""):
+        assert s.score(seen) == 0.1, seen
