@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bounds_of, keyed, materialize, partitions, small_batches, text_bytes, window_hashes, word_hashes, word_spans
+from .common import CHUNK_BYTES, bounds_of, hot_join, keyed, materialize, partitions, salted_join, small_batches, text_bytes, window_hashes, word_hashes, word_spans
+from .jaccard import GROUP_ROWS, components
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -83,19 +84,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("_rid", "text").mapInArrow(run, "_rid long, signature binary")
 
 
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (left, right) of rows with different labels that share a key; members: key, _rid, label.
+
+    Groups are cut to blocks of GROUP_ROWS, and two blocks at a time meet.
+    """
+    groups = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
+    cut = salted_join(members, groups.select("key", F.ceil(F.col("k") / GROUP_ROWS).cast("int").alias("nb")), "key")
+    cut = materialize(cut.withColumn("side", F.pmod(F.xxhash64("_rid"), F.col("nb")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    a = cut.select("key", F.col("side").alias("i"), other.alias("j"), F.col("_rid").alias("left"), F.col("label").alias("x"))
+    b = cut.select("key", F.col("side").alias("j"), other.alias("i"), F.col("_rid").alias("right"), F.col("label").alias("y"))
+    return a.join(b, ["key", "i", "j"]).where("left < right and x <> y").select("left", "right").distinct()
+
+
 def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS) -> DataFrame:
-    """left, right (row keys) and jaccard of documents (_rid, text) linked to the first document of a band bucket.
+    """left, right (row keys) and jaccard of documents (_rid, text) that are linked; every document that shares a band
+    with a similar one is in one component with it.
 
-    Signatures are cut to bands; documents with an equal band are compared to the bucket's first one, and the pair is
-    kept if the Jaccard similarity of the whole shingle sets is at least the threshold.
+    Signatures are cut to bands; documents with an equal band are compared to the bucket's first one, then those of a
+    bucket that no links join yet to each other. A pair is kept if the Jaccard similarity of the whole shingle sets is at
+    least the threshold. Texts without words have no link.
     """
     rows = PERMUTATIONS // bands
-    prints = fingerprints(docs)
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("b"), F.xxhash64(F.substring(F.col("signature"), i * (4 * rows) + 1, F.lit(4 * rows))).alias("h")))
-    keys = materialize(prints.select("_rid", F.explode(band).alias("x")).select("_rid", "x.b", "x.h"))
-    first = keys.groupBy("b", "h").agg(F.min("_rid").alias("left"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = materialize(keys.join(first, ["b", "h"]).where("_rid > left").select("left", F.col("_rid").alias("right")).distinct())
-    left = pairs.join(docs.select(F.col("_rid").alias("left"), F.col("text").alias("a")), "left").join(docs.select(F.col("_rid").alias("right"), F.col("text").alias("b")), "right")
+    prints = fingerprints(docs).where(F.col("signature") != F.lit(b"\xff" * (4 * PERMUTATIONS)))
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * rows) + 1, F.lit(4 * rows))))
+    keys = materialize(prints.select("_rid", F.explode(band).alias("key")))
+    first = keys.groupBy("key").agg(F.min("_rid").alias("left"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = _verified(salted_join(keys, first, "key").where("_rid > left").select("left", F.col("_rid").alias("right")).distinct(), docs, threshold)
+    labels = materialize(components(links.select(F.col("left").alias("a"), F.col("right").alias("b"))))
+    members = keys.join(labels, "_rid", "left").select("key", "_rid", F.coalesce("label", "_rid").alias("label"))
+    return links.unionByName(_verified(_across(materialize(members)), docs, threshold))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (left, right) whose whole shingle sets are alike, and how much."""
+    pairs = materialize(pairs)
+    left = hot_join(pairs, docs.select(F.col("_rid").alias("left"), F.col("text").alias("a")), "left").join(docs.select(F.col("_rid").alias("right"), F.col("text").alias("b")), "right")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +132,7 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, bands: int = BAND
                 sims.append(both / max(1, len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column("left"), batch.column("right"), pa.array(sims, pa.float64())], names=["left", "right", "jaccard"])
 
-    return left.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, jaccard double").where(F.col("jaccard") >= threshold)
+    return materialize(left.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, jaccard double").where(F.col("jaccard") >= threshold))
 
 
 def with_next(rows: DataFrame) -> tuple[DataFrame, int]:

@@ -225,3 +225,13 @@ def test_mixed_disguises():
         assert s.score(f"x1 {seen}") > 0.8, seen
     for seen in ("it is an id", "we st 1 2 3", "0 1 3 4 5", "middle letter", "a + b = c", ""):
         assert s.score(seen) == 0.1, seen
+
+
+def test_similar_pairs_behind_an_unrelated_head(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprint, "fingerprints", lambda d: d.select("_rid", F.lit(bytes(512)).alias("signature")))  # one bucket
+    words = [[f"{k}w{i}" for i in range(60)] for k in range(3)]
+    rows = [(0, "a head of its own kind"), (1, " ".join(words[0])), (2, " ".join(words[0] + ["x"])), (3, " ".join(words[1])), (4, " ".join(words[2])), (5, " ".join(["y"] + words[1]))]
+    got = fingerprint.similar_pairs(spark.createDataFrame(rows, "_rid long, text string"), bands=2).collect()
+    assert sorted((r.left, r.right) for r in got) == [(1, 2), (3, 5)] and all(r.jaccard >= 0.8 for r in got)
