@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,15 +20,23 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Text bytes that a task works on at once.
 CHUNK_BYTES = 1 << 20
 ARROW_ROWS = 256
-_own: list[str] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or the one given to setCheckpointDir.
+
+    Without either a session that runs in one process takes a folder of its own, and any other one fails: executors with
+    disks of their own would miss each other's rows.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and (given := spark._jsc.sc().getCheckpointDir()).isDefined():
+        root = given.get()
+    if not root and re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+        _local[:] = _local or [tempfile.mkdtemp(prefix="logsift-")]
+        root = _local[0]
     if not root:
-        _own[:] = _own or [tempfile.mkdtemp(prefix="logsift-")]
-        root = _own[0]
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
