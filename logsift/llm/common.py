@@ -185,6 +185,18 @@ BUCKETS_EACH = 4
 KEY_BYTES = 6
 
 
+def squeezed(rows: np.ndarray) -> bytes:
+    """The bytes of equal-sized items, those of one place together, compressed: high bytes of small numbers take no room."""
+    planes = np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int, kind: np.dtype | str) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(pa.decompress(data, n * kind.itemsize, codec="zstd", asbytes=True), np.uint8).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def postings(keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Rows of POSTINGS for 64-bit keys and the row key of the document of each, by bucket."""
     if not len(keys):
@@ -196,9 +208,14 @@ def postings(keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch
     starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
     base = int(docs.min())
     small = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-    near = (docs - base).astype("<u4" if int(docs.max()) - base < 1 << 32 else "<i8")
-    rows = range(len(starts))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([base] * len(starts), pa.int64()), pa.array([small[starts[i] : stops[i]].tobytes() for i in rows], pa.binary()), pa.array([near[starts[i] : stops[i]].tobytes() for i in rows], pa.binary())], schema=_POSTINGS)
+    near, rows = (docs - base).astype("<i8"), range(len(starts))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[starts]), pa.array([base] * len(starts), pa.int64()),
+            pa.array([small[starts[i] : stops[i]].tobytes() for i in rows], pa.binary()), pa.array([squeezed(near[starts[i] : stops[i]]) for i in rows], pa.binary()),
+        ],
+        schema=_POSTINGS,
+    )
 
 
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
@@ -217,7 +234,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(n, KEY_BYTES)
             keys.append(wide.view("<u8").ravel())
-            docs.append(np.frombuffer(d, "<u4" if len(d) == 4 * n else "<i8").astype(np.int64) + base)
+            docs.append(unsqueezed(d, n, "<i8") + base)
     if keys:
         yield np.concatenate(keys), np.concatenate(docs)
 

@@ -4,7 +4,8 @@ Every window of `width` tokens has one anchor: its `gram`-token run with the lea
 windows have equal anchors, so only anchors are exchanged: those found twice give their stretches of windows as
 snippets, which meet by anchor. An anchor that stands in very many documents would bring too many snippets together;
 its windows meet by their own hash instead. A snippet that stands earlier among the rows of its task isn't sent again;
-each task's rows come in order of their key, so that a task that is run again sends the same.
+each task's rows come in order of their key, so that a task that is run again sends the same. Texts are dealt by row key
+once: where snippets are cut and where covered tokens go, one plan reads the same exchange.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKETS_EACH, BYTE_CODE, POSTINGS, by_bucket, dealt, materialize, mix, partitions, postings, slices, small_batches, text_bytes, window_hashes, word_hashes, word_spans
+from .common import BUCKETS_EACH, BYTE_CODE, POSTINGS, by_bucket, dealt, mix, partitions, postings, slices, small_batches, squeezed, text_bytes, unsqueezed, window_hashes, word_hashes, word_spans
 
 #: Documents whose anchors show which ones are very common, and the share of them that makes one so.
 #: These only choose how windows meet, not which; at most 1 / COMMON anchors for each one of a mean document are common.
@@ -27,9 +28,14 @@ COMMON = 0.01
 CHUNK = 1 << 20
 #: Snippets of a task that are remembered at once, by digest; what is forgotten is sent again.
 SEEN = 500_000
+#: Bytes of snippets that a task packs together.
+PACK_BYTES = 8 << 20
+#: Documents of an anchor beyond which its windows meet by their own hash; its key is marked by HOT_BIT.
+HOT_DOCS = 10_000
+HOT_BIT = np.uint64(1 << 60)
 MASK48 = np.uint64((1 << 48) - 1)
 META = np.dtype([("key", "<u8"), ("rid", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("size", "<i4")])
-SNIPPETS = "bucket int, meta binary, body binary"
+SNIPPETS = "bucket int, n int, meta binary, body binary"
 RUNS = "_rid long, start int, stop int"
 
 
@@ -122,7 +128,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys, kind="stable")
         keys, docs = keys[order], docs[order]
         group = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1]))) - 1
-        many = np.bincount(group)[group] > 1
+        size = np.bincount(group)[group]
+        many = size > 1
+        keys = np.where(size > HOT_DOCS, keys | HOT_BIT, keys)
         rows = np.unique(np.stack((docs[many], keys[many].view(np.int64)), 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["_rid", "key"])
 
@@ -134,11 +142,20 @@ def _packed(meta: np.ndarray, bodies: list[bytes], buckets: int) -> pa.RecordBat
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     parts = np.split(order, cuts) if len(order) else []
-    return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([meta[p].tobytes() for p in parts], pa.binary()), pa.array([b"".join([bodies[i] for i in p]) for p in parts], pa.binary())], names=["bucket", "meta", "body"])
+    body = [pa.compress(b"".join([bodies[i] for i in p]), codec="zstd", asbytes=True) for p in parts]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array([squeezed(meta[p]) for p in parts], pa.binary()), pa.array(body, pa.binary())],
+        names=["bucket", "n", "meta", "body"],
+    )
+
+
+def _unpacked(n: int, meta: bytes, body: bytes) -> tuple[np.ndarray, bytes]:
+    rows = unsqueezed(meta, n, META)
+    return rows, pa.decompress(body, int(rows["size"].sum()), codec="zstd", asbytes=True)
 
 
 def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
-    def pack(c: Chunk, rid: np.ndarray, known: list, seen: dict[bytes, tuple[int, int]]) -> pa.RecordBatch:
+    def cut(c: Chunk, rid: np.ndarray, known: list, seen: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, list[bytes]]:
         a, b = c.stretches()
         keys, whose = c.grams[c.anchor[a]], c.owner[a]
         hot = np.isin(keys, common)
@@ -146,7 +163,9 @@ def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
         for i in np.unique(whose):
             if known[i] is not None:
                 mine = slice(*np.searchsorted(whose, (i, i + 1)))
-                want[mine] |= np.isin(keys[mine], np.array(known[i], np.int64).view(np.uint64))
+                listed = np.array(known[i], np.int64).view(np.uint64)
+                want[mine] |= np.isin(keys[mine], listed & MASK48)
+                hot[mine] |= np.isin(keys[mine] | HOT_BIT, listed)
         a, b, keys, whose, hot = a[want], b[want], keys[want], whose[want], hot[want]
         start, count = c.windows[a], b - a + 1
         if hot.any():  # each window by itself
@@ -169,20 +188,29 @@ def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
                 body = b""  # all its windows stand earlier in this task
             meta[k] = (keys[i], *here, count[i], len(body))
             bodies.append(body)
-        return _packed(meta, bodies, buckets)
+        return meta, bodies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
+        metas, bodies, size = [], [], 0
         for batch in batches:
             for part in slices(batch, limit=CHUNK):
-                yield pack(Chunk(part.column("text"), kind), part.column("_rid").to_numpy(), part.column("keys").to_pylist(), seen)
+                meta, own = cut(Chunk(part.column("text"), kind), part.column("_rid").to_numpy(), part.column("keys").to_pylist(), seen)
+                metas.append(meta)
+                bodies += own
+                size += int(meta["size"].sum()) + meta.nbytes
+                if size > PACK_BYTES:
+                    yield _packed(np.concatenate(metas), bodies, buckets)
+                    metas, bodies, size = [], [], 0
+        if metas:
+            yield _packed(np.concatenate(metas), bodies, buckets)
 
     return run
 
 
 def sent_snippets(found: DataFrame, kind: Kind, buckets: int, common: np.ndarray) -> DataFrame:
-    """SNIPPETS of found (_rid, text, keys), the same in whatever order a task gets its rows."""
-    return found.select("_rid", "text", "keys").sortWithinPartitions("_rid").mapInArrow(_snippets(kind, buckets, common), SNIPPETS)
+    """SNIPPETS of found (_rid, text, keys and more), the same in whatever order a task gets its rows."""
+    return found.sortWithinPartitions("_rid").mapInArrow(_snippets(kind, buckets, common), SNIPPETS)
 
 
 Decide = Callable[[np.ndarray, bytes], tuple[np.ndarray, np.ndarray]]
@@ -207,12 +235,13 @@ def _decided(decide: Decide) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, metas, bodies = None, [], []
         for batch in batches:
-            for bucket, meta, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "meta", "body")), strict=True):
+            for bucket, n, meta, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "meta", "body")), strict=True):
                 if bucket != at and metas:
                     yield runs(np.concatenate(metas), b"".join(bodies), decide.width)
                     metas, bodies = [], []
                 at = bucket
-                metas.append(np.frombuffer(meta, META))
+                meta, body = _unpacked(n, meta, body)
+                metas.append(meta)
                 bodies.append(body)
         if metas:
             yield runs(np.concatenate(metas), b"".join(bodies), decide.width)
@@ -242,26 +271,27 @@ def common_anchors(rows: DataFrame, kind: Kind) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int64).view(np.uint64))
 
 
-def repeated_runs(rows: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
-    """_rid, start, stop (tokens) of what repeated windows cover in each row of rows (_rid, text); runs may overlap.
+def listed(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The values of each _rid as an array; dealt first, as few of a key meet in a task before."""
+    return rows.repartition(partitions(rows.sparkSession), "_rid").groupBy("_rid").agg(F.collect_list(value).alias(name)).hint("shuffle_hash")  # texts aren't sorted
+
 
-    decide gets the snippets of a bucket (META, and their bodies end to end) and gives row key and start of each window
-    that also stands earlier.
+def with_runs(rows: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
+    """rows (_rid, doc_id, text) and runs: an array of (start, stop), in tokens, of what repeated windows cover (null: none).
+
+    Runs may overlap. decide gets the snippets of a bucket (META, and their bodies end to end) and gives row key and start
+    of each window that also stands earlier.
     """
     spark = rows.sparkSession
     small_batches(spark)
     buckets = BUCKETS_EACH * partitions(spark)
     common = common_anchors(rows, kind)
-    texts = rows.select("_rid", "text")
-    twice = dealt(texts.mapInArrow(_anchors(kind, buckets, common), POSTINGS)).mapInArrow(_repeated, "_rid long, key long")
-    lists = twice.groupBy("_rid").agg(F.collect_list("key").alias("keys")).hint("shuffle_hash")  # texts aren't sorted
-    found = texts.join(lists, "_rid", "left") if len(common) else texts.join(lists, "_rid")
-    return materialize(dealt(sent_snippets(found, kind, buckets, common)).mapInArrow(_decided(decide), RUNS))
-
-
-def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """rows and their runs as an array (null: none)."""
-    return rows.join(runs.groupBy("_rid").agg(F.collect_list(F.struct("start", "stop")).alias("runs")).hint("shuffle_hash"), "_rid", "left")
+    found = dealt(rows.select("_rid", "text").mapInArrow(_anchors(kind, buckets, common), POSTINGS)).mapInArrow(_repeated, "_rid long, key long")
+    # both joins read one exchange of the texts, so they must ask for the same rows and columns
+    texts = rows.where("_rid is not null").select("_rid", "doc_id", "text").repartition(partitions(spark), "_rid")
+    cut = texts.join(listed(found, F.col("key"), "keys"), "_rid", "left" if len(common) else "inner")
+    runs = dealt(sent_snippets(cut, kind, buckets, common)).mapInArrow(_decided(decide), RUNS)
+    return texts.join(listed(runs, F.struct("start", "stop"), "runs"), "_rid", "left")
 
 
 def covered(n: int, runs: list | None) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, slices
-from .repeats import CHUNK, Kind, covered, repeated_runs, with_runs
+from .repeats import CHUNK, Kind, covered, with_runs
 
 WIDTH = 20
 GRAM = 8
@@ -105,8 +105,7 @@ class ByAutomaton:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """_rid, doc_id, text and runs: the words of each row of docs (doc_id, text) that repeated windows cover."""
-    rows = keyed(docs)
-    return with_runs(rows, repeated_runs(rows, Kind(True, width, GRAM, True), ByAutomaton(width)))
+    return with_runs(keyed(docs), Kind(True, width, GRAM, True), ByAutomaton(width))
 
 
 def kept_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:

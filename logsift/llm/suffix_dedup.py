@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, slices
-from .repeats import CHUNK, Kind, covered, repeated_runs, with_runs
+from .repeats import CHUNK, Kind, covered, with_runs
 
 WIDTH = 50
 GRAM = 20
@@ -26,39 +26,59 @@ class ByRadix:
         self.width = width
 
     def __call__(self, meta: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-        if not len(meta):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        data = np.frombuffer(body + bytes(DIGIT), np.uint8).astype(np.uint64)
-        digits = np.zeros(len(body) + 1, np.uint64)  # the eight bytes from each place on
-        for k in range(DIGIT):
-            digits = (digits << np.uint64(8)) | data[k : k + len(digits)]
-        offset = np.concatenate(([0], np.cumsum(meta["size"], dtype=np.int64)))[:-1]
-        reps = meta["windows"].astype(np.int64)
+        rid, step, at = self._windows(meta)
+        # whole equal snippets of one anchor: all windows of those after the first document's stand in it
+        groups, least = np.zeros(len(meta), np.int64), {}
+        for i, (key, start, size) in enumerate(zip(meta["key"].tolist(), at.tolist(), meta["size"].tolist(), strict=True)):
+            groups[i] = least.setdefault((key, body[start : start + size]), len(least))
+        first = np.full(len(least), np.iinfo(np.int64).max)
+        np.minimum.at(first, groups, rid)
+        copy = rid > first[groups]
+        late, steps = self._sorted(meta[~copy], at[~copy], body) if len(least) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        which = np.repeat(np.flatnonzero(copy), step[copy])
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(step[copy]) - step[copy], step[copy])
+        late = np.flatnonzero(~copy)[late]
+        return np.concatenate((rid[which], rid[late])), np.concatenate((meta["start"][which] + inner, meta["start"][late] + steps)).astype(np.int64)
+
+    @staticmethod
+    def _windows(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row key, number of windows, and place of the body of each snippet."""
+        ends = np.cumsum(meta["size"], dtype=np.int64)
+        return meta["rid"].astype(np.int64), meta["windows"].astype(np.int64), ends - meta["size"]
+
+    def _sorted(self, meta: np.ndarray, offset: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Snippet and step of each window that also stands in one of a smaller row key: passes of eight bytes, most
+        significant first."""
+        none = np.zeros(0, np.int64)
+        anchors, group = np.unique(meta["key"], return_inverse=True)
+        several = np.bincount(group, minlength=len(anchors)) > 1
+        reps = np.where(several[group], meta["windows"].astype(np.int64), 0)
         which = np.repeat(np.arange(len(meta)), reps)
+        if not len(which):
+            return none, none
         step = np.arange(len(which)) - np.repeat(np.cumsum(reps) - reps, reps)
-        at, rid = offset[which] + step, meta["rid"][which]
-        live = np.arange(len(which))
-        group = np.unique(meta["key"], return_inverse=True)[1][which]
-        depths = [*range(0, self.width - DIGIT + 1, DIGIT), *([self.width - DIGIT] if self.width % DIGIT else [])]
-        for depth in [None, *depths]:  # None: by shared anchor
-            digit = np.zeros(len(live), np.uint64) if depth is None else digits[at[live] + depth]
-            order = np.lexsort((rid[live], digit, group))
+        data = np.frombuffer(body + bytes(DIGIT), np.uint8)
+        at, rid, group = offset[which] + step, meta["rid"][which].astype(np.int64), group[which]
+        live = np.argsort(group, kind="stable")
+        group = group[live]
+        for depth in [*range(0, self.width - DIGIT + 1, DIGIT), *([self.width - DIGIT] if self.width % DIGIT else [])]:
+            digit = np.zeros(len(live), np.uint64)
+            for k in range(DIGIT):
+                digit = (digit << np.uint64(8)) | data[at[live] + (depth + k)]
+            order = np.lexsort((digit, group))
             live, digit, group = live[order], digit[order], group[order]
             new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
+            begin = np.flatnonzero(new)
+            apart = np.minimum.reduceat(rid[live], begin) != np.maximum.reduceat(rid[live], begin)
             group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            last = np.concatenate((first[1:], [len(live)])) - 1
-            several = rid[live[first]] != rid[live[last]]
-            keep = several[group]
+            keep = apart[group]
             live, group = live[keep], group[keep]
             if not len(live):
-                break
-        if not len(live):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.concatenate(([True], group[1:] != group[:-1]))
-        least = rid[live][new][np.cumsum(new) - 1]
+                return none, none
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        least = np.repeat(np.minimum.reduceat(rid[live], begin), np.diff(np.concatenate((begin, [len(live)]))))
         late = live[rid[live] > least]
-        return rid[late], meta["start"][which[late]].astype(np.int64) + step[late]
+        return which[late], step[late]
 
 
 def remove_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -67,8 +87,7 @@ def remove_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A byte goes if a string of width bytes over it also starts in a document with a smaller doc_id. Null text is empty.
     Of rows that repeat a doc_id the one with the smaller text counts as the smaller; null ids are the largest.
     """
-    rows = keyed(docs)
-    both = with_runs(rows, repeated_runs(rows, Kind(False, width, GRAM, False), ByRadix(width)))
+    both = with_runs(keyed(docs), Kind(False, width, GRAM, False), ByRadix(width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
