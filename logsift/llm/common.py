@@ -252,22 +252,23 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return spread.join(copied, [key, "_salt"], how).drop("_salt")
 
 
-#: Rows of a key beyond which it is spread over tasks; at least one of HOT_SHARE of all rows, so that few keys are.
+#: Rows of a key beyond which it is spread over tasks; at least one of HOT_SHARE of all rows, so that few keys are and
+#: all their copies together are at most HOT_SHARE more.
 HOT_ROWS = 2_000
 HOT_SHARE = 20_000
-MOST_SALTS = 256
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Join of left, where a key may hold any share of the rows, to right, where it stands once and its rows are large.
+def hot_join(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """Join of left, where a key may hold any share of the rows, to right, where it stands once and its rows may be large.
 
     Only keys with many rows are spread, so right is copied for those alone: at most HOT_SHARE keys, which are broadcast.
     left is read more than once and should be written.
     """
+    keys = list(key)
     limit = max(HOT_ROWS, left.count() // HOT_SHARE)
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > limit)
-    hot = F.broadcast(materialize(hot.select(key, F.least(F.ceil(F.col("_c") / limit), F.lit(MOST_SALTS)).cast("int").alias("_s"))))
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > limit)
+    hot = F.broadcast(materialize(hot.select(*keys, F.ceil(F.col("_c") / limit).cast("int").alias("_s"))))
     salt = F.pmod(F.xxhash64(*(F.col(c) for c in left.columns)), F.coalesce("_s", F.lit(1))).cast("int")
-    spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_s")
-    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s")
-    return spread.join(copied, [key, "_salt"]).drop("_salt")
+    spread = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_s")
+    copied = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s")
+    return spread.join(copied, [*keys, "_salt"]).drop("_salt")

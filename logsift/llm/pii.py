@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize
+from .common import hot_join, keyed, materialize
 
 KEY = "corpus"
-#: From this attempt on a surrogate is longer than its entity, so that any number of entities gets distinct ones.
-WIDEN = 8
-SALTS = 16
+#: From this attempt on a surrogate other than a name is longer than its entity, so that any number of entities gets
+#: distinct ones. Names grow by a syllable every other attempt.
+WIDEN = 24
 _TITLE_M, _TITLE_F = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин", "Mrs|Ms|Miss|Frau|Madame|Señora|Sra|г-жа|госпожа"
 _FIRST = "".join(sorted({t[0] for t in f"{_TITLE_M}|{_TITLE_F}".split("|")}))
 #: What a text with an entity contains, but for digits and @: cheap to look for before the patterns are tried.
@@ -36,8 +36,8 @@ PATTERNS = {
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     # by the country's length; of other countries groups of four, or any length without blanks
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?![A-Za-z0-9])|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9]))",
-    "man": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_M})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
-    "woman": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_F})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "man": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_M})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "woman": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_F})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
     "secret": r"(?<==)(?<=password=|passwd=|secret=|api_key=)[^\s\"',;]{6,}+",
     # last, as these fit what the types above do: 8 to 15 digits after a plus sign
     "abroad": r"(?<![\w+])\+(?=\d(?:[ .()/-]{0,2}\d){7,14}(?!\d))\d{1,3}(?:[ .-]?\(\d{1,5}\)|[ ./-]?\d){5,14}(?!\d)",
@@ -55,6 +55,11 @@ NAMES = {
 SYLLABLES = {True: "bar den fel gor hal jen kor lin mar nel por ran sel tor ven wil".split(), False: "бар вен гор дан жел зор кал лен мар нор пел ров сан тел фор чен".split()}
 
 
+#: Types of the parts of names: family or first name by gender, each by script.
+CYRILLIC = r"\p{IsCyrillic}"
+_SCRIPT = {True: "", False: "_cyrillic"}
+
+
 def _noise(*parts: Column) -> Column:
     """256 hex digits of a keyed hash."""
     text = F.concat_ws("\u0001", *parts)
@@ -110,44 +115,72 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     ip = F.concat_ws(".", *((n(i, 254) + 1).cast("string") for i in range(4)))
     access = F.concat(F.lit("AKIA"), _shape(F.substring(entity, F.lit(5), F.length(entity)), noise))
     iban = F.concat(F.substring(entity, 1, 2), _shape(F.substring(entity, F.lit(3), F.length(entity)), noise))
-    parts = F.split(entity, " ")
-    latin = ~F.element_at(parts, -1).rlike(r"\p{IsCyrillic}")
-    # a family name has a hash of its own, so that it is replaced alike with and without a first name
-    family = _noise(F.lit(key), F.lit("family"), F.element_at(parts, -1), F.when(F.size(parts) > 2, F.lit("0")).otherwise(salt))
-    syllables = lambda s: F.initcap(F.concat(*(_pick(SYLLABLES[s], _number(family, F.lit(i), 16)) for i in range(4))))
-    last = F.when(latin, syllables(True)).otherwise(syllables(False))
-    first = reduce(lambda rest, x: F.when((kind == x[0][0]) & (latin == F.lit(x[0][1])), _pick(x[1], n(9, 16))).otherwise(rest), NAMES.items(), F.lit(""))
-    name = F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], first, last)).otherwise(F.concat_ws(" ", parts[0], last))
-    cases = {"email": email, "phone": phone, "card": card, "ip": ip, "access": access, "hex": _shape(entity, noise, "abcdef"), "iban": iban, "man": name, "woman": name, "abroad": phone, "number": card}
+    def syllables(latin: bool, count: Column) -> Column:
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(SYLLABLES[latin], _number(noise, i, 16))), ""))
+
+    longer = F.floor(attempt / 2).cast("int")
+    names = {f"family{_SCRIPT[x]}": syllables(x, longer + 4) for x in SYLLABLES}
+    for (gender, latin), known in NAMES.items():
+        ending = ("a" if latin else "а") if gender == "woman" else ""
+        names[f"{gender}{_SCRIPT[latin]}"] = F.when(attempt < 2, _pick(known, n(9, 16))).otherwise(F.concat(syllables(latin, longer + 1), F.lit(ending)))
+    cases = {"email": email, "phone": phone, "card": card, "ip": ip, "access": access, "hex": _shape(entity, noise, "abcdef"), "iban": iban, "abroad": phone, "number": card}
     whole = reduce(lambda rest, k: F.when(kind == k, cases[k]).otherwise(rest), cases, _shape(entity, noise))
-    return F.when(attempt < WIDEN, whole).otherwise(F.concat(whole, F.substring(noise, 1, 8)))
+    whole = F.when(attempt < WIDEN, whole).otherwise(F.concat(whole, F.substring(noise, 1, 8)))
+    return reduce(lambda rest, k: F.when(kind == k, names[k]).otherwise(rest), names, whole)
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """entity and its surrogate for each distinct entity (kind, entity).
+    """kind, entity and its surrogate for each distinct entity (kind, entity).
 
     A surrogate that another entity has got, or that is itself an entity of the table, is drawn anew.
     """
     todo, settled = entities.withColumn("attempt", F.lit(0)), None
+    pair = ["kind", "entity"]
     while True:
         drawn = materialize(todo.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
-        first = drawn.groupBy("surrogate").agg(F.min("entity").alias("entity"))
-        ok = drawn.join(first, ["surrogate", "entity"], "left_semi").join(entities.select(F.col("entity").alias("surrogate")), "surrogate", "left_anti")
+        first = drawn.groupBy("surrogate").agg(F.min(F.struct(*pair)).alias("_f")).select("surrogate", "_f.*")
+        ok = drawn.join(first, ["surrogate", *pair], "left_semi").join(entities.select(F.col("entity").alias("surrogate")), "surrogate", "left_anti")
         if settled is not None:
             ok = ok.join(settled.select("surrogate"), "surrogate", "left_anti")
-        ok = materialize(ok.select("entity", "surrogate", "attempt"))
+        ok = materialize(ok.select(*pair, "surrogate", "attempt"))
         settled = ok if settled is None else settled.unionByName(ok)
-        todo = drawn.join(ok.select("entity"), "entity", "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
+        todo = drawn.join(ok.select(*pair), pair, "left_anti").select(*pair, (F.col("attempt") + 1).alias("attempt"))
         todo = materialize(todo)
         if todo.isEmpty():
-            return settled.select("entity", "surrogate")
+            return settled.select(*pair, "surrogate")
+
+
+def name_parts(names: DataFrame) -> DataFrame:
+    """names (kind, entity) with their title, and kind and text of family and first name (null: none)."""
+    parts = F.split("entity", " ")
+    typed = lambda stem, part: F.concat(stem, F.when(part.rlike(CYRILLIC), _SCRIPT[False]).otherwise(_SCRIPT[True]))
+    rows = names.select("kind", "entity", parts[0].alias("title"), F.element_at(parts, -1).alias("family"), F.when(F.size(parts) > 2, parts[1]).alias("first"))
+    return rows.withColumn("family_kind", typed(F.lit("family"), F.col("family"))).withColumn("first_kind", typed(F.col("kind"), F.col("first")))
+
+
+def replacements(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """entity and surrogate for each distinct entity (kind, entity).
+
+    Families and first names are settled by themselves, each distinct, and names are put together from them: a family has
+    one surrogate with every title and first name, which no other family has, and so different names stay different.
+    """
+    is_name = F.col("kind").isin("man", "woman")
+    named = name_parts(entities.where(is_name))
+    parts = named.select(F.explode(F.array(F.struct(F.col("family_kind").alias("kind"), F.col("family").alias("entity")), F.struct(F.col("first_kind").alias("kind"), F.col("first").alias("entity")))).alias("x"))
+    parts = parts.select("x.*").where("entity is not null").distinct()
+    settled = surrogates(materialize(entities.where(~is_name).unionByName(parts)), key)
+    side = lambda k: settled.select(F.col("kind").alias(f"{k}_kind"), F.col("entity").alias(k), F.col("surrogate").alias(f"new_{k}"))
+    whole = hot_join(materialize(named), side("family"), "family", "family_kind").join(side("first"), ["first", "first_kind"], "left")
+    whole = whole.select("entity", F.concat_ws(" ", "title", "new_first", "new_family").alias("surrogate"))
+    return settled.where(~F.col("kind").startswith("family") & ~F.col("kind").startswith("man") & ~F.col("kind").startswith("woman")).select("entity", "surrogate").unionByName(whole)
 
 
 def replace_entities(docs: DataFrame, columns: list[str] | None = None, key: str = KEY) -> DataFrame:
     """The rows of docs (doc_id, text), with the named columns, their texts' entities replaced, and n_replaced.
 
     Texts without an entity, empty and null ones stay as they are. Entities match where no longer one has begun before;
-    of types that begin at one place the first in PATTERNS counts. Rows that repeat a doc_id are treated alike.
+    of types that begin at one place the first in PATTERNS counts. Rows that repeat a doc_id are treated alike. No rows: no
+    rows.
     """
     cols = columns or ["doc_id", "text"]
     rest = [c for c in cols if c != "text"]
@@ -158,10 +191,9 @@ def replace_entities(docs: DataFrame, columns: list[str] | None = None, key: str
     spots = hits.select("_rid", F.posexplode("_found").alias("at", "entity"))
     entities = materialize(spots.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).select(kind_of(F.col("entity")).alias("kind"), "entity"))
     real = (F.col("kind") != LUHN) | (_checked(F.col("entity")) == F.col("entity"))
-    known = surrogates(entities.where(real), key).unionByName(entities.where(~real).select("entity", F.col("entity").alias("surrogate")))
-    table = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # an entity may stand in any share of the rows
-    spots = spots.withColumn("_salt", F.pmod(F.xxhash64("_rid", "at"), F.lit(SALTS)).cast("int"))
-    filled = spots.join(table, ["entity", "_salt"]).groupBy("_rid").agg(F.collect_list(F.struct("at", "surrogate")).alias("_new"), F.count_if(F.col("surrogate") != F.col("entity")).alias("_n"))
+    known = replacements(entities.where(real), key).unionByName(entities.where(~real).select("entity", F.col("entity").alias("surrogate")))
+    # an entity may stand in any share of the rows
+    filled = hot_join(materialize(spots), known, "entity").groupBy("_rid").agg(F.collect_list(F.struct("at", "surrogate")).alias("_new"), F.count_if(F.col("surrogate") != F.col("entity")).alias("_n"))
     new = F.transform(F.sort_array("_new"), lambda x: x["surrogate"])
     text = F.array_join(F.zip_with("_pieces", new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     done = hits.join(filled, "_rid").select(*rest, text.alias("text"), F.col("_n").alias("n_replaced"))
