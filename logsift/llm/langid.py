@@ -16,17 +16,28 @@ from .common import in_fold, materialize, small_batches
 
 #: Documents whose words are learned, for each language about; all of them if there are fewer.
 FIT_ROWS = 1000
-#: Words, and n-grams of each order, that the model keeps for each language.
+#: Rank in count, for each language, of the last words and n-grams of each order that the model keeps; all that share
+#: that rank's count are kept too.
 TOP_WORDS = 20_000
 TOP_GRAMS = 20_000
+#: Words seen less often are told by their n-grams.
+KNOWN_TIMES = 2
 ORDERS = (5, 4, 3, 2, 1)
 #: Log of the weight that a step to shorter n-grams costs.
 BACKOFF = math.log(0.4)
 CACHE = 150_000
-LETTERS = re.compile(r"[^\W\d_]+")
+ALNUM = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+def words_in(text: str | None) -> list[str]:
+    """Runs of letters in lower case; figures such as ½ or Ⅷ aren't letters."""
+    found = ALNUM.findall((text or "").lower())
+    if "".join(found).isalpha():
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words and n-grams by language in a task's rows, given out whenever they grow large."""
 
@@ -38,7 +49,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             words: dict[str, int] = {}
-            for w in LETTERS.findall((text or "").lower()):
+            for w in words_in(text):
                 words[w] = words.get(w, 0) + 1
             for w, n in words.items():
                 seen[lang, 0, w] = seen.get((lang, 0, w), 0) + n
@@ -103,7 +114,7 @@ class WordModel:
         return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
+        words = words_in(text)
         if not words or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
@@ -125,8 +136,8 @@ class WordModel:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[str, int, str, int]]:
     """(language, 0 or the n-gram's length, item, count) of the labelled documents outside the held-out fold.
 
-    About fit_rows documents of each language are learned from, chosen by a hash of doc_id; the model's size is
-    bounded by TOP_WORDS and TOP_GRAMS for each language and order.
+    About fit_rows documents of each language are learned from, chosen by a hash of doc_id. Of their words and n-grams the
+    most frequent ones are kept, through rank TOP_WORDS and TOP_GRAMS, with all of the last one's count.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id")))
@@ -136,18 +147,19 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[str, int, str,
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, fit_rows / r["count"]))).otherwise(share)
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
     counts = picked.mapInArrow(_counts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where((F.col("kind") > 0) | (F.col("n") > 1)))
-    # the count that the item at the rank of the bound has, from a bounded histogram of counts
-    rows = []
-    hist = counts.groupBy("lang", "kind", F.least("n", F.lit(10_000)).alias("c")).count().collect()
+    counts = materialize(counts.where((F.col("kind") > 0) | (F.col("n") >= KNOWN_TIMES)))
+    # the count of the item at the last rank, from the number of items of each count: few, as the counts' sum is bounded
+    hist: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", "kind", "n").count().collect():
+        hist.setdefault((r["lang"], r["kind"]), []).append((r["n"], r["count"]))
     least: dict[tuple[str, int], int] = {}
-    for lang, kind in {(r["lang"], r["kind"]) for r in hist}:
+    for (lang, kind), found in hist.items():
         left = TOP_GRAMS if kind else TOP_WORDS
-        for r in sorted((r for r in hist if (r["lang"], r["kind"]) == (lang, kind)), key=lambda r: -r["c"]):
-            left -= r["count"]
-            if left < 0:
+        for n, items in sorted(found, reverse=True):
+            least[lang, kind] = n
+            left -= items
+            if left <= 0:
                 break
-            least[lang, kind] = r["c"]
     keep = F.lit(False)
     for (lang, kind), c in least.items():
         keep = keep | ((F.col("lang") == lang) & (F.col("kind") == kind) & (F.col("n") >= c))
