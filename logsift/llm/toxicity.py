@@ -5,18 +5,23 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, slices, small_batches, text_bytes
+from .common import in_fold, slices, small_batches
 
 #: Labelled documents that the scorer learns from at most, chosen by a hash of doc_id.
 FIT_ROWS = 6_000
-TOP_FEATURES = 20_000
+#: Classes of characters: 0 for what isn't a letter, 1 to 26 for a to z with and without accents, the rest for the letters
+#: of other scripts, dealt by code point. From FROM_HERE on every character counts as a letter.
+CLASSES = 64
+FROM_HERE = 0x3400
 PREFIXES = (4, 5, 6, 7)
 #: Least log likelihood ratio by which a feature's toxic rate is above the base rate.
 EVIDENCE = 14.0
@@ -37,28 +42,42 @@ REPEATED = re.compile(r"(.)\1\1")
 DOUBLED = re.compile(r"(.)\1")
 
 
+def letter_class(c: str) -> int:
+    low = c.lower()[:1]
+    base = unicodedata.normalize("NFD", low)[:1]
+    if "a" <= base <= "z":
+        return ord(base) - 96
+    return 27 + ord(low) % (CLASSES - 27) if low.isalpha() or ord(low) >= FROM_HERE else 0
+
+
+@lru_cache(1)
+def class_table() -> np.ndarray:
+    """letter_class of every code point."""
+    table = 27 + np.arange(0x110000) % (CLASSES - 27)
+    table[:FROM_HERE] = [letter_class(chr(c)) for c in range(FROM_HERE)]
+    return table.astype(np.uint8)
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    code = np.zeros(256, np.int64)
-    code[97:123] = code[65:91] = np.arange(1, 27)
-    total = np.zeros(27**3, np.int64)
+    total, table = np.zeros(CLASSES**3, np.int64), class_table()
     for batch in batches:
         for part in slices(batch):
-            data, _ = text_bytes(part.column("text"))
-            x = np.concatenate(([0, 0], code[data], [0]))
-            total += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
+            text = "\n".join(x or "" for x in part.column("text").to_pylist())
+            x = np.concatenate(([0, 0], table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], [0])).astype(np.int32)
+            total += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=CLASSES**3)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
-    """Log probability of a letter (0: anything else) after two others, from the trigrams of all whole texts."""
+    """Log probability of a class of letter (0: anything else) after two others, from the trigrams of all whole texts."""
     small_batches(docs.sparkSession)
     sums = docs.select(docs["text"].alias("text")).mapInArrow(_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(27**3)
-    for r in sums:  # 27**3 at most
+    n = np.zeros(CLASSES**3)
+    for r in sums:  # CLASSES**3 at most
         n[r["gram"]] = r["n"]
-    n = n.reshape(27, 27, 27)
-    uni = (n.sum((0, 1)) + 1) / (n.sum() + 27)
+    n = n.reshape(CLASSES, CLASSES, CLASSES)
+    uni = (n.sum((0, 1)) + 1) / (n.sum() + CLASSES)
     bi = (n.sum(0) + 5 * uni) / (n.sum((0, 2))[:, None] + 5)
     return np.log((n + 5 * bi[None]) / (n.sum(2, keepdims=True) + 5))
 
@@ -68,6 +87,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.classes: dict[str, int] = {}
 
     def decode(self, seen: str, drop_spaces: bool = False) -> str:
         """The likeliest letters behind the characters seen; best paths are kept for each pair of last letters."""
@@ -92,7 +112,9 @@ class Restorer:
                     if not x:
                         key, q, t = (a, b), p + cost, s
                     else:
-                        k = ord(x) - 96 if "a" <= x <= "z" else 0
+                        k = self.classes.get(x)
+                        if k is None:
+                            k = self.classes[x] = letter_class(x)
                         key, q, t = (b, k), p + cost + lm[a][b][k], s + x
                     if key not in nxt or q > nxt[key][0]:
                         nxt[key] = (q, t)
@@ -162,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, fit_rows: int = FIT_
     rate = F.col("bad") / (F.col("clean") + F.col("bad"))
     gain = F.col("bad") * F.log(rate / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
     telling = sums.where((F.col("feature") != "") & (F.col("bad") > 1)).withColumn("gain", gain).where((rate >= 0.5) & (F.col("gain") > EVIDENCE))
-    rows = telling.orderBy(F.col("gain").desc(), "feature").limit(TOP_FEATURES).collect()
+    rows = telling.orderBy(F.col("gain").desc(), "feature").collect()  # as many as fit_rows documents give evidence for
     weights = {r["feature"]: (r["bad"] + base) / (r["bad"] + r["clean"] + 1) for r in rows}
     share = spark.sparkContext.broadcast(weights)
 
@@ -242,7 +264,7 @@ class Scorer:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs (doc_id, text), and the columns of docs as _doc.
+    """doc_id, held_out, score and predicted of every row of docs (doc_id, text).
 
     The character model counts all whole texts; labels are learned outside the held-out fold only. Null, empty or
     wordless text scores as a document without telling words does. Without labels every score is 0. A null doc_id
@@ -264,7 +286,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
 
 def keep_nontoxic(docs: DataFrame, labels: DataFrame, columns: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs, with the named columns, that aren't predicted toxic."""
+    """The rows of docs, with the named columns, that aren't predicted toxic.
+
+    Null, empty and wordless texts stay, as do all rows if there are no labels. Rows that repeat a doc_id are judged each on
+    its own. No rows: no rows.
+    """
     small_batches(docs.sparkSession)
     lm = character_model(docs)
     model = docs.sparkSession.sparkContext.broadcast((lm, *fit(docs, labels, lm, fit_rows)))
