@@ -18,6 +18,8 @@ PERMUTATIONS = 128
 SHINGLE = 5
 BANDS = 32
 SIMILAR = 0.8
+#: Ranges of row keys for each partition.
+RANGES_EACH = 4
 _rng = np.random.Generator(np.random.PCG64(7))
 #: Universal hashing by multiply and shift: odd factors and offsets of the permutations.
 FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,6 +109,7 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, bands: int = BAND
     least the threshold. Texts without words have no link.
     """
     rows = PERMUTATIONS // bands
+    docs = docs.select("_rid", "text")
     prints = fingerprints(docs).where(F.col("signature") != F.lit(b"\xff" * (4 * PERMUTATIONS)))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * rows) + 1, F.lit(4 * rows))))
     keys = materialize(prints.select("_rid", F.explode(band).alias("key")))
@@ -135,25 +138,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return materialize(left.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, jaccard double").where(F.col("jaccard") >= threshold))
 
 
-def with_next(rows: DataFrame) -> tuple[DataFrame, int]:
+def with_next(rows: DataFrame) -> DataFrame:
     """rows (_rid, ...) dealt to ranges of _rid, with the first row of each range also at the end of the range before.
 
     Adds _p, the range, and _extra, 1 for such a copy; sorted by both and _rid in each partition. The first row of all
-    follows the last.
+    follows the last. Ranges are several for each partition, and dealt in order, so that partitions hold about as many.
     """
     spark = rows.sparkSession
     n = partitions(spark)
-    cuts = sorted({int(x) for x in rows.select("_rid").approxQuantile("_rid", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
+    k = RANGES_EACH * n
+    cuts = sorted({int(x) for x in rows.select("_rid").approxQuantile("_rid", [i / k for i in range(1, k)], 0.25 / k)})
     rank = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("_rid"))) if cuts else F.lit(0)
     ids = rows.select("_rid", rank.alias("_p"))
     heads = sorted((r["_p"], r["h"]) for r in ids.groupBy("_p").agg(F.min("_rid").alias("h")).collect())  # a row for each partition
-    before = {h: heads[i - 1][0] for i, (_, h) in enumerate(heads)}
-    copy = F.lit(None).cast("int")
-    for h, p in before.items():
-        copy = F.when(F.col("_rid") == h, F.lit(p)).otherwise(copy)
+    back = spark.createDataFrame([(h, heads[i - 1][0]) for i, (_, h) in enumerate(heads)], "_rid long, _c int")
     spots = F.array_compact(F.array(F.struct(F.col("_p").alias("p"), F.lit(0).alias("e")), F.when(F.col("_c").isNotNull(), F.struct(F.col("_c").alias("p"), F.lit(1).alias("e")))))
-    dealt = rows.withColumn("_p", rank).withColumn("_c", copy).withColumn("_x", F.explode(spots)).withColumn("_p", F.col("_x.p")).withColumn("_extra", F.col("_x.e")).drop("_x", "_c")
-    return dealt.repartition(max(1, n), "_p").sortWithinPartitions("_p", "_extra", "_rid"), n
+    dealt = rows.withColumn("_p", rank).join(F.broadcast(back), "_rid", "left").withColumn("_x", F.explode(spots)).withColumn("_p", F.col("_x.p")).withColumn("_extra", F.col("_x.e")).drop("_x", "_c")
+    return dealt.repartitionByRange(max(1, n), "_p").sortWithinPartitions("_p", "_extra", "_rid")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = keyed(docs).select("_rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt, _ = with_next(rows)
+    dealt = with_next(rows)
 
     def work(run: list[tuple]) -> pa.RecordBatch:
         """run: consecutive rows (doc_id, text); the last is only the next one of the row before."""
@@ -197,5 +198,29 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     return dealt.select("_p", "_extra", "doc_id", "text").mapInArrow(run, NEXT_SCHEMA)
 
 
+def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id that links reach) and n_links of every row of docs (doc_id, text).
+
+    Of equal texts the first stands for all, which link to it alone; the bands are joined between such first ones.
+    Two documents that share no band aren't linked: at a similarity of 0.8 that is one pair in about two million. Null, empty
+    and wordless texts have no link. Rows that repeat a doc_id are documents of their own; null ids come last in order.
+    """
+    rows = keyed(docs)
+    worded = rows.where(F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)))
+    digest = materialize(worded.select("_rid", F.sha2("text", 256).alias("key"), F.length("text").alias("n")))
+    first = digest.groupBy("key", "n").agg(F.min("_rid").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    same = materialize(hot_join(digest, first, "key", "n").where("_rid > rep").select("_rid", "rep"))
+    links = materialize(similar_pairs(worded.join(same.hint("shuffle_hash"), "_rid", "left_anti"), threshold).select(F.col("left").alias("a"), F.col("right").alias("b")))
+    links = links.unionByName(same.select(F.col("rep").alias("a"), F.col("_rid").alias("b")))
+    counts = links.select(F.explode(F.array("a", "b")).alias("_rid")).groupBy("_rid").agg(F.count(F.lit(1)).alias("n_links"))
+    ids = rows.select("_rid", F.col("doc_id").cast("long").alias("doc_id"))
+    labels = ids.join(components(links), "_rid", "left").join(counts, "_rid", "left").select("doc_id", F.coalesce("label", "_rid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return hot_join(materialize(labels), ids.select(F.col("_rid").alias("label"), F.col("doc_id").alias("component_id")), "label").select("doc_id", "component_id", "n_links")
+
+
+def fingerprint_near_copies(spark, sf_dir: str) -> DataFrame:
+    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     return edited_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -15,5 +15,6 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
+    "fingerprint_near_copies": fingerprint.fingerprint_near_copies,  # op9's bands and verified links
 }
 ORACLE_SQL = {"op1_quality_rules": quality.SQL}
