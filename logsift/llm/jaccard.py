@@ -388,7 +388,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first_of_class(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of docs, with the named columns, that have the smallest row key of their class."""
+    """The rows of docs (doc_id, text), with the named columns, that come first in their class of linked ones.
+
+    Null, empty and wordless texts stay, each on its own. Of rows that repeat a doc_id the one with the smaller text comes
+    first; null ids come last. No rows: no rows.
+    """
     rows = keyed(docs, *columns)
     gone = classes(rows).where("label <> _rid").select("_rid")
     return rows.join(gone.hint("shuffle_hash"), "_rid", "left_anti").select(*columns)  # texts aren't sorted

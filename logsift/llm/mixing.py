@@ -47,7 +47,9 @@ def pivotal(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: str) -> np.
 
     Documents are taken largest first, each paired with all smaller ones as one pool that shares a probability shift:
     while they have the same probability the pool is one unit; mass moves up or down, with the chances that keep the
-    expectation, until the document or the pool is integral. So what stays fractional is small.
+    expectation, until the document or the pool is integral. What stays fractional is small, unless a document is larger
+    than all smaller ones together: the pool may then be integral first, and the document is rounded by itself, which
+    puts its source off by half that document at most.
     """
     order = np.lexsort((ids, -sizes))
     out = p.astype(float).copy()
@@ -148,7 +150,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of the mix: each document as often as it is taken."""
+    """The rows of the mix, with the named columns: each document of docs (doc_id, text, source) as often as it is taken.
+
+    Rows without words aren't taken. Null source is a source of its own. Rows that repeat a doc_id count each on its own.
+    No rows: no rows.
+    """
     base = keyed(docs, *columns)
     rows = materialize(base.select("_rid", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size")))
     taken = copies(rows).where("copies > 0").select("_rid", F.expr("array_repeat(0, cast(copies as int))").alias("_n"))

@@ -116,7 +116,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     access = F.concat(F.lit("AKIA"), _shape(F.substring(entity, F.lit(5), F.length(entity)), noise))
     iban = F.concat(F.substring(entity, 1, 2), _shape(F.substring(entity, F.lit(3), F.length(entity)), noise))
     def syllables(latin: bool, count: Column) -> Column:
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(SYLLABLES[latin], _number(noise, i, 16))), ""))
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(SYLLABLES[latin], _number(noise, i, len(SYLLABLES[latin])))), ""))
 
     longer = F.floor(attempt / 2).cast("int")
     names = {f"family{_SCRIPT[x]}": syllables(x, longer + 4) for x in SYLLABLES}

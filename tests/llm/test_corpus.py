@@ -235,3 +235,114 @@ def test_similar_pairs_behind_an_unrelated_head(spark, monkeypatch):
     rows = [(0, "a head of its own kind"), (1, " ".join(words[0])), (2, " ".join(words[0] + ["x"])), (3, " ".join(words[1])), (4, " ".join(words[2])), (5, " ".join(["y"] + words[1]))]
     got = fingerprint.similar_pairs(spark.createDataFrame(rows, "_rid long, text string"), bands=2).collect()
     assert sorted((r.left, r.right) for r in got) == [(1, 2), (3, 5)] and all(r.jaccard >= 0.8 for r in got)
+
+
+def test_families_are_distinct_and_coreferent(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {True: ["ba", "do"], False: ["ба", "до"]})  # sixteen families at first
+    monkeypatch.setattr(pii, "NAMES", {k: v[:2] for k, v in pii.NAMES.items()})
+    family = lambda i: "Q" + "".join("aeiou"[i // 5**k % 5] for k in range(3))
+    first = ("Zed", "Yan", "Xio", "Wim", "Vic")
+    rows = [(i, f"Mr. {family(i)}, Mrs. {first[i % 5]} {family(i)} and Mr. {first[i // 5 % 5]} {family(i)}; г-н Я{'аеиоу'[i % 5]}к") for i in range(60)]
+    out = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    parts = {i: re.fullmatch(r"Mr\. (\S+), Mrs\. (\S+) (\S+) and Mr\. (\S+) (\S+); г-н (\S+)", t) for i, t in out.items()}
+    assert all(m and m[1] == m[3] == m[5] for m in parts.values())
+    assert len({m[1] for m in parts.values()}) == 60 and len({m[6] for m in parts.values()}) == 5
+    assert len({(i % 5, m[2]) for i, m in parts.items()}) == 5 == len({m[2] for m in parts.values()})
+    assert len({m[4] for m in parts.values()}) == 5
+
+
+def test_letters_of_any_script():
+    assert langid.words_in("½ x²y Ⅷ 12 Straße_ÉTÉ") == ["x", "y", "straße", "été"] and langid.words_in("½ Ⅷ ²") == []
+    assert langid.WordModel([("en", 0, "x", 3)]).predict("½ ² Ⅷ") == ("und", 0.0)
+    table = toxicity.class_table()
+    assert all(table[ord(c)] == toxicity.letter_class(c) for c in "aZéßÅñжЖ漢1½ _\n")
+    assert toxicity.letter_class("É") == 5 and toxicity.letter_class("ж") == toxicity.letter_class("Ж") > 26 and toxicity.letter_class("½") == 0
+
+
+def test_language_model_keeps_whole_ties(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOP_WORDS", 3)
+    rows = [(i, "alpha alpha beta beta gamma gamma delta delta rare " + "omega " * 40_000, "en") for i in (1, 2, 3, 4, 5)]
+    kept = {item for _, kind, item, _ in langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")) if kind == 0}
+    assert kept == {"alpha", "beta", "gamma", "delta", "omega"}
+
+
+def test_signatures_by_hand(texts, docs):
+    own = {d: t or "" for d, t in texts[:40]}
+    sign = lambda t: fingerprint.signatures(pa.array([t], pa.string()))[0]
+    for t in own.values():
+        hashes, _ = fingerprint.shingle_hashes(pa.array([t], pa.string()))
+        want = [min(((int(h) * int(a) + int(b)) % 2**64 for h in hashes), default=2**64 - 1) >> 32 for a, b in zip(fingerprint.FACTORS, fingerprint.OFFSETS, strict=True)]
+        assert sign(t).tolist() == want
+        assert len(set(hashes.tolist())) == len({tuple(w) for w in _shingles(t)})
+    rows = {r.doc_id: r for r in fingerprint.edited_likeness(docs).collect()}
+    after = dict(zip([d for d, _ in texts], [*texts[1:], texts[0]], strict=True))
+    by_text: dict = {}
+    for d, t in own.items():
+        u = after[d][1] or ""
+        edited = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
+        r = rows[d]
+        assert r.fingerprint == sign(t).astype("<u4").tobytes().hex() == by_text.setdefault(t, r.fingerprint)
+        assert r.edited_fingerprint == sign(edited).astype("<u4").tobytes().hex()
+        assert r.near_edited == np.mean(sign(t) == sign(edited)) and r.near_next == np.mean(sign(t) == sign(u))
+
+
+def _shingles(t):
+    w = [x for x in re.split(r"[ \t-\r]+", t or "") if x]
+    return [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else []
+
+
+def test_near_copies_recall(spark, edge):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 600")
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = {d: {tuple(w) for w in _shingles(t)} for d, t in texts}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in fingerprint.near_copies(docs).collect()}
+    assert links and np.mean([got[a] == got[b] for a, b in links]) >= 0.9
+    label = {d: d for d in sets}
+    for _ in range(4):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert all(label[d] == label[c] for d, c in got.items())  # no link that isn't one
+    rows = [(r.doc_id, r.component_id, r.n_links) for r in fingerprint.near_copies(edge).collect()]
+    assert len(rows) == 9 and (5, 4, 1) in rows and (2, 2, 0) in rows and (3, 3, 0) in rows and rows.count((1, 1, 1)) == 2
+    assert fingerprint.near_copies(edge.limit(0)).count() == 0
+
+
+def test_large_branches(spark, docs, edge, monkeypatch):
+    want = sorted(map(tuple, jaccard.jaccard_classes(docs).collect()))
+    for k, v in {"BROADCAST_SKETCHES": -1, "BROADCAST_KEYS": -1, "GROUP_ROWS": 3}.items():
+        monkeypatch.setattr(jaccard, k, v)
+    assert sorted(map(tuple, jaccard.jaccard_classes(docs).collect())) == want
+    plain = sorted(map(repr, quality.host_quality(edge).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", -1)
+    assert sorted(map(repr, quality.host_quality(edge).collect())) == plain
+
+
+def test_windows_of_hot_anchors_meet_by_themselves(texts, monkeypatch):
+    def removed(kind, decide):
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts], pa.int64()), pa.array([t for _, t in texts], pa.string())], names=["_rid", "text"])
+        none = np.zeros(0, np.uint64)
+        sent = sorted((r for b in repeats._anchors(kind, 8, none)(iter([batch])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        keys: dict = {}
+        for b in repeats._repeated(iter([pa.RecordBatch.from_pylist(sent)])):
+            for r in b.to_pylist():
+                keys.setdefault(r["_rid"], []).append(r["key"])
+        cut = batch.append_column("keys", pa.array([keys.get(d) for d, _ in texts], pa.list_(pa.int64())))
+        sent = sorted((r for b in repeats._snippets(kind, 8, none)(iter([cut])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        out: dict = {}
+        for b in repeats._decided(decide)(iter([pa.RecordBatch.from_pylist(sent)])):
+            for r in b.to_pylist():
+                out.setdefault(r["_rid"], set()).update(range(r["start"], r["stop"]))
+        return out
+
+    kinds = [(repeats.Kind(True, 20, 8, True), substring_dedup.ByAutomaton(20)), (repeats.Kind(False, 50, 20, False), suffix_dedup.ByRadix(50))]
+    want = [removed(*k) for k in kinds]
+    monkeypatch.setattr(repeats, "HOT_DOCS", 1)
+    assert [removed(*k) for k in kinds] == want and all(want)
+
+
+def test_mixing_near_each_target(spark):
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(0.005 * own[0].target, max(r.size for r in own) / 2), source
