@@ -22,7 +22,7 @@ def finding(rows: DataFrame, kind: str, severity: str) -> DataFrame:
 
 def credential_stuffing(events: DataFrame, baselines: DataFrame) -> DataFrame:
     """Runs of failed logins of a user that a successful login ends; any other login ends a run without a finding."""
-    rows = events.where(F.col("action").isin("login", "login_failed"))
+    rows = events.where((F.col("source_type") == "auth") & F.col("action").isin("login", "login_failed"))
     island = F.coalesce(F.sum(F.when(F.col("action") == "login", 1).otherwise(0)).over(Window.partitionBy(*KEY).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = rows.withColumn("island", island).groupBy(*KEY, "island").agg(
         F.count_if(F.col("action") == "login_failed").alias("failed"), F.count_if((F.col("action") == "login") & (F.col("status") == "success")).alias("won"), _in_order("t", "seq").alias("event_ids")
@@ -31,7 +31,7 @@ def credential_stuffing(events: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def unusual_login_ip(events: DataFrame, baselines: DataFrame) -> DataFrame:
-    rows = events.where("action = 'login' and status = 'success'").join(baselines.select(F.col("user").alias("_user"), "normal_ips"), F.col("user") == F.col("_user"))
+    rows = events.where("source_type = 'auth' and action = 'login' and status = 'success'").join(baselines.select(F.col("user").alias("_user"), "normal_ips"), F.col("user") == F.col("_user"))
     rows = rows.where((F.size("normal_ips") > 0) & ~F.array_contains("normal_ips", F.col("source_ip")))
     return finding(rows.withColumn("event_ids", F.col("event_id")), "unusual_login_ip", "warning")
 
@@ -48,7 +48,7 @@ def new_access_after_privilege(events: DataFrame, baselines: DataFrame, width: i
     files = files.where(~F.coalesce(F.exists("normal_directories", lambda d: F.col("resource").startswith(d)), F.lit(False)))
     pairs = followed_by(events.where("action = 'privilege_change'"), files, KEY, width)
     ids = F.concat_ws(",", F.col("c.event_id"), id_list(F.collect_list(F.struct("d.t", "d.seq", "d.event_id"))))
-    return finding(pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id").agg(ids.alias("event_ids")), "new_resource_access_after_privilege_change", "critical")
+    return finding(pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id").agg(ids.alias("event_ids")), "new_resource_access_after_privilege_change", "warning")
 
 
 def after_hours(events: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -57,18 +57,18 @@ def after_hours(events: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def unusual_volume(events: DataFrame, baselines: DataFrame, width: int = 30 * MINUTE, threshold: int = 5) -> DataFrame:
-    return finding(trailing(events.where("user is not null"), KEY, width, threshold), "unusual_volume", "warning")
+    return finding(trailing(events.where("user <> ''"), KEY, width, threshold), "unusual_volume", "warning")
 
 
 def cross_source(events: DataFrame, baselines: DataFrame) -> DataFrame:
-    rows = events.where("user is not null").groupBy(*KEY).agg(F.countDistinct("source_type").alias("k"), _in_order("source_type", "t", "seq").alias("event_ids"))
+    rows = events.where("user <> '' and source_type <> ''").groupBy(*KEY).agg(F.countDistinct("source_type").alias("k"), _in_order("source_type", "t", "seq").alias("event_ids"))
     return finding(rows.where("k >= 2"), "cross_source_activity", "info")
 
 
 def session_gap(events: DataFrame, baselines: DataFrame) -> DataFrame:
     """File and admin events of a session in which the user has no successful login, whenever it was."""
-    logins = events.where("action = 'login' and status = 'success' and session_id is not null").select(*KEY, "session_id").distinct().alias("b")
-    rows = events.where("source_type in ('file_access', 'admin') and session_id is not null").alias("a")
+    logins = events.where("source_type = 'auth' and action = 'login' and status = 'success' and session_id <> ''").select(*KEY, "session_id").distinct().alias("b")
+    rows = events.where("source_type in ('file_access', 'admin') and session_id <> ''").alias("a")
     rows = rows.join(logins, same("a", "b", [*KEY, "session_id"]), "left_anti")
     return finding(rows.groupBy(*KEY).agg(_in_order("t", "seq").alias("event_ids")), "session_continuity_gap", "warning")
 
@@ -93,8 +93,29 @@ def session_hijack(events: DataFrame) -> DataFrame:
 
 def failed_only(events: DataFrame) -> DataFrame:
     """Users with failed logins after their last successful one, or without any."""
-    sums = events.where("action in ('login', 'login_failed')").groupBy(*KEY).agg(
-        F.max(F.when((F.col("action") == "login") & (F.col("status") == "success"), F.col("t"))).alias("won"), F.collect_list(F.when(F.col("action") == "login_failed", F.col("t"))).alias("lost")
+    won = events.where("action = 'login' and status = 'success'").groupBy(*KEY).agg(F.max("t").alias("won")).alias("b")
+    lost = events.where("action = 'login_failed'").alias("a").join(won, same("a", "b", KEY), "left").where("won is null or t > won")
+    return lost.groupBy("a.case_id", "a.user").agg(F.count(F.lit(1)).alias("failures"))
+
+
+def low_and_slow(events: DataFrame, baselines: DataFrame, days: int = 3, per_day: int = 5, action: str = "file_download") -> DataFrame:
+    """Users who download from outside their directories on at least so many days, with at most per_day on any of them."""
+    known = baselines.select(F.col("user").alias("_user"), "normal_directories").where(F.size("normal_directories") > 0)
+    rows = events.where((F.col("action") == action) & (F.col("resource") != "")).join(known, F.col("user") == F.col("_user"))
+    rows = rows.where(~F.exists("normal_directories", lambda d: F.col("resource").startswith(d)))
+    daily = rows.groupBy(*KEY, F.substring("timestamp", 1, 10).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    sums = daily.groupBy(*KEY).agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("downloads"), F.max("n").alias("most"))
+    return sums.where((F.col("days") >= days) & (F.col("most") <= per_day))
+
+
+def login_after_access(events: DataFrame, access: tuple[str, ...] = ("file_access", "database"), logins: tuple[str, ...] = ("login", "vpn_connect")) -> DataFrame:
+    """Addresses of a case that are first used for access before any login or VPN connection from them is logged."""
+    rows = events.where("source_ip <> ''").groupBy("case_id", "source_ip").agg(
+        F.min(F.when(F.col("source_type").isin(*access), F.col("t"))).alias("accessed"), F.min(F.when(F.col("action").isin(*logins), F.col("t"))).alias("logged_in")
     )
-    open_ = F.size(F.filter("lost", lambda x: F.col("won").isNull() | (x > F.col("won"))))
-    return sums.select(*KEY, open_.cast("long").alias("failures")).where("failures > 0")
+    return rows.where("accessed < logged_in")
+
+
+def totals(findings: DataFrame) -> DataFrame:
+    """Findings of all cases together, and cases that have any."""
+    return findings.agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("case_id").alias("cases"))

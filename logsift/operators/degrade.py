@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import placed
+
 LEVELS, TRIALS = (0, 20, 40, 60, 80), 3
 
 
@@ -17,9 +19,9 @@ def removal(events: DataFrame, levels: tuple[int, ...] = LEVELS, trials: int = T
     """Copies of each case (level, trial) without exactly the level's percentage of its events, rounded down."""
     grid = [F.struct(F.lit(p).alias("level"), F.lit(k).alias("trial")) for p in levels for k in range(1, (trials if p else 1) + 1)]
     rows = events.withColumn("_g", F.explode(F.array(*grid))).select("*", "_g.level", "_g.trial").drop("_g")
-    w = Window.partitionBy("case_id", "level", "trial")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.xxhash64("event_id", "level", "trial", F.lit(seed)), "seq")))
-    return rows.where("_k > floor(_n * level / 100)").drop("_n", "_k")
+    rows = rows.withColumn("_h", F.xxhash64("event_id", "level", "trial", F.lit(seed)))
+    rows = placed(rows, ["case_id", "level", "trial"], F.shiftright("_h", 56), [F.col("_h"), F.col("seq")])
+    return rows.where("position > floor(total_rows * level / 100)").drop("_h", "position", "total_rows")
 
 
 def jitter(events: DataFrame, micros: int, seed: int = 42) -> DataFrame:

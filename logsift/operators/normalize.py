@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.raw import META, RAW, with_times
+from .windows import placed
 
 #: Severities that aren't info, by log type and event type.
 SEVERITY = {
@@ -114,16 +115,17 @@ NORMALIZERS = {"auth": auth_events, "file": file_events, "admin": admin_events,
 def normalize(raw: dict[str, DataFrame], prefix: str = "evt_s") -> DataFrame:
     """Unified events of the raw rows by log type, numbered within each case in order of time; ids are prefix, case and number.
 
-    Missing times come first; ties go by log type, then by place in the file. A case's numbering is one task's work.
+    Missing times come first; ties go by log type, then by place in the file. Rows are numbered by hour as written, so that
+    a case of any size is many tasks' work.
     """
     rows = reduce(DataFrame.unionByName, (NORMALIZERS[k](df) for k, df in raw.items()))
-    w = Window.partitionBy("case_id").orderBy(F.col("timestamp").asc_nulls_first(), "rank", "pos")
-    rows = rows.withColumn("seq", F.row_number().over(w).cast("long")).drop("rank", "pos")
+    rows = placed(rows, ["case_id"], F.substring("timestamp", 1, 13), [F.col("timestamp").asc_nulls_first(), F.col("rank"), F.col("pos")])
+    rows = rows.withColumn("seq", F.col("position")).drop("rank", "pos", "position", "total_rows")
     return with_times(rows.withColumn("event_id", F.format_string("%s%s_%03d", F.lit(prefix), "case_id", "seq")))
 
 
-def to_ocsf(events: DataFrame) -> DataFrame:
-    """Events by OCSF 1.1: category, activity, severity and status numbers, principal and resource."""
+def to_ocsf(events: DataFrame, product: str = "logsift", vendor: str = "logsift") -> DataFrame:
+    """Events by OCSF 1.1: category, activity, severity and status numbers, principal, resource, product and the event's own metadata as JSON."""
     part = lambda table, k: {x: v[k] for x, v in table.items()}
     return events.select(
         "case_id", F.col("event_id").alias("event_uid"), F.col("timestamp").alias("time_dt"), F.lit("1.1.0").alias("version"),
@@ -132,6 +134,8 @@ def to_ocsf(events: DataFrame) -> DataFrame:
         looked_up(OCSF_SEVERITY, F.col("severity"), 0).alias("severity_id"), F.when(F.col("status") == "success", 1).otherwise(2).alias("status_id"), "status",
         F.struct(F.struct(F.col("user").alias("uid")).alias("user"), F.col("source_ip").alias("ip"), F.struct(F.col("session_id").alias("uid")).alias("session")).alias("principal"),
         F.struct(F.col("resource").alias("name")).alias("resource"),
+        F.struct(F.lit("1.1.0").alias("version"), F.struct(F.lit(product).alias("name"), F.lit(vendor).alias("vendor_name")).alias("product")).alias("metadata"),
+        (F.to_json("metadata") if "metadata" in events.columns else F.lit("{}")).alias("raw_data"),
     )
 
 

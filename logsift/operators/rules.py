@@ -1,113 +1,207 @@
-"""Detection rules: each takes events and baselines and gives alerts (ALERT columns)."""
+"""Detection rules: each takes events and baselines and gives alerts (ALERT columns).
+
+A rule over single events is a condition and a text (Row), a rule over windows a choice of events, a key, a width and a
+threshold (Windowed). All rules of a kind run together, over one read and one exchange of the events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import MINUTE, attach_ids, followed_by, id_list, numbered, sliding
+from .windows import MINUTE, followed_by, id_list, sliding
 
-ALERT = ["case_id", "rule_id", "severity", "user", "t", "event_ids", "description"]
+ALERT = ["case_id", "rule_id", "rule_name", "severity", "user", "t", "timestamp", "event_ids", "description"]
 KEY = ["case_id", "user"]
 #: Names and severities of the rules.
 RULES = {
-    "R001": ("Unusual IP", "warning"), "R002": ("Off-Hours Activity", "warning"), "R003": ("Privilege Escalation", "critical"),
-    "R004": ("Bulk Download", "warning"), "R005": ("Cross-Department Access", "warning"), "R006": ("Log Deletion", "critical"),
-    "R007": ("Failed Login Spike", "warning"), "R008": ("Privilege + Download", "critical"), "R009": ("DNS Tunnel", "critical"),
-    "R010": ("SQL Injection", "critical"), "R011": ("Data Exfiltration Volume", "critical"), "R012": ("Lateral Movement", "critical"),
+    "R001": ("unusual_login_ip", "warning"), "R002": ("off_hours_access", "warning"), "R003": ("privilege_escalation", "critical"),
+    "R004": ("bulk_download", "critical"), "R005": ("cross_department_access", "warning"), "R006": ("log_deletion", "critical"),
+    "R007": ("failed_login_spike", "warning"), "R008": ("privilege_then_download", "critical"), "R009": ("dns_tunnel_detection", "critical"),
+    "R010": ("sql_injection_attempt", "critical"), "R011": ("data_exfiltration_volume", "critical"), "R012": ("lateral_movement", "warning"),
 }
 #: Fixed value: text of a statement in a request.
 INJECTION = r"(?i)(UNION|SELECT|DROP|--|OR\s+1\s*=\s*1)"
+#: Texts of the alerts, in which the evaluation looks for words.
+TEXTS = {
+    "R001": "Login from unusual IP %s. Normal IPs: %s",
+    "R002": "Activity at %02d:%02d outside normal hours (%02d:%02d-%02d:%02d)",
+    "R003": "Privilege change detected for %s. Resource: %s",
+    "R004": "Bulk download detected: %d files downloaded within %d minutes (window start: %s)",
+    "R005": "Cross-department access: %s is outside normal directories %s",
+    "R006": "Log deletion detected by %s. Target: %s",
+    "R007": "Failed login spike: %d failures within %d minutes for %s (window start: %s)",
+    "R008": "Privilege escalation at %s followed by %d file download(s) within %d minutes",
+    "R009": "Possible DNS tunnel: %d DNS queries to %s within %d minutes (window start: %s)",
+    "R010": "Possible SQL injection: URL %s returned 500 and contains SQL keywords",
+    "R011": "High data exfiltration volume: %s MB transferred in %d minutes (window start: %s)",
+    "R012": "Lateral movement detected: %s authenticated across %s within %d minutes (window start: %s)",
+}
 
 
-def alerts(rows: DataFrame, rule: str, ids: Column, text: Column, user: Column | None = None) -> DataFrame:
-    return rows.select("case_id", F.lit(rule).alias("rule_id"), F.lit(RULES[rule][1]).alias("severity"), (F.col("user") if user is None else user).cast("string").alias("user"), "t", ids.alias("event_ids"), text.alias("description"))
+@dataclass(frozen=True)
+class Row:
+    """A rule over single events; known: their user must have a baseline, whose columns it uses."""
 
+    rule: str
+    when: Column
+    text: Column
+    known: bool = False
 
-def _known(events: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Events of users with a baseline. The baselines' size decides how Spark joins them."""
-    return events.join(baselines.withColumnRenamed("user", "_user"), F.col("user") == F.col("_user"))
 
+@dataclass(frozen=True)
+class Windowed:
+    """A rule over windows; by: what its key is besides the case; once: the first hit of each time alerts."""
 
-def unusual_ip(events, baselines, actions=("login",)):
-    rows = _known(events.where(F.col("action").isin(*actions) & (F.col("source_ip") != "")), baselines).where(~F.array_contains("normal_ips", F.col("source_ip")))
-    return alerts(rows, "R001", F.col("event_id"), F.format_string("User %s logged in from unusual IP %s", "user", "source_ip"))
+    rule: str
+    when: Column
+    by: Column
+    width: int
+    hit: Column
+    text: Column
+    user: Column
+    weight: Column | None = None
+    kinds: tuple[str, ...] = ()
 
 
-def off_hours(events, baselines):
-    rows = _known(events, baselines).where(~F.col("local_minute").between(F.col("start_minute"), F.col("end_minute")))
-    return alerts(rows, "R002", F.col("event_id"), F.format_string("User %s active at %02d:%02d, outside normal hours", "user", F.floor(F.col("local_minute") / 60), F.col("local_minute") % 60))
+def quoted(items: Column) -> Column:
+    """A list of texts in brackets, each in quotes."""
+    return F.when(F.size(items) > 0, F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))).otherwise("[]")
 
 
-def privilege_escalation(events, baselines, action="privilege_change"):
-    return alerts(events.where(F.col("action") == action), "R003", F.col("event_id"), F.format_string("Privilege change for user %s", "user"))
+def _text(rule: str, *parts: Column | str | int) -> Column:
+    return F.format_string(TEXTS[rule], *(F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x for x in parts))
 
 
-def bulk_download(events, baselines, width=30 * MINUTE, threshold=5, action="file_download"):
-    rows = sliding(events.where(F.col("action") == action), KEY, width, f"n > {threshold}")
-    return alerts(rows, "R004", F.col("event_ids"), F.format_string("User %s downloaded %d files in one window", "user", "n"))
+def _named(rows: DataFrame, rule: Column) -> DataFrame:
+    """Name and severity of each alert's rule."""
+    table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("name"), F.lit(x[1]).alias("severity")) for k in RULES.items() for x in k))
+    return rows.withColumn("rule_name", table[rule]["name"]).withColumn("severity", table[rule]["severity"]).select(*ALERT)
 
 
-def cross_department(events, baselines):
-    rows = _known(events.where((F.col("source_type") == "file_access") & ~F.coalesce("resource", F.lit("")).isin("", "null", "role")), baselines)
-    rows = rows.where((F.size("normal_directories") > 0) & ~F.exists("normal_directories", lambda d: F.col("resource").startswith(d)))
-    return alerts(rows, "R005", F.col("event_id"), F.format_string("User %s accessed %s outside their directories", "user", "resource"))
+def row_alerts(events: DataFrame, baselines: DataFrame | None, rules: list[Row]) -> DataFrame:
+    """Alerts of rules over single events, in one pass. The baselines' size decides how Spark joins them."""
+    has = F.lit(False)
+    if any(r.known for r in rules):
+        own = baselines.withColumnRenamed("user", "_user").withColumn("_known", F.lit(True))
+        events, has = events.join(own, F.col("user") == F.col("_user"), "left"), F.coalesce("_known", F.lit(False))
+    hits = [F.when((has & r.when) if r.known else r.when, F.struct(F.lit(r.rule).alias("rule_id"), r.text.alias("description"))) for r in rules]
+    rows = events.withColumn("_a", F.explode(F.array_compact(F.array(*hits))))
+    return _named(rows.select("case_id", "_a.rule_id", "user", "t", "timestamp", F.col("event_id").alias("event_ids"), "_a.description"), F.col("rule_id"))
 
 
-def log_deletion(events, baselines, action="log_delete"):
-    return alerts(events.where(F.col("action") == action), "R006", F.col("event_id"), F.format_string("User %s deleted logs", "user"))
+def window_alerts(events: DataFrame, rules: list[Windowed]) -> DataFrame:
+    """Alerts of rules over windows, over one exchange of the events that any of them looks at."""
+    spec = [F.when(r.when, F.struct(F.lit(r.rule).alias("rule_id"), r.by.cast("string").alias("by"), F.lit(r.width).cast("long").alias("width"), (F.lit(1) if r.weight is None else r.weight).cast("long").alias("weight"))) for r in rules]
+    pick = lambda of: reduce(lambda rest, r: F.when(F.col("rule_id") == r.rule, of(r)).otherwise(rest), rules, F.lit(None))
+    rows = events.select("case_id", "event_id", "timestamp", "t", "seq", "source_type", "user", F.explode(F.array_compact(F.array(*spec))).alias("_a"))
+    rows = rows.select("*", "_a.rule_id", "_a.by", "_a.width", "_a.weight").drop("_a")
+    kinds = tuple(dict.fromkeys(k for r in rules for k in r.kinds))
+    once = F.col("rule_id").isin([r.rule for r in rules if r.kinds]) if kinds else None
+    found = sliding(rows, ["case_id", "rule_id", "by"], F.col("width"), pick(lambda r: r.hit), "weight", ("width",), kinds, once)
+    minutes = F.floor(F.col("width") / MINUTE)
+    out = found.withColumn("minutes", minutes).withColumn("kinds", quoted(F.col("found_kinds")))
+    return _named(out.select("case_id", "rule_id", pick(lambda r: r.user).alias("user"), "t", "timestamp", "event_ids", pick(lambda r: r.text).alias("description")), F.col("rule_id"))
 
 
-def failed_login_spike(events, baselines, width=5 * MINUTE, threshold=2, action="login_failed"):
-    rows = sliding(events.where(F.col("action") == action), KEY, width, f"n >= {threshold}")
-    return alerts(rows, "R007", F.col("event_ids"), F.format_string("User %s failed to log in %d times in one window", "user", "n"))
+NO_USER = "N/A"
+_or_na = lambda c: F.coalesce(F.col(c), F.lit(NO_USER))
 
 
-def privilege_then_download(events, baselines, width=30 * MINUTE, change="privilege_change", action="file_download"):
-    pairs = followed_by(events.where(F.col("action") == change), events.where(F.col("action") == action), KEY, width)
-    ids = F.concat_ws(",", F.col("c.event_id"), id_list(F.collect_list(F.struct("d.t", "d.seq", "d.event_id"))))
-    rows = pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id").agg(ids.alias("ids"), F.count(F.lit(1)).alias("n"))
-    return alerts(rows, "R008", F.col("ids"), F.format_string("User %s downloaded %d files after a privilege change", "user", "n"))
+def unusual_ip(actions=("login",)) -> Row:
+    """A missing list of addresses is an empty one: every address is unusual."""
+    ips = F.coalesce("normal_ips", F.array().cast("array<string>"))
+    return Row("R001", F.col("action").isin(*actions) & (F.col("source_ip") != "") & ~F.array_contains(ips, F.col("source_ip")), _text("R001", "source_ip", quoted(ips)), True)
+
+
+def off_hours() -> Row:
+    clock = lambda c: (F.floor(F.col(c) / 60), F.pmod(F.col(c), F.lit(60)))
+    return Row("R002", ~F.col("local_minute").between(F.col("start_minute"), F.col("end_minute")), _text("R002", *clock("local_minute"), *clock("start_minute"), *clock("end_minute")), True)
+
+
+def privilege_escalation(action="privilege_change") -> Row:
+    return Row("R003", F.col("action") == action, _text("R003", _or_na("user"), _or_na("resource")))
+
+
+def bulk_download(width=30 * MINUTE, threshold=5, action="file_download") -> Windowed:
+    return Windowed("R004", F.col("action") == action, F.col("user"), width, F.col("n") > threshold, _text("R004", "n", "minutes", "timestamp"), F.col("by"))
+
+
+def cross_department() -> Row:
+    odd = (F.size("normal_directories") > 0) & ~F.exists("normal_directories", lambda d: F.col("resource").startswith(d))
+    return Row("R005", (F.col("source_type") == "file_access") & ~F.coalesce("resource", F.lit("")).isin("", "null", "role") & odd, _text("R005", "resource", quoted(F.col("normal_directories"))), True)
+
+
+def log_deletion(action="log_delete") -> Row:
+    return Row("R006", F.col("action") == action, _text("R006", _or_na("user"), _or_na("resource")))
 
 
-def dns_tunnel(events, baselines, width=5 * MINUTE, threshold=20, action="dns_query"):
-    rows = events.where((F.col("source_type") == "network") & (F.col("action") == action)).withColumn("domain", F.coalesce("resource", F.lit("")))
-    rows = sliding(rows, ["case_id", "domain"], width, f"n > {threshold}")
-    return alerts(rows, "R009", F.col("event_ids"), F.format_string("%d queries to %s in one window", "n", "domain"), F.lit(None))
+def failed_login_spike(width=5 * MINUTE, threshold=2, action="login_failed") -> Windowed:
+    return Windowed("R007", F.col("action") == action, F.col("user"), width, F.col("n") >= threshold, _text("R007", "n", "minutes", _or_na("by"), "timestamp"), F.col("by"))
 
 
-def sql_injection(events, baselines):
-    rows = events.where((F.col("source_type") == "web_server") & (F.expr("try_cast(status AS int)") == 500) & F.col("resource").rlike(INJECTION))
-    return alerts(rows, "R010", F.col("event_id"), F.format_string("Statement text in failed request %s", "resource"))
+def dns_tunnel(width=5 * MINUTE, threshold=20, action="dns_query") -> Windowed:
+    when = (F.col("source_type") == "network") & (F.col("action") == action)
+    return Windowed("R009", when, F.coalesce("resource", F.lit("")), width, F.col("n") > threshold, _text("R009", "n", "by", "minutes", "timestamp"), F.lit(NO_USER))
 
 
-def exfiltration_volume(events, baselines, width=30 * MINUTE, threshold=100 * 1024 * 1024):
-    rows = sliding(events.where((F.col("source_type") == "network") & (F.col("bytes") > 0)), ["case_id"], width, f"total > {threshold}", "bytes")
-    return alerts(rows, "R011", F.col("event_ids"), F.format_string("%d bytes sent in one window", "total"), F.lit(None))
+def sql_injection() -> Row:
+    return Row("R010", (F.col("source_type") == "web_server") & (F.expr("try_cast(status AS int)") == 500) & F.col("resource").rlike(INJECTION), _text("R010", "resource"))
 
 
-def lateral_movement(events, baselines, width=30 * MINUTE, kinds=(("auth", "login"), ("database", "db_login"), ("web_server", "http_request"))):
+def exfiltration_volume(width=30 * MINUTE, threshold=100 * 1024 * 1024) -> Windowed:
+    when = (F.col("source_type") == "network") & (F.col("bytes") > 0)
+    return Windowed("R011", when, F.lit(None), width, F.col("total") > threshold, _text("R011", F.bround(F.col("total") / 1048576, 1).cast("decimal(20,1)").cast("string"), "minutes", "timestamp"), F.lit(NO_USER), F.col("bytes"))
+
+
+def lateral_movement(width=30 * MINUTE, kinds=(("auth", "login"), ("database", "db_login"), ("web_server", "http_request"))) -> Windowed:
     fit = reduce(lambda a, b: a | b, ((F.col("source_type") == s) & (F.col("action") == a) for s, a in kinds))
-    rows = numbered(events.where(fit), KEY)
-    ahead = Window.partitionBy(*KEY).orderBy("t").rangeBetween(Window.currentRow, width)
-    rows = rows.withColumn("last", F.max("rn").over(ahead)).withColumn("kinds", F.array_join(F.array_sort(F.collect_set("source_type").over(ahead)), ", "))
-    found = rows.where(F.instr("kinds", ",") > 0).withColumn("k", F.row_number().over(Window.partitionBy(*KEY, "t").orderBy("seq"))).where("k = 1")
-    return alerts(attach_ids(found, rows, KEY, ["t", "kinds"]), "R012", F.col("event_ids"), F.format_string("User %s moved across %s", "user", "kinds"))
+    return Windowed("R012", fit & (F.col("user") != ""), F.col("user"), width, F.col("n_kinds") >= 2, _text("R012", "by", "kinds", "minutes", "timestamp"), F.col("by"), kinds=tuple(s for s, _ in kinds))
+
+
+def privilege_then_download(events, width=30 * MINUTE, change="privilege_change", action="file_download") -> DataFrame:
+    pairs = followed_by(events.where(F.col("action") == change), events.where(F.col("action") == action), KEY, width)
+    ids = F.concat_ws(",", F.col("c.event_id"), id_list(F.collect_list(F.struct("d.t", "d.seq", "d.event_id"))))
+    rows = pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id", "c.timestamp").agg(ids.alias("event_ids"), F.count(F.lit(1)).alias("n"))
+    return _named(rows.select("case_id", F.lit("R008").alias("rule_id"), "user", "t", "timestamp", "event_ids", _text("R008", "timestamp", "n", width // MINUTE).alias("description")), F.col("rule_id"))
 
 
-Rule = Callable[..., DataFrame]
-REGISTRY: dict[str, Rule] = {
+#: What makes each rule; R008 is a join and gives alerts itself. A caller's own rule is a function that gives a Row, a
+#: Windowed, or, from events, alerts.
+REGISTRY: dict[str, Callable] = {
     "R001": unusual_ip, "R002": off_hours, "R003": privilege_escalation, "R004": bulk_download, "R005": cross_department, "R006": log_deletion,
     "R007": failed_login_spike, "R008": privilege_then_download, "R009": dns_tunnel, "R010": sql_injection, "R011": exfiltration_volume, "R012": lateral_movement,
 }
+JOINED = ("R008",)
+
+
+def run_rules(events: DataFrame, baselines: DataFrame | None, params: dict[str, dict] | None = None, registry: dict[str, Callable] = REGISTRY) -> DataFrame:
+    """Alerts of all rules of the registry; params: keyword arguments by rule. Sort by ORDER for the order of time."""
+    args = params or {}
+    made = [f(**args.get(k, {})) for k, f in registry.items() if k not in JOINED]
+    parts = [registry[k](events, **args.get(k, {})) for k in JOINED if k in registry]
+    if rows := [r for r in made if isinstance(r, Row)]:
+        parts.append(row_alerts(events, baselines, rows))
+    if windowed := [r for r in made if isinstance(r, Windowed)]:
+        parts.append(window_alerts(events, windowed))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def one_rule(rule: str, events: DataFrame, baselines: DataFrame | None, **params) -> DataFrame:
+    return run_rules(events, baselines, {rule: params}, {rule: REGISTRY[rule]})
+
+
+#: The order of a case's alerts: by time, then by rule.
+ORDER = ["case_id", "timestamp", "rule_id", "event_ids"]
 
 
-def run_rules(events: DataFrame, baselines: DataFrame, params: dict[str, dict] | None = None, registry: dict[str, Rule] = REGISTRY) -> DataFrame:
-    """Alerts of all rules; params: keyword arguments by rule."""
-    return reduce(DataFrame.unionByName, (f(events, baselines, **(params or {}).get(k, {})) for k, f in registry.items()))
+def ordered_alerts(found: DataFrame, k: str = "position") -> DataFrame:
+    """Alerts with their place in their case."""
+    return found.withColumn(k, F.row_number().over(Window.partitionBy("case_id").orderBy(*ORDER[1:])).cast("long"))
 
 
 def rule_results(found: DataFrame, cases: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import id_list
+from .windows import HOUR, id_list, placed
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """Events with their place in their case's order of time."""
-    return events.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy("t", "seq")).cast("long"))
+    """Events with their place in their case's order of time; hours are numbered by themselves."""
+    return placed(events, ["case_id"], F.floor(F.col("t") / HOUR), [F.col("t"), F.col("seq")]).drop("total_rows")
 
 
 def grouped(events: DataFrame, column: str, unknown: str) -> DataFrame:

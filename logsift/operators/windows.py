@@ -1,4 +1,8 @@
-"""Sliding windows over events that start or end at an event, and what they need."""
+"""Sliding windows over events that start or end at an event, and what they need.
+
+Windows are worked out per key and slice of time, so a key that holds any share of the events is many tasks' work, and with
+running counts only, so that dense windows cost no more than sparse ones.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
+#: Widths of a window in one slice of time.
+SLICE = 8
 
 
 def same(left: str, right: str, keys: list[str]) -> Column:
@@ -15,47 +21,83 @@ def same(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
 
 
-def numbered(events: DataFrame, keys: list[str]) -> DataFrame:
-    return events.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("t", "seq")))
-
-
 def id_list(ids: Column) -> Column:
     """Event ids of an array of structs (order, event_id) in order, joined by commas."""
     return F.array_join(F.transform(F.array_sort(ids), lambda x: x["event_id"]), ",")
 
 
 def attach_ids(found: DataFrame, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """found (keys, rn, last) with event_ids of the rows rn to last of their key."""
-    joined = found.alias("a").join(rows.select(*keys, "rn", "event_id").alias("b"), same("a", "b", keys) & F.col("b.rn").between(F.col("a.rn"), F.col("a.last")))
+    """found (keys, rn, last) with event_ids of the rows rn to last of their key: an equality join on the place."""
+    places = found.withColumn("_k", F.explode(F.sequence("rn", "last")))
+    joined = places.alias("a").join(rows.select(*keys, "rn", "event_id").alias("b"), same("a", "b", keys) & (F.col("a._k") == F.col("b.rn")))
     cols = dict.fromkeys([*keys, "rn", "last", *columns])
     return joined.groupBy(*(F.col(f"a.{c}") for c in cols)).agg(id_list(F.collect_list(F.struct(F.col("b.rn").alias("rn"), F.col("b.event_id").alias("event_id")))).alias("event_ids"))
 
 
-def sliding(events: DataFrame, keys: list[str], width: int, hit: str, weight: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Windows [t, t + width] from each event on that meet hit (over n, their events, and total, the sum of weight), each
-    only if it holds an event that no earlier hit of its key holds. Ends never go back, so that is a last row beyond all
-    earlier hits'. Gives keys, t, seq, rn, last, n, total, columns and event_ids.
+def sliced(rows: DataFrame, width: Column, before: int, after: int) -> DataFrame:
+    """rows with a time, by slice (_s) of SLICE widths; _own is false for those that only help a slice next to theirs.
+
+    A row also goes to the slice after if it is within before widths of it, and to the one before if within after widths.
+    """
+    size = width * SLICE
+    at = F.pmod(F.col("t"), size)
+    own = F.expr("t - _at") / size
+    rows = rows.where("t is not null").withColumn("_at", at).withColumn("_slice", F.round(own).cast("long"))
+    spot = lambda k, mine: F.struct((F.col("_slice") + k).alias("s"), F.lit(mine).alias("own"))
+    spots = F.array(spot(0, True), F.when(F.col("_at") < after * width, spot(-1, False)), F.when(F.col("_at") >= size - before * width, spot(1, False)))
+    return rows.withColumn("_x", F.explode(F.array_compact(spots))).withColumn("_s", F.col("_x.s")).withColumn("_own", F.col("_x.own")).drop("_x", "_at", "_slice")
+
+
+def _numbered(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """rn, the place of each row within its key, and cum, the sum of weight through it."""
+    order = Window.partitionBy(*keys).orderBy("t", "seq")
+    return rows.withColumn("rn", F.row_number().over(order)).withColumn("cum", F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def sliding(
+    events: DataFrame, keys: list[str], width: Column | int, hit: Column | str, weight: Column | str | None = None, columns: tuple[str, ...] = (), kinds: tuple[str, ...] = (), once: Column | None = None
+) -> DataFrame:
+    """Windows [t, t + width] from each event on that meet hit (over n, their events, total, the sum of weight, and
+    n_kinds, how many of the source types in kinds they hold).
+
+    A window counts only if it holds an event that no earlier hit of its key holds. Ends never go back, so that is a last
+    row beyond the hit's before. Where once is true, the first hit of each time counts instead. Gives keys, t, seq,
+    timestamp, n, total, found_kinds, columns and event_ids. Events without a time are in no window.
     """
-    part = Window.partitionBy(*keys)
-    ahead = part.orderBy("t").rangeBetween(Window.currentRow, width)
-    rows = numbered(events, keys)
-    rows = rows.withColumn("cum", F.sum(F.coalesce(F.col(weight), F.lit(0))).over(part.orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)) if weight else F.col("rn").cast("long"))
-    rows = rows.withColumn("last", F.max("rn").over(ahead)).withColumn("top", F.max("cum").over(ahead))
-    rows = rows.withColumn("n", F.col("last") - F.col("rn") + 1).withColumn("total", F.col("top") - F.col("cum") + (F.coalesce(F.col(weight), F.lit(0)) if weight else 1))
-    rows = rows.withColumn("hit", F.expr(hit))
-    before = F.max(F.when(F.col("hit"), F.col("last"))).over(part.orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    found = rows.withColumn("before", F.coalesce(before, F.lit(0))).where("hit and last > before")
-    return attach_ids(found, rows, keys, ["t", "seq", "timestamp", "n", "total", *columns])
+    width = F.lit(width).cast("long") if isinstance(width, int) else width
+    weight = F.lit(1) if weight is None else F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0))
+    part = [*keys, "_s"]
+    rows = _numbered(sliced(events.withColumn("_width", width).withColumn("_weight", weight.cast("long")), F.col("_width"), 1, 1), part, F.col("_weight"))
+    # each row again at the end of its window: what has come by then
+    ends = rows.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_at", F.col("t") + F.col("_end") * F.col("_width"))
+    by_then = Window.partitionBy(*part).orderBy("_at", "_end", "t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    come = F.col("_end") == 0
+    ends = ends.withColumn("last", F.max(F.when(come, F.col("rn"))).over(by_then)).withColumn("top", F.max(F.when(come, F.col("cum"))).over(by_then))
+    latest = F.array(*(F.struct(F.lit(k).alias("kind"), F.max(F.when(come & (F.col("source_type") == k), F.col("rn"))).over(by_then).alias("rn")) for k in sorted(kinds)))
+    if kinds:
+        ends = ends.withColumn("_latest", latest).where("_end = 1").withColumn("found_kinds", F.transform(F.filter("_latest", lambda x: x["rn"] >= F.col("rn")), lambda x: x["kind"]))
+    else:
+        ends = ends.where("_end = 1").withColumn("found_kinds", F.array().cast("array<string>"))
+    ends = ends.withColumn("n_kinds", F.size("found_kinds")).withColumn("n", F.col("last") - F.col("rn") + 1).withColumn("total", F.col("top") - F.col("cum") + F.col("_weight"))
+    order = Window.partitionBy(*part).orderBy("t", "seq")
+    hits = ends.where(hit).withColumn("_last", F.lag("last").over(order)).withColumn("_t", F.lag("t").over(order))
+    fresh = F.col("last") > F.coalesce("_last", F.lit(0))
+    if once is not None:
+        fresh = F.when(once, F.coalesce(F.col("_t") != F.col("t"), F.lit(True))).otherwise(fresh)
+    return attach_ids(hits.where(fresh & F.col("_own")), rows, part, ["t", "seq", "timestamp", "n", "total", "found_kinds", *columns])
 
 
 def trailing(events: DataFrame, keys: list[str], width: int, threshold: int) -> DataFrame:
     """Windows [t - width, t] with more than threshold events, the first to end for each first event."""
-    part = Window.partitionBy(*keys)
-    rows = numbered(events, keys).withColumn("start", F.min("rn").over(part.orderBy("t").rangeBetween(-width, Window.currentRow)))
-    found = rows.where(F.col("rn") - F.col("start") + 1 > threshold)
-    found = found.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "start").orderBy("rn"))).where("k = 1")
+    part = [*keys, "_s"]
+    rows = _numbered(sliced(events, F.lit(width).cast("long"), 2, 0), part, F.lit(1))
+    starts = rows.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_at", F.col("t") - F.col("_end") * F.lit(width).cast("long"))
+    by_then = Window.partitionBy(*part).orderBy("_at", F.col("_end").desc(), "t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    starts = starts.withColumn("start", F.coalesce(F.max(F.when(F.col("_end") == 0, F.col("rn"))).over(by_then), F.lit(0)) + 1)
+    found = starts.where((F.col("_end") == 1) & (F.col("rn") - F.col("start") + 1 > threshold))
+    found = found.withColumn("_k", F.row_number().over(Window.partitionBy(*part, "start").orderBy("rn"))).where("_k = 1 and _own")
     found = found.withColumn("last", F.col("rn")).withColumn("rn", F.col("start"))
-    return attach_ids(found, rows, keys, ["t", "timestamp"])
+    return attach_ids(found, rows, part, ["t", "timestamp"])
 
 
 def followed_by(first: DataFrame, later: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -66,3 +108,17 @@ def followed_by(first: DataFrame, later: DataFrame, keys: list[str], width: int)
     c = first.withColumn("slot", F.explode(F.array(F.floor(F.col("t") / width), F.floor(F.col("t") / width) + 1))).alias("c")
     d = later.withColumn("slot", F.floor(F.col("t") / width)).alias("d")
     return c.join(d, same("c", "d", keys) & (F.col("c.slot") == F.col("d.slot")) & (F.col("d.t") > F.col("c.t")) & (F.col("d.t") <= F.col("c.t") + width))
+
+
+def placed(rows: DataFrame, keys: list[str], slot: Column, order: list[Column]) -> DataFrame:
+    """rows with position, their place from 1 within keys in order of slot and then order.
+
+    Rows are counted by slot and numbered within it, so a key that holds any share of the rows is many tasks' work.
+    """
+    rows = rows.withColumn("_slot", slot)
+    counts = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
+    local = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order)))
+    joined = local.alias("a").join(offsets.alias("b"), same("a", "b", [*keys, "_slot"]))
+    return joined.select("a.*", (F.col("b._before") + F.col("a._k")).cast("long").alias("position"), F.col("b._total").alias("total_rows")).drop("_k", "_slot")

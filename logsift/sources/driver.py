@@ -54,10 +54,22 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same for SQL: table ev of unified events, table bl of baselines.
-EVENTS_SQL = f"""WITH e0 AS (SELECT *, cast(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events),
-e1 AS (SELECT *, {_case(2)} AS source_type, {_case(3)} AS action FROM e0),
-e2 AS (SELECT *, {_RESOURCE.format(text="VARCHAR")} AS resource,
+#: The same for SQL, written by hand: table ev of unified events, dn of the same in compressed time, bl of baselines.
+EVENTS_SQL = """WITH e0 AS (SELECT *, cast(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events),
+e1 AS (SELECT *,
+  CASE event_type WHEN 'click' THEN CASE WHEN k < 70 THEN 'auth' WHEN k < 85 THEN 'database' ELSE 'web_server' END
+    WHEN 'error' THEN CASE WHEN k < 70 THEN 'auth' WHEN k < 85 THEN 'web_server' ELSE 'admin' END
+    WHEN 'view' THEN CASE WHEN k < 80 THEN 'file_access' ELSE 'network' END
+    WHEN 'purchase' THEN CASE WHEN k < 80 THEN 'file_access' ELSE 'network' END
+    WHEN 'signup' THEN CASE WHEN k < 60 THEN 'admin' ELSE 'email' END END AS source_type,
+  CASE event_type WHEN 'click' THEN CASE WHEN k < 70 THEN 'login' WHEN k < 85 THEN 'db_login' ELSE 'http_request' END
+    WHEN 'error' THEN CASE WHEN k < 70 THEN 'login_failed' WHEN k < 85 THEN 'http_error' ELSE 'log_delete' END
+    WHEN 'view' THEN CASE WHEN k < 80 THEN 'file_read' ELSE 'dns_query' END
+    WHEN 'purchase' THEN CASE WHEN k < 80 THEN 'file_download' ELSE 'firewall_allow' END
+    WHEN 'signup' THEN CASE WHEN k < 60 THEN 'privilege_change' ELSE 'mail_sent' END END AS action FROM e0),
+e2 AS (SELECT *,
+  CASE WHEN action IN ('file_read', 'file_download') THEN '/dept' || (CASE WHEN k % 9 = 0 THEN user_id + 1 ELSE user_id END % 7) || '/f' || k
+    WHEN action = 'dns_query' THEN 'd' || (k % 4) || '.example.org' WHEN action = 'http_error' THEN '/q?x=1' || CASE WHEN k % 2 = 0 THEN ' or 1=1' ELSE '' END END AS resource,
   CASE WHEN action = 'file_download' THEN floor(value) WHEN action = 'firewall_allow' THEN floor(value * 1048576) END AS size FROM e1),
 ev AS (SELECT 'case_' || (user_id // 5) AS case_id, 'evt_' || event_id AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp,
   epoch_us(ts) AS t, cast(hour(ts) * 60 + minute(ts) AS INTEGER) AS local_minute, event_id AS seq, source_type, 'user_' || user_id AS user, action, resource,
@@ -66,6 +78,14 @@ ev AS (SELECT 'case_' || (user_id // 5) AS case_id, 'evt_' || event_id AS event_
   CASE WHEN source_type IN ('auth', 'file_access') THEN 's' || user_id || '_' || strftime(ts, '%Y%m%d') END AS session_id,
   CASE WHEN action IN ('login_failed', 'privilege_change', 'log_delete', 'http_error') THEN 'warning' ELSE 'info' END AS severity,
   cast(nullif(size, 0) AS BIGINT) AS bytes, user_id FROM e2),
+d0 AS (SELECT * EXCLUDE (t, timestamp), 1704067200000000 + (t - 1704067200000000) // 500 AS t FROM ev),
+dn AS (SELECT *, strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp FROM d0),
 bl AS (SELECT DISTINCT 'user_' || user_id AS user, 540 AS start_minute, 1020 AS end_minute, '10.0.' || (user_id % 250) || '.1' AS ip, '/dept' || (user_id % 7) || '/' AS directory FROM events)"""
+#: Where compressed time starts, and how much faster it runs.
+START, FASTER = 1704067200000000, 500
 
 
+def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events() in time that runs FASTER times as fast, so that windows of minutes hold several of a user's events."""
+    t = F.lit(START) + F.expr(f"(t - {START}) div {FASTER}")
+    return events(spark, sf_dir).withColumn("t", t).withColumn("timestamp", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
