@@ -6,11 +6,16 @@ evidence_against, narrative); null lists and texts count as empty.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHAIN = "array<struct<step: int, event_id: string, description: string>>"
+from .claims import CHAIN, chain_of, temporal_claims, unknown_entities, volume_claims
+
 SCHEMA = f"verdict string, suspect string, attack_chain {CHAIN}, evidence_for array<string>, evidence_against array<string>, narrative string"
+#: What counts as an error of an answer.
+ERRORS = ("invalid_references", "out_of_order", "unsupported_claims", "temporal_errors", "file_errors", "size_errors", "span_errors", "unknown_entities")
 _IDS = ("evidence_for", "evidence_against")
 
 
@@ -28,7 +33,7 @@ def parse(raw: DataFrame, text: str = "raw") -> DataFrame:
 
 def citations(answers: DataFrame) -> DataFrame:
     """case_id and event_id of every citation, repeats too."""
-    chain = F.filter(F.transform(_list("attack_chain", CHAIN), lambda s: s["event_id"]), lambda x: x.isNotNull() & (x != ""))
+    chain = F.filter(F.transform(chain_of(), lambda s: s["event_id"]), lambda x: x.isNotNull() & (x != ""))
     return answers.select("case_id", F.explode(F.concat(chain, *(_list(c, "array<string>") for c in _IDS))).alias("event_id"))
 
 
@@ -43,18 +48,18 @@ def event_references(answers: DataFrame, events: DataFrame) -> DataFrame:
 
 def timeline_correctness(answers: DataFrame, events: DataFrame) -> DataFrame:
     """Steps of each chain that stand earlier in time than the step before, among steps that cite known events."""
-    steps = answers.select("case_id", F.posexplode("attack_chain").alias("pos", "s")).select("case_id", "pos", F.col("s.event_id").alias("event_id"))
+    steps = answers.select("case_id", F.posexplode(chain_of()).alias("pos", "s")).select("case_id", "pos", F.col("s.event_id").alias("event_id"))
     timed = steps.join(events.select("case_id", "event_id", "t"), ["case_id", "event_id"])
     timed = timed.withColumn("_before", F.lag("t").over(Window.partitionBy("case_id").orderBy("pos")))
     sums = timed.groupBy("case_id").agg(F.count_if(F.col("t") < F.col("_before")).alias("late"))
-    size = F.size(_list("attack_chain", CHAIN)).cast("long")
+    size = F.size(chain_of()).cast("long")
     late = F.coalesce("late", F.lit(0)).cast("long")
     return answers.select("case_id", size.alias("chain_length")).join(sums, "case_id", "left").select("case_id", "chain_length", late.alias("out_of_order"), (late == 0).alias("chronologically_correct"))
 
 
 def unsupported_claims(answers: DataFrame) -> DataFrame:
     """Claims (steps, and a narrative if there is one) without an event id, and the percentage of those with one."""
-    told, chain = F.coalesce("narrative", F.lit("")), _list("attack_chain", CHAIN)
+    told, chain = F.coalesce("narrative", F.lit("")), chain_of()
     total = F.size(chain) + F.when(told != "", 1).otherwise(0)
     good = F.size(F.filter(chain, lambda s: F.coalesce(s["event_id"], F.lit("")) != "")) + F.when(told.rlike(r"(?U)evt_\w+"), 1).otherwise(0)
     return answers.select("case_id", total.cast("long").alias("total_claims"), (total - good).cast("long").alias("unsupported_claims"), F.when(total == 0, 100.0).otherwise(F.bround(100.0 * good / F.nullif(total, F.lit(0)), 2)).alias("evidence_grounding"))
@@ -67,16 +72,13 @@ def actor_references(answers: DataFrame, events: DataFrame) -> DataFrame:
     return named.select("case_id", "suspect", F.coalesce(F.array_contains("_u", F.col("suspect")), F.lit(False)).alias("suspect_in_events"), F.coalesce(F.array_join("_u", ","), F.lit("")).alias("actors"))
 
 
-def unknown_users(answers: DataFrame, events: DataFrame) -> DataFrame:
-    """Distinct users (user_N) that an answer's texts name and its case doesn't hold."""
-    text = F.concat_ws(" ", "narrative", F.transform("attack_chain", lambda s: s["description"]))
-    named = answers.select("case_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(user_[0-9]+)")))).alias("user"))
-    return named.join(events.select("case_id", "user").distinct(), ["case_id", "user"], "left_anti")
-
-
 def report(answers: DataFrame, events: DataFrame) -> DataFrame:
-    """Errors of each answer: false citations, steps out of order, claims without evidence and unknown users."""
-    parts = event_references(answers, events).join(timeline_correctness(answers, events), "case_id").join(unsupported_claims(answers), "case_id")
-    users = unknown_users(answers, events).groupBy("case_id").agg(F.count(F.lit(1)).alias("u"))
-    errors = F.col("invalid_references") + F.col("out_of_order") + F.col("unsupported_claims") + F.coalesce("u", F.lit(0))
-    return parts.join(users, "case_id", "left").select("case_id", errors.alias("hallucination_count"), (errors == 0).alias("clean"), "evidence_grounding", "chronologically_correct")
+    """All checks of each answer and their errors in all: false citations, steps out of order, claims without evidence,
+    wrong times, volumes and names. The suspect's check isn't counted."""
+    parts = event_references(answers, events)
+    for part in (timeline_correctness(answers, events), unsupported_claims(answers), temporal_claims(answers, events), volume_claims(answers, events)):
+        parts = parts.join(part, "case_id")
+    names = unknown_entities(answers, events).groupBy("case_id").agg(F.count(F.lit(1)).alias("_u"))
+    parts = parts.join(names, "case_id", "left").withColumn("unknown_entities", F.coalesce("_u", F.lit(0)).cast("long"))
+    errors = reduce(lambda a, b: a + b, (F.col(c) for c in ERRORS))
+    return parts.select("case_id", errors.alias("hallucination_count"), (errors == 0).alias("clean"), *ERRORS, "evidence_grounding", "chronologically_correct")

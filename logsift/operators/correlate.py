@@ -119,3 +119,8 @@ def login_after_access(events: DataFrame, access: tuple[str, ...] = ("file_acces
 def totals(findings: DataFrame) -> DataFrame:
     """Findings of all cases together, and cases that have any."""
     return findings.agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("case_id").alias("cases"))
+
+
+def by_type(findings: DataFrame) -> DataFrame:
+    """Findings of each type over all cases, and the cases that have them."""
+    return findings.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("case_id").alias("cases"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import RULES
+from .claims import chain_of
 
-#: Words that tell of an attack step; other steps go by their own name with blanks.
+#: Words that tell of an attack step; other steps go by their own name with blanks. A caller may pass its own.
 KEYWORDS = {
     "failed_login_attempts": ["failed login", "failed auth", "brute"],
     "login_unusual_ip": ["unusual ip", "tor", "login", "successful login", "initial access"],
@@ -15,6 +15,16 @@ KEYWORDS = {
     "bulk_file_download": ["bulk", "download", "exfiltrat"],
     "log_deletion": ["log delet", "log removal", "anti-forensic", "deleted"],
     "logout": ["logout", "logged out", "session end"],
+    "login_normal": ["login", "logged in", "authentication"],
+    "minor_privilege_change": ["privilege", "role", "permission"],
+    "slow_scope_expansion_day1": ["scope", "expansion", "day 1", "day1", "additional"],
+    "slow_scope_expansion_day2": ["scope", "expansion", "day 2", "day2", "continued", "further"],
+    "systematic_download_day3": ["download", "systematic", "day 3", "day3", "exfiltrat"],
+    "data_exfiltration_complete": ["exfiltrat", "complete", "final", "transfer"],
+    "session_hijack_ip_change": ["hijack", "ip change", "session", "unusual ip"],
+    "unauthorized_hr_access_1": ["unauthorized", "hr", "access"],
+    "unauthorized_hr_access_2": ["unauthorized", "hr", "access"],
+    "unauthorized_hr_access_3": ["unauthorized", "hr", "access"],
 }
 #: What a verdict of the rules and of an answer stands for.
 LABELS = {"no_alert": "BENIGN", "suspicious": "BENIGN", "attack": "ATTACK", "NO": "BENIGN", "INSUFFICIENT": "BENIGN", "YES": "ATTACK"}
@@ -33,42 +43,65 @@ def verdict_accuracy(verdicts: DataFrame) -> DataFrame:
     return rows.select("case_id", "label", "rule_mapped", "llm_mapped", (F.col("rule_mapped") == F.col("label")).alias("rule_correct"), (F.col("llm_mapped") == F.col("label")).alias("llm_correct"))
 
 
-def keyword_rows(truth: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
-    """case_id, step and the array of its words, a row for each attack step of each case."""
-    steps = truth.select("case_id", F.explode("attack_steps").alias("step"))
-    words = F.array(F.regexp_replace("step", "_", " "))
-    for name, own in keywords.items():
-        words = F.when(F.col("step") == name, F.array(*map(F.lit, own))).otherwise(words)
-    return steps.withColumn("words", words)
+def step_words(truth: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """case_id and _steps, an array of (step, words), of each case."""
 
+    def words(step: Column) -> Column:
+        out = F.array(F.replace(step, F.lit("_"), F.lit(" ")))
+        for name, own in keywords.items():
+            out = F.when(step == name, F.array(*map(F.lit, own))).otherwise(out)
+        return out
 
-def _tells(text: Column, words: Column) -> Column:
-    return F.exists(words, lambda w: F.contains(text, w))
+    return truth.select("case_id", F.transform("attack_steps", lambda s: F.struct(s.alias("step"), words(s).alias("words"))).alias("_steps"))
+
+
+def told_steps(text: Column) -> Column:
+    """The steps of _steps that the text, in lower case, has a word of."""
+    return F.transform(F.filter("_steps", lambda s: F.exists(s["words"], lambda w: F.contains(text, w))), lambda s: s["step"])
+
+
+def _missed(steps: Column, told: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(steps, lambda s: ~F.array_contains(told, s))), ",")
 
 
 def recall(truth: DataFrame, texts: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
     """Attack steps that texts (case_id, text: one for each case) tell of; cases without steps have 100."""
-    steps = keyword_rows(truth, keywords).join(texts.select("case_id", F.lower("text").alias("_x")), "case_id", "left")
-    hit = _tells(F.coalesce("_x", F.lit("")), F.col("words"))
-    sums = steps.groupBy("case_id").agg(F.count_if(hit).alias("d"), F.array_join(F.array_sort(F.collect_list(F.when(~hit, F.col("step")))), ",").alias("m"))
-    n, d = F.size("attack_steps").cast("long"), F.coalesce("d", F.lit(0)).cast("long")
-    return truth.join(sums, "case_id", "left").select("case_id", n.alias("total_steps"), d.alias("detected_steps"), F.when(n == 0, 100.0).otherwise(F.bround(100.0 * d / F.nullif(n, F.lit(0)), 2)).alias("recall_pct"), F.coalesce("m", F.lit("")).alias("missed_steps"))
+    rows = truth.join(step_words(truth, keywords), "case_id").join(texts.select("case_id", F.lower("text").alias("_x")), "case_id", "left")
+    rows = rows.withColumn("_told", told_steps(F.coalesce("_x", F.lit(""))))
+    n, d = F.size("attack_steps").cast("long"), F.size("_told").cast("long")
+    return rows.select("case_id", n.alias("total_steps"), d.alias("detected_steps"), F.when(n == 0, 100.0).otherwise(F.bround(100.0 * d / F.nullif(n, F.lit(0)), 2)).alias("recall_pct"), _missed(F.col("attack_steps"), F.col("_told")).alias("missed_steps"))
+
+
+def chain_texts(answers: DataFrame, narrative: bool = False) -> DataFrame:
+    """case_id and text: the descriptions of an answer's chain, and its narrative if that is asked for."""
+    told = F.array_join(F.transform(chain_of(), lambda s: F.coalesce(s["description"], F.lit(""))), " ")
+    return answers.select("case_id", (F.concat_ws(" ", told, "narrative") if narrative else told).alias("text"))
+
+
+def alert_matches(truth: DataFrame, alerts: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """alerts, the steps of their case that each tells of (told), and whether there are any (match)."""
+    rows = alerts.join(step_words(truth, keywords), "case_id", "left").withColumn("_x", F.lower(F.concat_ws(" ", "description", "rule_name")))
+    rows = rows.withColumn("told", F.coalesce(told_steps(F.col("_x")), F.array().cast("array<string>")))
+    return rows.withColumn("match", F.size("told") > 0).drop("_x", "_steps")
+
+
+def rule_scores(truth: DataFrame, alerts: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """Share of a case's alerts that tell of an attack step (null without steps or alerts), and of its steps that alerts tell of."""
+    sums = alert_matches(truth, alerts, keywords).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("match").alias("k"), F.array_distinct(F.flatten(F.collect_set("told"))).alias("_told"))
+    steps = F.size("attack_steps")
+    told = F.size(F.filter("attack_steps", lambda s: F.coalesce(F.array_contains("_told", s), F.lit(False))))
+    return truth.join(sums, "case_id", "left").select("case_id", F.when(steps > 0, F.bround(F.col("k") / F.col("n"), 4)).alias("rule_precision"), F.when(steps > 0, told / F.nullif(steps, F.lit(0))).alias("rule_recall"))
 
 
-def alert_matches(truth: DataFrame, alerts: DataFrame) -> DataFrame:
-    """alerts and whether each tells of an attack step of its case."""
-    words = keyword_rows(truth).groupBy("case_id").agg(F.flatten(F.collect_list("words")).alias("words"))
-    name = F.lit("")
-    for rule, (title, _) in RULES.items():
-        name = F.when(F.col("rule_id") == rule, title).otherwise(name)
-    rows = alerts.join(words, "case_id", "left").withColumn("_x", F.lower(F.concat("description", F.lit(" "), name)))
-    return rows.withColumn("match", F.coalesce(_tells(F.col("_x"), F.col("words")), F.lit(False))).drop("_x", "words")
+def rule_precision(truth: DataFrame, alerts: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    return rule_scores(truth, alerts, keywords).select("case_id", "rule_precision")
 
 
-def rule_precision(truth: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Share of a case's alerts that tell of an attack step; null without steps or alerts."""
-    sums = alert_matches(truth, alerts).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("match").alias("k"))
-    return truth.join(sums, "case_id", "left").select("case_id", F.when(F.size("attack_steps") > 0, F.bround(F.col("k") / F.col("n"), 4)).alias("rule_precision"))
+def answer_precision(truth: DataFrame, answers: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """Share of an answer's steps that tell of an attack step; null without attack steps or steps."""
+    rows = truth.join(step_words(truth, keywords), "case_id").join(answers.select("case_id", "attack_chain"), "case_id", "left")
+    good = F.size(F.filter("attack_chain", lambda s: F.size(told_steps(F.lower(F.coalesce(s["description"], F.lit(""))))) > 0))
+    return rows.select("case_id", F.when((F.size("attack_steps") > 0) & (F.size("attack_chain") > 0), F.bround(good / F.size("attack_chain"), 4)).alias("llm_precision"))
 
 
 def f1(precision: Column, recall: Column) -> Column:
@@ -76,17 +109,82 @@ def f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, F.bround(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), 4)).otherwise(0.0)
 
 
-def rule_breakdown(truth: DataFrame, alerts: DataFrame) -> DataFrame:
+def rule_breakdown(truth: DataFrame, alerts: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
     """Alerts of each case and rule, and whether one of them tells of an attack step."""
-    return alert_matches(truth, alerts).groupBy("case_id", "rule_id").agg(F.count(F.lit(1)).alias("alert_count"), F.max("match").alias("contributed"))
+    return alert_matches(truth, alerts, keywords).groupBy("case_id", "rule_id").agg(F.count(F.lit(1)).alias("alert_count"), F.max("match").alias("contributed"))
 
 
-def false_positives(truth: DataFrame, alerts: DataFrame, events: DataFrame) -> DataFrame:
-    """Alerts of BENIGN cases, and their percentage of the case's events."""
+def false_positives(truth: DataFrame, alerts: DataFrame, events: DataFrame, answers: DataFrame) -> DataFrame:
+    """Of BENIGN cases: alerts, their percentage of the case's events, and whether the answer is YES."""
     n = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     k = alerts.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
-    count = F.when(F.col("label") == "BENIGN", F.coalesce("k", F.lit(0))).otherwise(0).cast("long")
-    return truth.join(n, "case_id", "left").join(k, "case_id", "left").select("case_id", count.alias("rule_fp_count"), F.coalesce(F.bround(100.0 * count / F.col("n"), 2), F.lit(0.0)).alias("false_positive_rate_pct"))
+    benign = F.col("label") == "BENIGN"
+    count = F.when(benign, F.coalesce("k", F.lit(0))).otherwise(0).cast("long")
+    rows = truth.join(n, "case_id", "left").join(k, "case_id", "left").join(answers.select("case_id", F.col("verdict").alias("_v")), "case_id", "left")
+    return rows.select("case_id", count.alias("rule_fp_count"), F.coalesce(benign & (F.col("_v") == "YES"), F.lit(False)).alias("llm_fp"), F.coalesce(F.bround(100.0 * count / F.col("n"), 2), F.lit(0.0)).alias("false_positive_rate_pct"))
+
+
+def time_to_detect(truth: DataFrame, alerts: DataFrame, answers: DataFrame, events: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """Seconds from the first event that tells of an attack step to the first alert, and to the first event that the
+    answer's chain cites; from the case's first event if none tells. May be negative. Null without attack steps, events
+    or what was to be detected.
+    """
+    said = F.lower(F.concat(*(x for c in ("action", "resource", "status") for x in (F.coalesce(c, F.lit("")), F.lit(" ")))))
+    rows = events.select("case_id", "event_id", "t", said.alias("_x")).join(step_words(truth.where(F.size("attack_steps") > 0), keywords), "case_id")
+    tells = F.size(told_steps(F.col("_x"))) > 0
+    first = rows.groupBy("case_id").agg(F.coalesce(F.min(F.when(tells, F.col("t"))), F.min("t")).alias("_start"))
+    alert = alerts.groupBy("case_id").agg(F.min("t").alias("_alert"))
+    cited = answers.select("case_id", F.explode("attack_chain").alias("s")).select("case_id", F.col("s.event_id").alias("event_id")).where("event_id <> ''")
+    cited = cited.join(events.select("case_id", "event_id", "t"), ["case_id", "event_id"]).groupBy("case_id").agg(F.min("t").alias("_cited"))
+    seconds = lambda c: F.bround((F.col(c) - F.col("_start")) / 1e6, 2)
+    out = truth.select("case_id").join(first, "case_id", "left").join(alert, "case_id", "left").join(cited, "case_id", "left")
+    return out.select("case_id", seconds("_alert").alias("rule_seconds"), seconds("_cited").alias("llm_seconds"))
+
+
+def answer_quality(report: DataFrame) -> DataFrame:
+    """False claims, grounding and order of an answer, by its report; what is missing counts as faultless."""
+    return report.select(
+        "case_id", F.coalesce("hallucination_count", F.lit(0)).cast("long").alias("hallucination_count"),
+        F.coalesce("evidence_grounding", F.lit(100.0)).alias("evidence_grounding_pct"), F.coalesce("chronologically_correct", F.lit(True)).alias("timeline_correct"),
+    )
+
+
+def evaluation(truth: DataFrame, alerts: DataFrame, results: DataFrame, answers: DataFrame, events: DataFrame, report: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """The evaluation row of each case of truth; results are the rules' (case_id, verdict), report that of the answers.
+
+    Recall, precision and time to detect are for ATTACK cases only, null in others. A case without an answer or results
+    has null verdicts, which map to UNKNOWN.
+    """
+    attack = truth.where("label = 'ATTACK'")
+    said = answers.select("case_id", F.col("verdict").alias("llm_verdict"), *(F.col(c) if c in answers.columns else F.lit(None).cast("string").alias(c) for c in ("confidence", "source")))
+    rows = truth.join(results.select("case_id", F.col("verdict").alias("rule_verdict")), "case_id", "left").join(said, "case_id", "left")
+    both = F.col("label") == "ATTACK"
+    parts = [
+        verdict_accuracy(rows.select("case_id", "label", "rule_verdict", "llm_verdict")).drop("label"), recall(attack, chain_texts(answers), keywords),
+        false_positives(truth, alerts, events, answers), rule_scores(attack, alerts, keywords), answer_precision(attack, answers, keywords), time_to_detect(attack, alerts, answers, events, keywords), answer_quality(report),
+    ]
+    for part in parts:
+        rows = rows.join(part, "case_id", "left")
+    return rows.select(
+        "case_id", (F.col("name") if "name" in truth.columns else F.col("case_id")).alias("case_name"), "label", "rule_verdict", "llm_verdict", F.coalesce("confidence", F.lit("N/A")).alias("llm_confidence"),
+        F.coalesce(F.upper("source") == "MOCK", F.lit(False)).alias("is_mock"), "rule_mapped", "llm_mapped", "rule_correct", "llm_correct",
+        F.coalesce("total_steps", F.lit(0)).cast("long").alias("total_steps"), F.coalesce("detected_steps", F.lit(0)).cast("long").alias("detected_steps"), "recall_pct", F.coalesce("missed_steps", F.lit("")).alias("missed_steps"),
+        "rule_fp_count", "llm_fp", "false_positive_rate_pct", "rule_precision", "llm_precision",
+        F.when(both, f1(F.col("rule_precision"), F.col("rule_recall"))).otherwise(0.0).alias("rule_f1"), F.when(both, f1(F.col("llm_precision"), F.col("recall_pct") / 100)).otherwise(0.0).alias("llm_f1"),
+        "rule_seconds", "llm_seconds", F.coalesce("hallucination_count", F.lit(0)).cast("long").alias("hallucination_count"),
+        F.coalesce("evidence_grounding_pct", F.lit(100.0)).alias("evidence_grounding_pct"), F.coalesce("timeline_correct", F.lit(True)).alias("timeline_correct"),
+    )
+
+
+def comparison(evaluations: DataFrame) -> DataFrame:
+    """Both detectors side by side, with notes on what went wrong."""
+    note = lambda cond, text: F.when(cond, text)
+    notes = F.concat_ws(
+        "; ", note(F.col("is_mock"), F.lit("Mock")), note(~F.col("rule_correct"), F.lit("Rule wrong")), note(~F.col("llm_correct"), F.lit("LLM wrong")),
+        note(F.col("missed_steps") != "", F.concat(F.lit("Missed: "), F.replace("missed_steps", F.lit(","), F.lit(", ")))), note(~F.col("timeline_correct"), F.lit("Timeline err")),
+    )
+    mark = lambda v, ok: F.concat(v, F.when(F.col(ok), " [OK]").otherwise(" [X]"))
+    return evaluations.select("case_id", "case_name", "label", mark("rule_verdict", "rule_correct").alias("rule"), mark("llm_verdict", "llm_correct").alias("llm"), "recall_pct", "rule_f1", "llm_f1", "rule_fp_count", "hallucination_count", F.coalesce(F.nullif(notes, F.lit("")), F.lit("-")).alias("notes"))
 
 
 def accuracy_by_level(scores: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = normalize.to_ocsf(events(spark, sf_dir))
-    return rows.select("case_id", "event_uid", "time_dt", "category_uid", "category_name", "activity_id", "activity_name", "severity_id", "status_id", "status", F.col("principal.user.uid").alias("user"), F.col("principal.ip").alias("ip"), F.col("resource.name").alias("resource"))
+    return rows.select("case_id", "event_uid", "time_dt", "category_uid", "category_name", "activity_id", "activity_name", "severity_id", "status_id", "status", F.col("principal.user.uid").alias("user"), F.col("principal.ip").alias("ip"), F.col("resource.name").alias("resource"), F.col("metadata.product.name").alias("product"), "raw_data")
 
 
 def ecs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,6 @@ def ecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", F.col("event.id").alias("event_id"), F.col("event.category")[0].alias("category"), F.col("event.action").alias("action"), F.col("event.outcome").alias("outcome"), F.col("event.severity").alias("severity"), F.col("file.path").alias("path"), F.col("session.id").alias("session"))
 
 
-def _pick(table: dict, column: str, default: str) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {default} END"
-
-
 QUERIES = {
     "n8_normalized": normalized,
     "n10_ocsf": ocsf,
@@ -75,10 +71,12 @@ SELECT case_id, 'evt_' || case_id || '_' || printf('%03d', row_number() OVER (PA
   CASE WHEN source_type IN ('database', 'web_server') THEN nullif(seq, 0) END AS duration_ms, CASE WHEN source_type = 'web_server' THEN CASE action WHEN 'http_error' THEN '500' ELSE '200' END END AS status_code
 FROM r""",
     "n10_ocsf": f"""{EVENTS_SQL} SELECT case_id, event_id AS event_uid, timestamp AS time_dt,
-  {_pick({k: v[0] for k, v in normalize.OCSF_CATEGORY.items()}, "source_type", "0")} AS category_uid, {_pick({k: v[1] for k, v in normalize.OCSF_CATEGORY.items()}, "source_type", "'Unknown'")} AS category_name,
-  {_pick({k: v[0] for k, v in normalize.OCSF_ACTIVITY.items()}, "action", "0")} AS activity_id, {_pick({k: v[1] for k, v in normalize.OCSF_ACTIVITY.items()}, "action", "'Unknown'")} AS activity_name,
-  {_pick(normalize.OCSF_SEVERITY, "severity", "0")} AS severity_id, CASE status WHEN 'success' THEN 1 ELSE 2 END AS status_id, status, user, source_ip AS ip, resource FROM ev""",
-    "n11_ecs": f"""{EVENTS_SQL} SELECT case_id, event_id, source_type AS category, action, status AS outcome, {_pick(normalize.ECS_SEVERITY, "severity", "0")} AS severity, nullif(resource, '') AS path, session_id AS session FROM ev""",
+  CASE source_type WHEN 'auth' THEN 3 WHEN 'file_access' THEN 4 WHEN 'admin' THEN 1 ELSE 0 END AS category_uid,
+  CASE source_type WHEN 'auth' THEN 'Identity & Access Management' WHEN 'file_access' THEN 'Discovery' WHEN 'admin' THEN 'System Activity' ELSE 'Unknown' END AS category_name,
+  CASE action WHEN 'login' THEN 1 WHEN 'logout' THEN 2 WHEN 'login_failed' THEN 1 WHEN 'file_read' THEN 1 WHEN 'file_download' THEN 5 WHEN 'privilege_change' THEN 3 WHEN 'log_delete' THEN 4 ELSE 0 END AS activity_id,
+  CASE action WHEN 'login' THEN 'Logon' WHEN 'logout' THEN 'Logoff' WHEN 'login_failed' THEN 'Logon' WHEN 'file_read' THEN 'Read' WHEN 'file_download' THEN 'Download' WHEN 'privilege_change' THEN 'Grant' WHEN 'log_delete' THEN 'Delete' ELSE 'Unknown' END AS activity_name,
+  CASE severity WHEN 'info' THEN 1 WHEN 'warning' THEN 3 WHEN 'critical' THEN 5 ELSE 0 END AS severity_id, CASE status WHEN 'success' THEN 1 ELSE 2 END AS status_id, status, user, source_ip AS ip, resource, 'logsift' AS product, '{{}}' AS raw_data FROM ev""",
+    "n11_ecs": f"""{EVENTS_SQL} SELECT case_id, event_id, source_type AS category, action, status AS outcome, CASE severity WHEN 'warning' THEN 50 WHEN 'critical' THEN 100 ELSE 0 END AS severity, nullif(resource, '') AS path, session_id AS session FROM ev""",
     "n12_selected": f"{EVENTS_SQL} SELECT case_id, event_id, user, resource FROM ev WHERE source_type IN ('file_access', 'network') AND action = 'file_download'",
     "n13_source_types": f"{EVENTS_SQL} SELECT case_id, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS source_types FROM ev GROUP BY case_id",
     "n14_chart_rows": f"""{EVENTS_SQL} SELECT case_id, event_id, t AS "start", t + 120000000 AS "end", CASE WHEN k > 1 THEN user ELSE source_type END AS category
