@@ -22,8 +22,6 @@ PART_BITS = 1 << 20
 BITS_EACH = 4
 #: Documents of a group that are compared at once with as many others.
 GROUP_ROWS = 2048
-#: Bytes of sketches that are broadcast at most.
-BROADCAST_SKETCHES = 32 << 20
 #: Row keys that are broadcast at most (8 bytes each).
 BROADCAST_KEYS = 500_000
 LOOK_ROWS = 8192
@@ -304,8 +302,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_across(members: DataFrame, facts: DataFrame) -> DataFrame:
     """Near pairs of documents that share a key and have different labels; members: key, b, label, each once.
 
-    Groups with the same members count once. They are cut to blocks of GROUP_ROWS, and two blocks at a time meet in a task. Sketches are broadcast if they are
-    small, else joined.
+    Groups with the same members count once. They are cut to blocks of GROUP_ROWS, and two blocks at a time meet in a task.
+    Sketches are joined to the rows of blocks, never broadcast, as they grow with the corpus.
     """
     same = [F.bit_xor(F.xxhash64("b", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
     groups = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k"), *same).where("x <> y")
@@ -313,13 +311,8 @@ def near_across(members: DataFrame, facts: DataFrame) -> DataFrame:
     rest = salted_join(members, groups.select("key", F.ceil(F.col("k") / GROUP_ROWS).cast("int").alias("nb")), "key")
     cells = rest.withColumn("side", F.pmod(F.xxhash64("b"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cells = materialize(cells.select("key", "b", "label", "side", F.least("side", "j").alias("lo"), F.greatest("side", "j").alias("hi")))
-    facts = materialize(facts.join(cells.select(F.col("b").alias("_rid")).distinct(), "_rid", "left_semi").select(F.col("_rid").alias("b"), "n", "sketch"))
-    size, order = facts.agg(F.sum(F.length("sketch"))).first()[0] or 0, ["key", "lo", "hi"]
-    parts = partitions(members.sparkSession)
-    if size <= BROADCAST_SKETCHES:
-        rows = cells.repartition(parts, *order).sortWithinPartitions(*order).join(F.broadcast(facts), "b")
-    else:
-        rows = cells.join(facts, "b").repartition(parts, *order).sortWithinPartitions(*order)
+    order = ["key", "lo", "hi"]
+    rows = cells.join(facts.select(F.col("_rid").alias("b"), "n", "sketch").hint("shuffle_hash"), "b").repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order)
     return materialize(rows.select(*order, "b", "label", "n", "sketch", "side").mapInArrow(_across, "a long, b long")).distinct()
 
 

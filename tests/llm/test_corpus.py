@@ -310,7 +310,7 @@ def test_near_copies_recall(spark, edge):
 
 def test_large_branches(spark, docs, edge, monkeypatch):
     want = sorted(map(tuple, jaccard.jaccard_classes(docs).collect()))
-    for k, v in {"BROADCAST_SKETCHES": -1, "BROADCAST_KEYS": -1, "GROUP_ROWS": 3}.items():
+    for k, v in {"BROADCAST_KEYS": -1, "GROUP_ROWS": 3}.items():
         monkeypatch.setattr(jaccard, k, v)
     assert sorted(map(tuple, jaccard.jaccard_classes(docs).collect())) == want
     plain = sorted(map(repr, quality.host_quality(edge).collect()))
