@@ -44,7 +44,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back, which cuts its lineage there."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from materialize. No plan that is still to run may read them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(table.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKETS_EACH, POSTINGS, bounds_of, by_bucket, dealt, hot_join, keyed, materialize, mix, partitions, postings, salted_join, slices, small_batches, text_bytes, window_hashes, word_hashes, word_spans
+from .common import BUCKETS_EACH, POSTINGS, bounds_of, by_bucket, dealt, discard, hot_join, keyed, materialize, mix, partitions, postings, salted_join, slices, small_batches, text_bytes, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -246,11 +246,13 @@ def near_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets link."""
     needed = materialize(near.select(F.explode(F.array("a", "b")).alias("_rid")).distinct())
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
-    sets = materialize(docs.select("_rid", "text").join(needed, "_rid", "left_semi").mapInArrow(_sets, "_rid long, set binary"))
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
+    sets = materialize(docs.select("_rid", "text").join(few, "_rid", "left_semi").mapInArrow(_sets, "_rid long, set binary"))
     left = hot_join(near, sets.select(*_side("a", ("set",))), "a")
     both = left.join(sets.select(*_side("b", ("set",))), "b")
-    return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
+    links = materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
+    discard(needed, sets)
+    return links
 
 
 def _near_across(rid: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: list[bytes], side: np.ndarray | None) -> np.ndarray:
@@ -313,7 +315,10 @@ def near_across(members: DataFrame, facts: DataFrame) -> DataFrame:
     cells = materialize(cells.select("key", "b", "label", "side", F.least("side", "j").alias("lo"), F.greatest("side", "j").alias("hi")))
     order = ["key", "lo", "hi"]
     rows = cells.join(facts.select(F.col("_rid").alias("b"), "n", "sketch").hint("shuffle_hash"), "b").repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order)
-    return materialize(rows.select(*order, "b", "label", "n", "sketch", "side").mapInArrow(_across, "a long, b long")).distinct()
+    found = materialize(rows.select(*order, "b", "label", "n", "sketch", "side").mapInArrow(_across, "a long, b long"))
+    near = materialize(found.distinct())
+    discard(cells, found)
+    return near
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,7 +335,8 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct())
+        before, edges = edges, materialize(small.where("u <> v").distinct())
+        discard(before, large)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
         if now == mark:
             return edges.select(F.col("u").alias("_rid"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("_rid"), F.col("v").alias("label")).distinct())
@@ -357,13 +363,19 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = represented(represented(met.where("kind = 0").select("a", "b").distinct(), "a"), "b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     facts = facts.drop("h1", "h2")
-    links = verified(near_pairs(pairs, facts), docs)
+    near = near_pairs(pairs, facts)
+    links = verified(near, docs)
+    discard(pairs, near)
     labels = materialize(components(links))
     # groups whose documents aren't all in one component yet: all their pairs across components
     members = represented(met.where("kind = 1").select(F.col("a").alias("key"), "b"), "b").join(labels.select(F.col("_rid").alias("b"), "label"), "b", "left").select("key", "b", F.coalesce("label", "b").alias("label"))
-    near = near_across(materialize(members.distinct()), facts)
-    links = links.unionByName(verified(near, docs))
-    labels = components(links.unionByName(same.select(F.col("rep").alias("a"), F.col("_rid").alias("b"))))
+    members = materialize(members.distinct())
+    discard(met, labels)
+    near = near_across(members, facts)
+    more = verified(near, docs)
+    discard(members, near)
+    labels = components(links.unionByName(more).unionByName(same.select(F.col("rep").alias("a"), F.col("_rid").alias("b"))))
+    discard(links, more, same)
     return facts.select("_rid", "n").join(labels, "_rid", "left").select("_rid", F.col("n").alias("n_shingles"), F.coalesce("label", "_rid").alias("label"))
 
 
