@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,9 @@ PREFIXES = (4, 5, 6, 7)
 EVIDENCE = 14.0
 THRESHOLD = 0.3
 CACHE = 100_000
+#: Least hashes that tell near copies among the labelled documents: half of them are equal.
+SIGNS = 32
+SIGN_FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -184,20 +188,50 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, fit_rows: int = FIT_
     rate = F.col("bad") / (F.col("clean") + F.col("bad"))
     gain = F.col("bad") * F.log(rate / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
     telling = sums.where((F.col("feature") != "") & (F.col("bad") > 1)).withColumn("gain", gain).where((rate >= 0.5) & (F.col("gain") > EVIDENCE))
-    rows = telling.orderBy(F.col("gain").desc(), "feature").collect()  # as many as fit_rows documents give evidence for
-    weights = {r["feature"]: (r["bad"] + base) / (r["bad"] + r["clean"] + 1) for r in rows}
-    share = spark.sparkContext.broadcast(weights)
+    rows = telling.orderBy("feature").collect()  # as many as fit_rows documents give evidence for
+    rates = {r["feature"]: (r["bad"] + base) / (r["bad"] + r["clean"] + 1) for r in rows}
+    share = spark.sparkContext.broadcast(set(rates))
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, n, k = Restorer(shared.value), 0, 0
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore = Restorer(shared.value)
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                if not any(f in share.value for w in set(restore.text(text).split()) for f in features(w)):
-                    n, k = n + 1, k + int(toxic > 0)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([k], pa.int64())], names=["n", "k"])
+            words = [set(restore.text(t).split()) for t in batch.column("text").to_pylist()]
+            found = [sorted({f for w in x for f in features(w)} & share.value) for x in words]
+            signs = [word_signature(x).tobytes() for x in words]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string())), pa.array(signs, pa.binary())], names=["toxic", "found", "sign"])
+
+    documents = sample.mapInArrow(held, "toxic int, found array<string>, sign binary").collect()  # fit_rows at most
+    clean = {r["feature"]: r["clean"] for r in rows}
+    weights = {f: rates[f] for f in spread([(x["found"], x["sign"]) for x in documents if x["toxic"] > 0], clean, base)}
+    left = [x["toxic"] > 0 for x in documents if not weights.keys() & set(x["found"])]
+    return weights, min(THRESHOLD / 2, (sum(left) + base) / (len(left) + 1))
+
+
+def word_signature(words: set[str]) -> np.ndarray:
+    """Least hashes of the words; near copies share most of them."""
+    codes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words] or [0], np.uint64)
+    return ((codes[:, None] * SIGN_FACTORS) >> np.uint64(32)).min(0).astype(np.uint32)
 
-    left = sample.mapInArrow(rest, "n long, k long").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    return weights, min(THRESHOLD / 2, ((left["k"] or 0) + base) / ((left["n"] or 0) + 1))
+
+def spread(bad: list[tuple[list[str], bytes]], clean: dict[str, int], base: float) -> set[str]:
+    """The features with evidence if near copies among the documents of label 1 (features, signature) count once.
+
+    clean: documents of label 0 with each feature. Else any word of a toxic text that has many copies would tell.
+    """
+    signs = np.array([np.frombuffer(x, np.uint32) for _, x in bad]).reshape(len(bad), SIGNS)
+    families: dict[str, set[int]] = {f: set() for f in clean}
+    for i, (found, _) in enumerate(bad):
+        first = int(((signs[: i + 1] == signs[i]).sum(1) * 2 >= SIGNS).argmax())  # the earliest near copy, or itself
+        for f in found:
+            families[f].add(first)
+    out = set()
+    for f, n in clean.items():
+        k = len(families[f])
+        rate = k / max(1, k + n)
+        gain = k * math.log(max(rate, 1e-9) / base) + (n * math.log((1 - rate) / (1 - base)) if n else 0.0)
+        if k > 1 and rate >= 0.5 and gain > EVIDENCE:
+            out.add(f)
+    return out
 
 
 class Scorer:

@@ -346,3 +346,13 @@ def test_mixing_near_each_target(spark):
     for source in {r.source for r in rows}:
         own = [r for r in rows if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(0.005 * own[0].target, max(r.size for r in own) / 2), source
+
+
+def test_words_of_one_text_with_many_copies_tell_nothing():
+    copies = [["idiot", "lamp"]] * 40
+    others = [["idiot"]] * 40
+    sign = lambda x: toxicity.word_signature(set(x)).tobytes()
+    bad = [(f, sign([f"same{k}" for k in range(50)] + [f"new{i}"])) for i, f in enumerate(copies)]
+    bad += [(f, sign([f"own{i}x{k}" for k in range(50)])) for i, f in enumerate(others)]
+    assert toxicity.spread(bad, {"idiot": 0, "lamp": 0}, 0.1) == {"idiot"}
+    assert toxicity.spread([], {}, 0.1) == set()
