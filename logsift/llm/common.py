@@ -254,11 +254,14 @@ def dealt(rows: DataFrame, column: str = "bucket") -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join of left, where a key may hold any share of the rows, to right, where it stands once."""
+    """Join of left, where a key may hold any share of the rows, to right, where it stands once.
+
+    Always a merge join: the copies of right would otherwise be broadcast up to Spark's threshold.
+    """
     cols = [F.col(c) for c in left.columns]
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copied, [key, "_salt"], how).drop("_salt")
+    return spread.join(copied.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 #: Rows of a key beyond which it is spread over tasks; at least one of HOT_SHARE of all rows, so that few keys are and
