@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, langid, mixing, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
+from . import fingerprint, jaccard, langid, lexical, licenses, mixing, packing, phrases, pii, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
+    "op11_license_scan": licenses.op11_license_scan,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_collocations": phrases.op13_collocations,
     "fingerprint_near_copies": fingerprint.fingerprint_near_copies,  # op9's bands and verified links
 }
-ORACLE_SQL = {"op1_quality_rules": quality.SQL}
+ORACLE_SQL = {
+    "op1_quality_rules": quality.SQL,
+    "op11_license_scan": licenses.SQL,
+    "op12_lexical_search": lexical.SQL,
+    "op13_collocations": phrases.SQL,
+}
