@@ -6,16 +6,12 @@ evidence_against, narrative); null lists and texts count as empty.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .claims import CHAIN, chain_of, temporal_claims, unknown_entities, volume_claims
+from .claims import CHAIN, chain_of
 
 SCHEMA = f"verdict string, suspect string, attack_chain {CHAIN}, evidence_for array<string>, evidence_against array<string>, narrative string"
-#: What counts as an error of an answer.
-ERRORS = ("invalid_references", "out_of_order", "unsupported_claims", "temporal_errors", "file_errors", "size_errors", "span_errors", "unknown_entities")
 _IDS = ("evidence_for", "evidence_against")
 
 
@@ -70,15 +66,3 @@ def actor_references(answers: DataFrame, events: DataFrame) -> DataFrame:
     users = events.where("user <> ''").groupBy("case_id").agg(F.array_sort(F.collect_set("user")).alias("_u"))
     named = answers.select("case_id", "suspect").join(users, "case_id", "left")
     return named.select("case_id", "suspect", F.coalesce(F.array_contains("_u", F.col("suspect")), F.lit(False)).alias("suspect_in_events"), F.coalesce(F.array_join("_u", ","), F.lit("")).alias("actors"))
-
-
-def report(answers: DataFrame, events: DataFrame) -> DataFrame:
-    """All checks of each answer and their errors in all: false citations, steps out of order, claims without evidence,
-    wrong times, volumes and names. The suspect's check isn't counted."""
-    parts = event_references(answers, events)
-    for part in (timeline_correctness(answers, events), unsupported_claims(answers), temporal_claims(answers, events), volume_claims(answers, events)):
-        parts = parts.join(part, "case_id")
-    names = unknown_entities(answers, events).groupBy("case_id").agg(F.count(F.lit(1)).alias("_u"))
-    parts = parts.join(names, "case_id", "left").withColumn("unknown_entities", F.coalesce("_u", F.lit(0)).cast("long"))
-    errors = reduce(lambda a, b: a + b, (F.col(c) for c in ERRORS))
-    return parts.select("case_id", errors.alias("hallucination_count"), (errors == 0).alias("clean"), *ERRORS, "evidence_grounding", "chronologically_correct")

@@ -1,16 +1,13 @@
-"""Degraded copies of events for robustness runs, and their scores; all random choices are seeded hashes, alike on every run.
-
-A run is a case of its own: its case_id is the case's and the run's name, joined by #.
-"""
+"""Degraded events and answers, and what their runs are scored by; all random choices are seeded hashes, alike on every run."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .claims import chain_of
 from .evaluate import chain_texts, recall
-from .windows import HOUR, MINUTE, placed
+from .windows import HOUR, MINUTE
 
 LEVELS, TRIALS = (0, 20, 40, 60, 80), 3
 JITTERS = (0, 5 * MINUTE, 30 * MINUTE, 2 * HOUR)
@@ -42,34 +39,19 @@ KEYWORDS = {
 }
 
 
-def _hash(*parts: Column | str | int) -> Column:
-    return F.md5(F.concat_ws("|", *(F.lit(str(p)) if isinstance(p, int) else F.col(p).cast("string") if isinstance(p, str) else p for p in parts)))
-
-
 def _unit(digest: Column) -> Column:
     """A number from 0 to 1 of a digest's first 32 bits."""
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def removal(events: DataFrame, levels: tuple[int, ...] = LEVELS, trials: int = TRIALS, seed: int = 42) -> DataFrame:
-    """Copies of each case (level, trial) without exactly the level's percentage of its events, rounded down."""
-    grid = [F.struct(F.lit(p).alias("level"), F.lit(k).alias("trial")) for p in levels for k in range(1, (trials if p else 1) + 1)]
-    rows = events.withColumn("_g", F.explode(F.array(*grid))).select("*", "_g.level", "_g.trial").drop("_g")
-    rows = rows.withColumn("_h", _hash("event_id", "level", "trial", seed))
-    rows = placed(rows, ["case_id", "level", "trial"], F.substring("_h", 1, 2), [F.col("_h"), F.col("seq")])
-    return rows.where("position > floor(total_rows * level / 100)").drop("_h", "position", "total_rows")
+def moved(micros: int, seed: int = 42) -> Column:
+    """An event's time moved by up to micros either way; null stays null."""
+    unit = _unit(F.md5(F.concat(F.col("event_id"), F.lit(f"|{micros}|{seed}"))))
+    return F.col("t") + F.round((2 * unit - 1) * micros).cast("long")
 
 
 def jitter(events: DataFrame, micros: int, seed: int = 42) -> DataFrame:
-    """Times moved by up to micros either way; an event without a time stays."""
-    return events.withColumn("t", F.col("t") + F.round((2 * _unit(_hash("event_id", micros, seed)) - 1) * micros).cast("long"))
-
-
-def order_kept(original: DataFrame, moved: DataFrame) -> DataFrame:
-    """Whether each case's events are in the same order of time in both."""
-    place = lambda rows, name: placed(rows.select("case_id", "event_id", "t", "seq"), ["case_id"], F.floor(F.col("t") / HOUR), [F.col("t"), F.col("seq")]).select("case_id", "event_id", F.col("position").alias(name))
-    both = place(original, "_a").join(place(moved, "_b"), ["case_id", "event_id"], "full")
-    return both.groupBy("case_id").agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("order_kept"))
+    return events.withColumn("t", moved(micros, seed))
 
 
 def chain_in_order(answers: DataFrame) -> DataFrame:
@@ -88,19 +70,6 @@ def verdict_correct(verdict: Column, label: Column) -> Column:
     return F.when(F.trim(F.upper(verdict)) == "YES", "ATTACK").otherwise("BENIGN") == label
 
 
-def as_runs(degraded: DataFrame, *run: str) -> DataFrame:
-    """Degraded events with case and run as their case_id."""
-    return degraded.withColumn("case_id", F.concat_ws("#", "case_id", *(F.col(c).cast("string") for c in run))).drop(*run)
-
-
-def run_results(found: DataFrame, cases: DataFrame, suspicious: int = 3) -> DataFrame:
-    """alert_count, number of distinct rules, and verdict of every run; suspicious needs as many warnings."""
-    sums = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rule_id").alias("k"), F.count_if(F.col("severity") == "critical").alias("c"), F.count_if(F.col("severity") == "warning").alias("w"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    verdict = F.when(F.col("c") > 0, "attack").when(F.col("w") >= suspicious, "suspicious").otherwise("no_alert")
-    return cases.select("case_id").distinct().join(sums, "case_id", "left").select("case_id", zero("n").alias("alert_count"), zero("k").alias("rules_triggered"), verdict.alias("verdict"))
-
-
 def surviving(answers: DataFrame, events: DataFrame) -> DataFrame:
     """Answers with the steps and evidence only whose ids are still among their case's events; steps without an id go."""
     ids = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (F.transform(chain_of(), lambda s: s["event_id"]), F.col("evidence_for"), F.col("evidence_against"))))
@@ -111,15 +80,3 @@ def surviving(answers: DataFrame, events: DataFrame) -> DataFrame:
     for c in ("evidence_for", "evidence_against"):
         rows = rows.withColumn(c, F.filter(c, known))
     return rows.drop("_ids")
-
-
-def run_scores(answers: DataFrame, truth: DataFrame, events: DataFrame) -> DataFrame:
-    """Of each run (case_id, level): verdict, whether it is right, recall, distinct false citations and events left.
-
-    answers, truth and events are keyed by run; truth has the run's level.
-    """
-    from .answers import event_references
-
-    n = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = truth.join(answers.select("case_id", "verdict"), "case_id", "left").join(step_recall(truth, answers), "case_id").join(event_references(answers, events), "case_id").join(n, "case_id", "left")
-    return rows.select("case_id", "level", F.coalesce("verdict", F.lit("UNKNOWN")).alias("verdict"), verdict_correct(F.coalesce("verdict", F.lit("")), F.col("label")).alias("correct"), "recall_pct", F.col("distinct_invalid").alias("hallucinations"), F.coalesce("_n", F.lit(0)).cast("long").alias("events_remaining"))

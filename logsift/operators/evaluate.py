@@ -149,33 +149,6 @@ def answer_quality(report: DataFrame) -> DataFrame:
     )
 
 
-def evaluation(truth: DataFrame, alerts: DataFrame, results: DataFrame, answers: DataFrame, events: DataFrame, report: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
-    """The evaluation row of each case of truth; results are the rules' (case_id, verdict), report that of the answers.
-
-    Recall, precision and time to detect are for ATTACK cases only, null in others. A case without an answer or results
-    has null verdicts, which map to UNKNOWN.
-    """
-    attack = truth.where("label = 'ATTACK'")
-    said = answers.select("case_id", F.col("verdict").alias("llm_verdict"), *(F.col(c) if c in answers.columns else F.lit(None).cast("string").alias(c) for c in ("confidence", "source")))
-    rows = truth.join(results.select("case_id", F.col("verdict").alias("rule_verdict")), "case_id", "left").join(said, "case_id", "left")
-    both = F.col("label") == "ATTACK"
-    parts = [
-        verdict_accuracy(rows.select("case_id", "label", "rule_verdict", "llm_verdict")).drop("label"), recall(attack, chain_texts(answers), keywords),
-        false_positives(truth, alerts, events, answers), rule_scores(attack, alerts, keywords), answer_precision(attack, answers, keywords), time_to_detect(attack, alerts, answers, events, keywords), answer_quality(report),
-    ]
-    for part in parts:
-        rows = rows.join(part, "case_id", "left")
-    return rows.select(
-        "case_id", (F.col("name") if "name" in truth.columns else F.col("case_id")).alias("case_name"), "label", "rule_verdict", "llm_verdict", F.coalesce("confidence", F.lit("N/A")).alias("llm_confidence"),
-        F.coalesce(F.upper("source") == "MOCK", F.lit(False)).alias("is_mock"), "rule_mapped", "llm_mapped", "rule_correct", "llm_correct",
-        F.coalesce("total_steps", F.lit(0)).cast("long").alias("total_steps"), F.coalesce("detected_steps", F.lit(0)).cast("long").alias("detected_steps"), "recall_pct", F.coalesce("missed_steps", F.lit("")).alias("missed_steps"),
-        "rule_fp_count", "llm_fp", "false_positive_rate_pct", "rule_precision", "llm_precision",
-        F.when(both, f1(F.col("rule_precision"), F.col("rule_recall"))).otherwise(0.0).alias("rule_f1"), F.when(both, f1(F.col("llm_precision"), F.col("recall_pct") / 100)).otherwise(0.0).alias("llm_f1"),
-        "rule_seconds", "llm_seconds", F.coalesce("hallucination_count", F.lit(0)).cast("long").alias("hallucination_count"),
-        F.coalesce("evidence_grounding_pct", F.lit(100.0)).alias("evidence_grounding_pct"), F.coalesce("timeline_correct", F.lit(True)).alias("timeline_correct"),
-    )
-
-
 def comparison(evaluations: DataFrame) -> DataFrame:
     """Both detectors side by side, with notes on what went wrong."""
     note = lambda cond, text: F.when(cond, text)

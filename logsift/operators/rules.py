@@ -77,21 +77,21 @@ def _text(rule: str, *parts: Column | str | int) -> Column:
     return F.format_string(TEXTS[rule], *(F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x for x in parts))
 
 
-def _named(rows: DataFrame, rule: Column) -> DataFrame:
+def _named(rows: DataFrame, rule: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Name and severity of each alert's rule."""
     table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("name"), F.lit(x[1]).alias("severity")) for k in RULES.items() for x in k))
-    return rows.withColumn("rule_name", table[rule]["name"]).withColumn("severity", table[rule]["severity"]).select(*ALERT)
+    return rows.withColumn("rule_name", table[rule]["name"]).withColumn("severity", table[rule]["severity"]).select(*ALERT, *keep)
 
 
-def row_alerts(events: DataFrame, baselines: DataFrame | None, rules: list[Row]) -> DataFrame:
-    """Alerts of rules over single events, in one pass. The baselines' size decides how Spark joins them."""
+def row_alerts(events: DataFrame, baselines: DataFrame | None, rules: list[Row], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts of rules over single events, in one pass, with the events' columns to keep. The baselines' size decides how Spark joins them."""
     has = F.lit(False)
     if any(r.known for r in rules):
         own = baselines.withColumnRenamed("user", "_user").withColumn("_known", F.lit(True))
         events, has = events.join(own, F.col("user") == F.col("_user"), "left"), F.coalesce("_known", F.lit(False))
     hits = [F.when((has & r.when) if r.known else r.when, F.struct(F.lit(r.rule).alias("rule_id"), r.text.alias("description"))) for r in rules]
     rows = events.withColumn("_a", F.explode(F.array_compact(F.array(*hits))))
-    return _named(rows.select("case_id", "_a.rule_id", "user", "t", "timestamp", F.col("event_id").alias("event_ids"), "_a.description"), F.col("rule_id"))
+    return _named(rows.select("case_id", "_a.rule_id", "user", "t", "timestamp", F.col("event_id").alias("event_ids"), "_a.description", *keep), F.col("rule_id"), keep)
 
 
 def window_alerts(events: DataFrame, rules: list[Windowed]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import answers as A
 from ..operators import claims as C
 from ..operators import evaluate as E
+from ..operators import measures as M
 from ..operators import rules
 from ..sources.driver import EVENTS_SQL, events
 from ..sources.store import written
@@ -66,8 +67,8 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 def evaluations(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     """The evaluation row of every case. Alerts and answers are written once, as several parts read them."""
-    an, ev, found = written(answers(spark, d)), events(spark, d), written(alerts(spark, d)) if found is None else found
-    return E.evaluation(written(truth(spark, d)), found, rules.rule_results(found, ev), an, ev, A.report(an, ev))
+    an, found = written(answers(spark, d)), written(alerts(spark, d)) if found is None else found
+    return M.evaluation(written(truth(spark, d)), found, an, events(spark, d))
 
 
 def f1_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -84,16 +85,17 @@ QUERIES = {
     "h5_temporal_claims": lambda s, d: C.temporal_claims(answers(s, d), events(s, d)),
     "h6_volume_claims": lambda s, d: C.volume_claims(answers(s, d), events(s, d)),
     "h9_unknown_entities": lambda s, d: C.unknown_entities(answers(s, d), events(s, d)),
-    "h_report": lambda s, d: A.report(written(answers(s, d)), events(s, d)),
+    "h_report": lambda s, d: M.report(written(answers(s, d)), events(s, d)),
     "e1_verdicts": lambda s, d: E.verdict_accuracy(verdicts(s, d)),
     "e2_recall": lambda s, d: E.recall(truth(s, d), E.chain_texts(answers(s, d))),
     "e3_false_positives": lambda s, d: E.false_positives(truth(s, d), alerts(s, d), events(s, d), answers(s, d)),
-    "e4_answer_quality": lambda s, d: E.answer_quality(A.report(written(answers(s, d)), events(s, d))),
+    "e4_answer_quality": lambda s, d: E.answer_quality(M.report(written(answers(s, d)), events(s, d))),
     "e5_precision": lambda s, d: E.rule_precision(truth(s, d), alerts(s, d)).join(E.answer_precision(truth(s, d), answers(s, d)), "case_id"),
     "e6_f1": f1_scores,
     "e8_time_to_detect": lambda s, d: E.time_to_detect(truth(s, d), alerts(s, d), answers(s, d), events(s, d)),
     "e9_rule_breakdown": lambda s, d: E.rule_breakdown(truth(s, d), alerts(s, d)),
-    "e10_evaluation": evaluations,
+    "e10_evaluation": lambda s, d: evaluations(s, d).drop(*M.ALERTS),
+    "e10_with_rules": lambda s, d: evaluations(s, d).withColumn("rule_breakdown", M.breakdown_text()),
     "e11_comparison": lambda s, d: E.comparison(evaluations(s, d)),
 }
 
@@ -188,6 +190,9 @@ FROM x5 LEFT JOIN rr USING (case_id)""",
     "e8_time_to_detect": f"{SCORES} SELECT * FROM x8",
     "e9_rule_breakdown": f"{SCORES} SELECT case_id, rule_id, count(*) AS alert_count, bool_or(match) AS contributed FROM am GROUP BY case_id, rule_id",
     "e10_evaluation": f"{SCORES} SELECT * EXCLUDE (alert_count, criticals, warnings, rules_triggered) FROM x10",
+    "e10_with_rules": f"""{SCORES}, rb AS (SELECT case_id, string_agg(rule_id || ' ' || k || CASE WHEN told THEN ' told' ELSE '' END, ', ' ORDER BY rule_id) AS rule_breakdown
+  FROM (SELECT case_id, rule_id, count(*) AS k, bool_or(match) AS told FROM am GROUP BY case_id, rule_id) GROUP BY case_id)
+SELECT x10.* EXCLUDE (rules_triggered), coalesce(rule_breakdown, '') AS rule_breakdown FROM x10 LEFT JOIN rb USING (case_id)""",
     "e11_comparison": f"""{SCORES} SELECT case_id, case_name, label, rule_verdict || CASE WHEN rule_correct THEN ' [OK]' ELSE ' [X]' END AS rule, llm_verdict || CASE WHEN llm_correct THEN ' [OK]' ELSE ' [X]' END AS llm, recall_pct, rule_f1, llm_f1, rule_fp_count,
   hallucination_count, 'Mock' || CASE WHEN rule_correct THEN '' ELSE '; Rule wrong' END || CASE WHEN llm_correct THEN '' ELSE '; LLM wrong' END || CASE WHEN missed_steps = '' THEN '' ELSE '; Missed: ' || replace(missed_steps, ',', ', ') END
   || CASE WHEN timeline_correct THEN '' ELSE '; Timeline err' END AS notes FROM x10""",

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import correlate, degrade, reports, rules, timeline
+from ..operators import correlate, reports, rules, runs, timeline
 from ..operators.windows import DAY
 from ..sources.driver import EVENTS_SQL, baselines, dense_events, events
 
@@ -197,5 +197,5 @@ QUERIES = {f"r{k[1:]}": _rule(k) for k in rules.REGISTRY} | {f"r{k}_default": _d
     "tl2_by_user": _EV(lambda e: timeline.grouped(e, "user", "unknown_user")), "tl3_by_session": _EV(lambda e: timeline.grouped(e, "session_id", "no_session")),
     "tl4_summary": _EV(timeline.summary), "x1_session_hijack": _EV(correlate.session_hijack), "x2_low_and_slow": _EB(correlate.low_and_slow, days=2),
     "x3_failed_only": _EV(correlate.failed_only), "x4_login_after_access": _EV(correlate.login_after_access),
-    "d2_by_source": _EV(reports.by_source), "s1_removal": _EV(lambda e: degrade.removal(e).groupBy("case_id", "level", "trial").agg(F.count(F.lit(1)).alias("events"))),
+    "d2_by_source": _EV(reports.by_source), "s1_removal": _EV(lambda e: runs.unfolded(runs.with_runs(e), runs.grid()).groupBy("case_id", "level", "trial").agg(F.count(F.lit(1)).alias("events"))),
 }

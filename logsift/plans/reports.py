@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import correlate, degrade, reports, rules, timeline
+from ..operators import correlate, degrade, measures, reports, runs, timeline
 from ..sources import store
 from ..sources.store import shared_folder, written
 from ..sources.driver import EVENTS_SQL, baselines, dense_events, events
@@ -14,9 +14,8 @@ from .logs import raw_rows
 from .queries import ALERTS_SQL, FINDINGS_SQL, PARAMS, alerts, findings
 
 def rows_of_cases(spark: SparkSession, d: str) -> DataFrame:
-    found = written(alerts(spark, d))
-    ev = events(spark, d)
-    return written(reports.case_rows(evaluations(spark, d, found), rules.rule_results(found, ev), answers(spark, d), timeline.summary(ev)))
+    rows = written(evaluations(spark, d))
+    return written(reports.case_rows(rows.drop(*measures.ALERTS), measures.results_of(rows), answers(spark, d), timeline.summary(events(spark, d))))
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
@@ -32,26 +31,37 @@ def flat_reports(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    return written(runs.with_runs(events(spark, d)))
+
+
 def degraded_results(spark: SparkSession, d: str) -> DataFrame:
     """Rule results of every removal run. Only the runs of rules over single events and of R008 depend on no width."""
-    runs = degrade.as_runs(degrade.removal(events(spark, d)), "level", "trial")
-    return degrade.run_results(rules.run_rules(runs, baselines(spark, d), PARAMS), runs)
+    return runs.degraded_results(bitmaps(spark, d), baselines(spark, d), PARAMS)
 
 
 def removal_scores(spark: SparkSession, d: str) -> DataFrame:
-    runs = degrade.as_runs(degrade.removal(events(spark, d)).withColumn("_l", F.col("level")), "level", "trial")
-    grid = runs.select("case_id", F.col("_l").alias("level")).distinct().withColumn("_case", F.substring_index("case_id", "#", 1))
-    of_run = lambda rows: rows.withColumnRenamed("case_id", "_case").join(grid, "_case").drop("_case")
-    return degrade.run_scores(of_run(answers(spark, d)), of_run(truth(spark, d)), runs)
+    rows = runs.removal_scores(written(answers(spark, d)), written(truth(spark, d)), bitmaps(spark, d))
+    return rows.withColumn("case_id", runs.run_name("case_id", "level", "trial")).drop("trial")
+
+
+def raw_answers(rows: DataFrame) -> DataFrame:
+    """Answers as from raw logs alone: every fifth case undecided, every second step of a chain missing, a false id cited."""
+    n = F.regexp_extract("case_id", r"\d+", 0).cast("long")
+    verdict = F.when(n % 5 == 0, "INSUFFICIENT").otherwise(F.col("verdict"))
+    chain = F.filter("attack_chain", lambda s, i: i % 2 == 0)
+    return rows.withColumn("verdict", verdict).withColumn("attack_chain", chain).withColumn("evidence_against", F.array(F.lit("evt_raw"))).withColumn("narrative", F.lit(None).cast("string"))
+
+
+def all_run_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of removal and jitter runs and of both modes. Events of the jitter runs are those in compressed time."""
+    an, tr = written(answers(spark, d)), written(truth(spark, d))
+    modes = runs.mode_scores({"raw_logs": raw_answers(an), "full_pipeline": an}, tr, events(spark, d))
+    return runs.all_scores(runs.removal_scores(an, tr, bitmaps(spark, d)), runs.jitter_scores(an, tr, dense_events(spark, d)), modes)
 
 
 def jitter_orders(spark: SparkSession, d: str) -> DataFrame:
-    ev = dense_events(spark, d)
-    all_ = [degrade.order_kept(ev, degrade.jitter(ev, x)).withColumn("jitter", F.lit(x).cast("long")) for x in degrade.JITTERS]
-    out = all_[0]
-    for x in all_[1:]:
-        out = out.unionByName(x)
-    return out
+    return runs.orders_kept(dense_events(spark, d))
 
 
 def limited_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +120,7 @@ QUERIES = {
     "n16_case_details": details,
     "n17_one_case": lambda s, d: reports.select_case(results(s, d), "case_3"),
     "l2_evidence": documents_of_evidence,
-    "s1_kept_events": lambda s, d: degrade.removal(events(s, d)).select("case_id", "level", "trial", "event_id"),
+    "s1_kept_events": lambda s, d: runs.unfolded(runs.with_runs(events(s, d)), runs.grid()).select("case_id", "level", "trial", "event_id"),
     "s3_jittered": lambda s, d: degrade.jitter(events(s, d), 30 * 60_000_000).select("case_id", "event_id", "t"),
     "s4_order_kept": jitter_orders,
     "s5_chain_order": lambda s, d: degrade.chain_in_order(answers(s, d)),
@@ -118,6 +128,8 @@ QUERIES = {
     "s9_degraded_results": degraded_results,
     "s10_surviving": limited_answers,
     "s12_removal_scores": removal_scores,
+    "s12_run_scores": all_run_scores,
+    "s11_accuracy_by_run": lambda s, d: runs.accuracy_by_run(all_run_scores(s, d)),
     "s11_accuracy_by_level": lambda s, d: _by_level(removal_scores(s, d)),
     "io7_by_case": by_case,
     "io10_replaced": replaced,
@@ -170,6 +182,28 @@ fi AS (SELECT rn.case_id, rn.level, rn.trial, count(DISTINCT ci.event_id) FILTER
   LEFT JOIN kept ON kept.case_id = rn.case_id AND kept.level = rn.level AND kept.trial = rn.trial AND kept.event_id = ci.event_id GROUP BY ALL),
 sc AS (SELECT rn.case_id || '#' || rn.level || '#' || rn.trial AS case_id, rn.level, verdict, (verdict = 'YES') = (NOT benign) AS correct, recall_pct, hallucinations, events_remaining
   FROM rn JOIN an USING (case_id) JOIN rl USING (case_id) JOIN fi ON fi.case_id = rn.case_id AND fi.level = rn.level AND fi.trial = rn.trial JOIN ct ON ct.case_id = rn.case_id AND ct.level = rn.level AND ct.trial = rn.trial)"""
+_ORDERS = " UNION ALL ".join(
+    f"""SELECT case_id, {w} AS jitter, bool_and(a = b) AS order_kept FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY t, seq) AS a, row_number() OVER (PARTITION BY case_id ORDER BY {_MOVED.format(w=w)}, seq) AS b FROM dn) GROUP BY case_id"""
+    for w in (0, 300000000, 1800000000, 7200000000)
+)
+_ALL_RUNS = f"""{_RUN},
+rw AS (SELECT an.case_id, CASE WHEN number % 5 = 0 THEN 'INSUFFICIENT' ELSE verdict END AS verdict, benign, string_agg(ch.description, ' ' ORDER BY pos) FILTER (pos % 2 = 1) AS chain FROM an LEFT JOIN ch ON ch.case_id = an.case_id GROUP BY ALL),
+rz AS (SELECT case_id, step, bool_or(contains(lower(coalesce(chain, '')), word)) AS told FROM rw, kz WHERE NOT benign GROUP BY case_id, step),
+rr AS (SELECT rw.case_id, CASE WHEN count(step) = 0 THEN 100.0 ELSE round_even(100.0 * count(*) FILTER (told) / count(step)::DOUBLE, 2) END AS recall_pct FROM rw LEFT JOIN rz USING (case_id) GROUP BY rw.case_id),
+ri AS (SELECT case_id, event_id FROM (SELECT case_id, cited AS event_id FROM ch WHERE cited IS NOT NULL AND pos % 2 = 1 UNION SELECT case_id, event_id FROM ev WHERE action = 'login_failed' UNION SELECT case_id, 'evt_raw' FROM an)),
+rf AS (SELECT ri.case_id, count(*) FILTER (ev.event_id IS NULL) AS lost FROM ri LEFT JOIN ev ON ev.case_id = ri.case_id AND ev.event_id = ri.event_id GROUP BY ri.case_id),
+jo AS ({_ORDERS}),
+ar AS (SELECT string_split(sc.case_id, '#')[1] AS case_id, 'removal' AS kind, substr(sc.case_id, position('#' IN sc.case_id) + 1) AS run, verdict, correct, recall_pct, hallucinations, events_remaining, NULL::BOOLEAN AS order_kept, NULL::BOOLEAN AS chain_in_order FROM sc
+  UNION ALL SELECT case_id, 'jitter', cast(jitter AS VARCHAR), verdict, (verdict = 'YES') = (NOT benign), recall_pct, NULL, NULL, order_kept, true FROM jo JOIN an USING (case_id) JOIN rl USING (case_id)
+  UNION ALL SELECT case_id, 'mode', 'full_pipeline', verdict, (verdict = 'YES') = (NOT benign), recall_pct, distinct_invalid, NULL, NULL, NULL FROM an JOIN rl USING (case_id) JOIN h1 USING (case_id)
+  UNION ALL SELECT case_id, 'mode', 'raw_logs', verdict, (verdict = 'YES') = (NOT benign), recall_pct, lost, NULL, NULL, NULL FROM rw JOIN rr USING (case_id) JOIN rf USING (case_id))"""
+# the rules' own SQL, over the kept events of each run in the place of the events
+_OVER_RUNS = ALERTS_SQL.replace(f"{EVENTS_SQL},", "WITH").replace(f"{EVENTS_SQL} SELECT", "SELECT")
+_DEGRADED = f"""{EVENTS_SQL.replace("ev AS (", "ev0 AS (").replace("FROM ev)", "FROM ev0)")}, {_KEPT.replace("ev.*", "ev0.*").replace("FROM ev, g", "FROM ev0, g")},
+ev AS MATERIALIZED (SELECT ev0.* REPLACE (ev0.case_id || '#' || level || '#' || trial AS case_id) FROM kept JOIN ev0 ON kept.event_id = ev0.event_id), al AS ({_OVER_RUNS})
+SELECT c.case_id, count(rule_id) AS alert_count, count(DISTINCT rule_id) AS rules_triggered,
+  CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'attack' WHEN count(*) FILTER (severity = 'warning') >= 3 THEN 'suspicious' ELSE 'no_alert' END AS verdict
+FROM (SELECT DISTINCT case_id FROM ev) c LEFT JOIN al USING (case_id) GROUP BY c.case_id"""
 SQL = {
     "rp2_summaries": f"{_ROWS} SELECT * FROM sm",
     "rp3_recommendations": f"{_ROWS} SELECT * FROM rc",
@@ -192,15 +226,16 @@ SQL = {
     "l2_evidence": f"{SCORES} SELECT case_id, n AS events, coalesce(k, 0) AS alerts, users AS baselines FROM cs LEFT JOIN ac USING (case_id) JOIN (SELECT case_id, count(DISTINCT user) AS users FROM ev GROUP BY case_id) USING (case_id)",
     "s1_kept_events": f"{EVENTS_SQL}, {_KEPT} SELECT case_id, level, trial, event_id FROM kept",
     "s3_jittered": f"{EVENTS_SQL} SELECT case_id, event_id, {_MOVED.format(w=1800000000)} AS t FROM ev",
-    "s4_order_kept": f"{EVENTS_SQL} " + " UNION ALL ".join(
-        f"""SELECT case_id, {w} AS jitter, bool_and(a = b) AS order_kept FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY t, seq) AS a, row_number() OVER (PARTITION BY case_id ORDER BY {_MOVED.format(w=w)}, seq) AS b FROM dn) GROUP BY case_id"""
-        for w in (0, 300000000, 1800000000, 7200000000)
-    ),
+    "s4_order_kept": f"{EVENTS_SQL} {_ORDERS}",
     "s5_chain_order": f"{BASE} SELECT case_id, true AS chain_in_order FROM an",
     "s6_step_recall": f"{_RUN} SELECT * FROM rl",
     "s10_surviving": f"""{BASE} SELECT an.case_id, coalesce(a, 0) AS steps, coalesce(b, 0) AS evidence FROM an LEFT JOIN (SELECT case_id, count(*) AS a FROM ch WHERE cited = event_id AND seq % 3 <> 0 GROUP BY case_id) USING (case_id)
   LEFT JOIN (SELECT case_id, count(*) AS b FROM ev WHERE action = 'login_failed' AND seq % 3 <> 0 GROUP BY case_id) USING (case_id)""",
     "s12_removal_scores": f"{_RUN} SELECT * FROM sc",
+    "s12_run_scores": f"{_ALL_RUNS} SELECT * FROM ar",
+    "s11_accuracy_by_run": f"""{_ALL_RUNS} SELECT kind, CASE kind WHEN 'removal' THEN string_split(run, '#')[1] ELSE run END AS level, count(*) AS runs, round_even(avg(correct::INT), 6) AS accuracy,
+  round_even(avg(recall_pct), 4) AS recall_pct FROM ar GROUP BY ALL""",
+    "s9_degraded_results": _DEGRADED,
     "s11_accuracy_by_level": f"{_RUN} SELECT level, count(*) AS runs, round_even(avg(correct::INT), 6) AS accuracy FROM sc GROUP BY level",
     "c10_findings_by_type": f"SELECT type, severity, count(*) AS findings, count(DISTINCT case_id) AS cases FROM ({FINDINGS_SQL}) GROUP BY type, severity",
     "io7_by_case": f"WITH al AS ({ALERTS_SQL}) SELECT case_id, rule_id, severity, t, event_ids FROM al WHERE case_id = 'case_2' OR (case_id = 'case_1' AND severity = 'critical')",

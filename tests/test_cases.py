@@ -5,6 +5,7 @@ import pytest
 
 from logsift.operators import answers as A
 from logsift.operators import evaluate as E
+from logsift.operators import measures as M
 from logsift.operators import claims as C
 from logsift.plans.cases import QUERIES, SQL
 
@@ -43,7 +44,7 @@ def test_checks_and_empty_answer(spark):
     assert by(A.unsupported_claims(an)) == {"c": (5, 2, 60.0), "d": (0, 0, 100.0)}
     assert by(C.unknown_entities(an, ev)) == {"c": ("user", "user_7")}
     assert by(C.temporal_claims(an, ev)) == {"c": (0, 0), "d": (0, 0)} and by(C.volume_claims(an, ev))["d"] == (0, 0, 0, 0, 0, 0)
-    assert by(A.report(an, ev))["c"][0] == 6 and by(A.report(an, ev))["d"][1]
+    assert by(M.report(an, ev))["c"][0] == 6 and by(M.report(an, ev))["d"][1]
     truth = spark.createDataFrame([("c", "ATTACK", ["privilege_escalation", "odd_step"]), ("d", "BENIGN", [])], "case_id string, label string, attack_steps array<string>")
     texts = an.select("case_id", an.attack_chain[0]["description"].alias("text"))
     assert by(E.recall(truth, texts)) == {"c": (2, 1, 50.0, "odd_step"), "d": (0, 0, 100.0, "")}

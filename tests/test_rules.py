@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from logsift.operators import correlate, degrade, rules, timeline
+from logsift.operators import correlate, rules, runs, timeline
 from logsift.operators.windows import sliding, trailing
 from logsift.plans.queries import QUERIES, SQL
 
@@ -166,7 +166,7 @@ def test_timeline_and_removal(spark):
     ev = table(spark, [{"t": i, "session_id": ""} for i in range(11)])
     assert timeline.summary(ev).collect()[0].total_events == 11
     assert timeline.grouped(ev, "session_id", "no_session").collect()[0].session_id == "no_session"
-    left = {(r.level, r.trial): r["count"] for r in degrade.removal(ev).groupBy("level", "trial").count().collect()}
+    left = {(r.level, r.trial): r["count"] for r in runs.unfolded(runs.with_runs(ev), runs.grid()).groupBy("level", "trial").count().collect()}
     assert left == {(0, 1): 11} | {(p, k): 11 - 11 * p // 100 for p in (20, 40, 60, 80) for k in (1, 2, 3)}
 
 
