@@ -7,7 +7,7 @@ import math
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, slices, small_batches
+from .common import discard, in_fold, materialize, slices, small_batches
 
 #: Labelled documents that the scorer learns from at most, chosen by a hash of doc_id.
 FIT_ROWS = 6_000
@@ -153,14 +153,19 @@ class Restorer:
         return " ".join([*(w for t in low.split() for w in self.token(t)), *self.spaced(low)])
 
 
+def beginnings(word: str) -> list[str]:
+    return [f"{word[:k]}~" for k in PREFIXES if len(word) > k]
+
+
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
+    return [word, *beginnings(word)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
-    """Toxic rates of telling words and word beginnings, and the rate of documents without any.
+    """Toxic rates of telling words, and of beginnings of words that don't tell themselves; the rate of documents without any.
 
-    Learned from at most fit_rows labelled documents outside the held-out fold.
+    Learned from at most fit_rows labelled documents outside the held-out fold. A beginning is judged by the words left
+    once the telling ones are taken out, so that no word makes others that begin alike suspect.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -168,48 +173,65 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, fit_rows: int = FIT_
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     shared = spark.sparkContext.broadcast(lm)
 
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore = Restorer(shared.value)
+        for batch in batches:
+            words = [set(restore.text(t).split()) for t in batch.column("text").to_pylist()]
+            signs = [word_signature(x).tobytes() for x in words]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(map(sorted, words), pa.list_(pa.string())), pa.array(signs, pa.binary())], names=["toxic", "words", "sign"])
+
+    texts = materialize(sample.mapInArrow(restored, "toxic int, words array<string>, sign binary"))
+    whole = texts.agg(F.count_if(F.col("toxic") <= 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("bad")).first()
+    if not whole["bad"]:
+        discard(texts)
+        return {}, 0.0
+    base = (whole["bad"] + 1) / (whole["clean"] + whole["bad"] + 2)
+    words = telling(texts, lambda w: [w], base)
+    weights = words | telling(texts, lambda w: [] if w in words else beginnings(w), base)
+    kept = spark.sparkContext.broadcast(set(weights))
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = [not any(f in kept.value for w in x for f in features(w)) for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.bool_()), batch.column("toxic")], names=["none", "toxic"])
+
+    left = texts.select("words", "toxic").mapInArrow(without, "none boolean, toxic int").where("none").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") > 0).alias("bad")).first()
+    discard(texts)
+    return weights, min(THRESHOLD / 2, (left["bad"] + base) / (left["n"] + 1))
+
+
+def telling(texts: DataFrame, of: Callable[[str], list[str]], base: float) -> dict[str, float]:
+    """Toxic rates of the features of words (of) that texts (toxic, words, sign) give evidence for, near copies counted once."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, seen = Restorer(shared.value), {}
+        seen: dict[str, list[int]] = {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["feature", "clean", "bad"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(restore.text(text).split())
-                for f in {""} | {f for w in words for f in features(w)}:
+            for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for f in {f for w in words for f in of(w)}:
                     seen.setdefault(f, [0, 0])[int(toxic > 0)] += 1
             if len(seen) > CACHE:
                 yield out()
                 seen.clear()
         yield out()
 
-    sums = sample.mapInArrow(count, "feature string, clean long, bad long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    whole = sums.where("feature = ''").collect()
-    if not whole or not whole[0]["bad"]:
-        return {}, 0.0
-    clean, bad = whole[0]["clean"], whole[0]["bad"]
-    base = (bad + 1) / (clean + bad + 2)
+    sums = texts.select("words", "toxic").mapInArrow(count, "feature string, clean long, bad long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     rate = F.col("bad") / (F.col("clean") + F.col("bad"))
     gain = F.col("bad") * F.log(rate / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
-    telling = sums.where((F.col("feature") != "") & (F.col("bad") > 1)).withColumn("gain", gain).where((rate >= 0.5) & (F.col("gain") > EVIDENCE))
-    rows = telling.orderBy("feature").collect()  # as many as fit_rows documents give evidence for
+    rows = sums.where(F.col("bad") > 1).withColumn("gain", gain).where((rate >= 0.5) & (F.col("gain") > EVIDENCE)).orderBy("feature").collect()  # as many as FIT_ROWS documents give evidence for
     rates = {r["feature"]: (r["bad"] + base) / (r["bad"] + r["clean"] + 1) for r in rows}
-    share = spark.sparkContext.broadcast(set(rates))
+    share = texts.sparkSession.sparkContext.broadcast(set(rates))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(shared.value)
         for batch in batches:
-            words = [set(restore.text(t).split()) for t in batch.column("text").to_pylist()]
-            found = [sorted({f for w in x for f in features(w)} & share.value) for x in words]
-            signs = [word_signature(x).tobytes() for x in words]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string())), pa.array(signs, pa.binary())], names=["toxic", "found", "sign"])
+            found = [sorted({f for w in x for f in of(w)} & share.value) for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column("sign")], names=["found", "sign"])
 
-    documents = sample.mapInArrow(held, "toxic int, found array<string>, sign binary").collect()  # fit_rows at most
-    clean = {r["feature"]: r["clean"] for r in rows}
-    weights = {f: rates[f] for f in spread([(x["found"], x["sign"]) for x in documents if x["toxic"] > 0], clean, base)}
-    left = [x["toxic"] > 0 for x in documents if not weights.keys() & set(x["found"])]
-    return weights, min(THRESHOLD / 2, (sum(left) + base) / (len(left) + 1))
+    bad = texts.where("toxic > 0").select("words", "sign").mapInArrow(held, "found array<string>, sign binary").collect()  # FIT_ROWS at most
+    return {f: rates[f] for f in spread([(x["found"], x["sign"]) for x in sorted(bad)], {r["feature"]: r["clean"] for r in rows}, base)}
 
 
 def word_signature(words: set[str]) -> np.ndarray:
@@ -242,7 +264,7 @@ def spread(bad: list[tuple[list[str], bytes]], clean: dict[str, int], base: floa
 class Scorer:
     def __init__(self, lm: np.ndarray, weights: dict[str, float], base: float):
         self.restore, self.weights, self.base = Restorer(lm), weights, base
-        self.cache: dict[str, float] = {}
+        self.cache: dict[str, tuple[float, bool]] = {}
         self.begins = {f.rstrip("~")[:k] for f in weights for k in range(len(f) + 1)}
         self.heads = {f.rstrip("~")[: PREFIXES[0]] for f in weights}
 
@@ -252,15 +274,15 @@ class Scorer:
         out = {b for p in found for x in options if (b := p + x) in self.begins}
         return out | {p for p in found if p and p[-1] in options}  # one of two in a row
 
-    def doubled(self, t: str) -> float:
-        """Rate of what a token with doubled letters stands for if copies are dropped."""
-        best, found = 0.0, {""}
+    def doubled(self, t: str) -> tuple[float, bool]:
+        """Rate of what a token with doubled letters stands for if copies are dropped, and whether a whole word tells."""
+        best, found = (0.0, False), {""}
         for i, c in enumerate(t):
             if not (found := self._step(found, c)):
                 return best
             if i + 1 < len(t):
-                best = max(best, *(self.weights.get(f"{p}~", 0.0) for p in found))
-        return max(best, *(self.weights.get(p, 0.0) for p in found))
+                best = max(best, *((self.weights.get(f"{p}~", 0.0), False) for p in found))
+        return max(best, *((self.weights.get(p, 0.0), True) for p in found))
 
     def pieces(self, text: str) -> list[float]:
         """Rates of the telling words that stand in pieces of one to three characters, from any piece to any later one."""
@@ -280,31 +302,43 @@ class Scorer:
                         rates += [w for p in found if (w := self.weights.get(p, 0.0))]
         return rates
 
-    def word(self, w: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
+    def word(self, w: str) -> tuple[float, bool]:
+        """Rate of a word, and whether the whole word tells."""
+        if w in self.weights:
+            return self.weights[w], True
+        return max((self.weights.get(f, 0.0) for f in beginnings(w)), default=0.0), False
 
-    def token(self, t: str) -> float:
-        """Rate of a token; plain words that begin as no telling one have none."""
+    def token(self, t: str) -> tuple[float, bool]:
+        """Rate of a token, and whether a whole word tells; plain words that begin as no telling one have none."""
         t = t[:-1] if t.endswith(CLOSING) and t[:-1].isalpha() else t
         if t.isalpha() and t[: PREFIXES[0]] not in self.heads and not DOUBLED.search(t):
-            return 0.0
-        best = max((self.word(w) for w in self.restore.token(t)), default=0.0)
-        return max(best, *map(self.doubled, PART.findall(t))) if not best and DOUBLED.search(t) and PART.search(t) else best
+            return 0.0, False
+        best = max((self.word(w) for w in self.restore.token(t)), default=(0.0, False))
+        return max(best, *map(self.doubled, PART.findall(t))) if not best[0] and DOUBLED.search(t) and PART.search(t) else best
 
     def score(self, text: str | None) -> float:
-        """1 less the product of 1 less the rates of the telling words, or the rate of documents without any."""
-        low, cache, rates = (text or "").lower(), self.cache, []
+        """1 less the product of 1 less the rates of the telling words, or the rate of documents without any.
+
+        One word that only begins as toxic ones do counts half: nothing else in the text bears it out.
+        """
+        low, cache, rates, sure = (text or "").lower(), self.cache, [], False
         if len(cache) > CACHE:
             cache.clear()
         for t in set(low.split()):
             p = cache.get(t)
             if p is None:
                 p = cache[t] = self.token(t)
-            if p:
-                rates.append(p)
-        rates += [p for w in self.restore.spaced(low) if (p := self.word(w))]
-        rates += self.pieces(low)
-        return 1 - math.prod(1 - p for p in rates) if rates else self.base
+            if p[0]:
+                rates.append(p[0])
+                sure |= p[1]
+        spelled = [p for w in self.restore.spaced(low) if (p := self.word(w))[0]]
+        rates += [p for p, _ in spelled]
+        sure |= any(x for _, x in spelled)
+        pieces = self.pieces(low)
+        rates += pieces
+        if not rates:
+            return self.base
+        return max(self.base, rates[0] / 2) if len(rates) == 1 and not (sure or pieces) else 1 - math.prod(1 - p for p in rates)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
