@@ -111,7 +111,6 @@ class BallTree:
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, values: np.ndarray, width: int, items: np.ndarray, cuts: np.ndarray, leaf: int = LEAF_ROWS):
         self.items, self.cuts = items, cuts  # terms of the items end to end, none of them empty
-        self.root = np.sqrt(np.diff(cuts).astype(float))  # length of an item's vector of ones
         # a sum of up to width products in doubles is off by less than this share
         self.slack = (width + 64) * 2.0**-51
         self.nodes: list[tuple[int, int, int, int]] = []  # first row, last row + 1, left and right child (or -1)
@@ -132,7 +131,9 @@ class BallTree:
             # |x - c|^2 with all that rounding may have taken away
             far2 = norms[rows] - 2 * np.add.reduceat(v * centre[t], begin) + own
             radius = math.sqrt(max(0.0, float((far2 + self.slack * (norms[rows] + 3 * own)).max())))
-            bound = (np.add.reduceat(centre[items], cuts[:-1]) + self.root * radius) * (1 + self.slack) + 1
+            # terms that no row of the ball holds add nothing: an item's vector is as long as the terms that the centre has
+            root = np.sqrt(np.add.reduceat((centre[items] > 0).astype(float), cuts[:-1]))
+            bound = (np.add.reduceat(centre[items], cuts[:-1]) + root * radius) * (1 + self.slack) + 1
             me = len(self.nodes)
             self.nodes.append((low, high, -1, -1))
             self.bounds.append(bound)

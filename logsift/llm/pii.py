@@ -14,10 +14,21 @@ KEY = "corpus"
 #: From this attempt on a surrogate other than a name is longer than its entity, so that any number of entities gets
 #: distinct ones. Names grow by a syllable every other attempt.
 WIDEN = 24
-_TITLE_M, _TITLE_F = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин", "Mrs|Ms|Miss|Frau|Madame|Señora|Sra|г-жа|госпожа"
-_FIRST = "".join(sorted({t[0] for t in f"{_TITLE_M}|{_TITLE_F}".split("|")}))
+_both = lambda titles: f"{titles}|{titles.upper()}"
+_TITLE_M, _TITLE_F = _both("Mr|Herr|Monsieur|Señor|Sr|г-н|господин"), _both("Mrs|Ms|Miss|Frau|Madame|Señora|Sra|г-жа|госпожа")
+#: Titles that tell no gender.
+_TITLE_N = _both("Dr|Prof|Professor|Doktor|Docteur|Doctor|Доктор|Профессор")
+_FIRST = lambda titles: "".join(sorted({t[0] for t in titles.split("|")}))
+#: Words in capitals that begin a sentence after a name and are no part of it.
+_NO_NAME = (
+    "The|This|That|These|Those|There|Then|He|She|It|They|We|You|His|Her|In|On|At|To|Of|For|From|And|But|Or|If|As|By|With|When|Who|Is|Was|Has|An|"
+    "Der|Die|Das|Ein|Eine|Er|Sie|Es|Wir|Und|Aber|Im|Am|Ist|Hat|Le|La|Les|Un|Une|Il|Elle|Ils|Et|Mais|Dans|Est|El|Los|Las|Una|Ella|Pero|En|Que|Released|Licensed|Он|Она|Они|Это|Но|На|Не"
+)
+#: A name: letters with inner capitals, and parts after a hyphen or an apostrophe that begin with one.
+_NAME = r"\p{Lu}(?=['’-]?\p{L})[\p{L}\p{M}]*+(?:['’-]\p{Lu}[\p{L}\p{M}]*+)*+"
+_PERSON = lambda titles: rf"(?=[{_FIRST(titles)}])(?<![\p{{L}}])(?:{titles})\.?\s{{1,3}}{_NAME}(?: (?!(?:{_NO_NAME})(?![\p{{L}}])){_NAME})?"
 #: What a text with an entity contains, but for digits and @: cheap to look for before the patterns are tried.
-SIGNS = [*f"{_TITLE_M}|{_TITLE_F}".split("|"), "password=", "passwd=", "secret=", "api_key="]
+SIGNS = [*f"{_TITLE_M}|{_TITLE_F}".split("|"), *(f"{t}{x}" for t in _TITLE_N.split("|") for x in (".", " ")), "password=", "passwd=", "secret=", "api_key="]
 #: Countries by the length of their IBANs.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FO|FI|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
@@ -27,7 +38,7 @@ IBAN_LENGTHS = {
 _IBAN = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 #: Patterns by type, in the order in which they are tried at a place. What has no bound is possessive.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}+",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<![\d.-])\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
@@ -36,8 +47,9 @@ PATTERNS = {
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     # by the country's length; of other countries groups of four, or any length without blanks
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?![A-Za-z0-9])|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9]))",
-    "man": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_M})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
-    "woman": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE_F})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "man": _PERSON(_TITLE_M),
+    "woman": _PERSON(_TITLE_F),
+    "person": _PERSON(_TITLE_N),
     "secret": r"(?<==)(?<=password=|passwd=|secret=|api_key=)[^\s\"',;]{6,}+",
     # last, as these fit what the types above do: 8 to 15 digits after a plus sign
     "abroad": r"(?<![\w+])\+(?=\d(?:[ .()/-]{0,2}\d){7,14}(?!\d))\d{1,3}(?:[ .-]?\(\d{1,5}\)|[ ./-]?\d){5,14}(?!\d)",
@@ -49,13 +61,18 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NAMES = {
     ("man", True): "Adam Bruno Colin David Erik Felix Gavin Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul".split(),
     ("woman", True): "Anna Bella Clara Diana Emma Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Petra".split(),
+    ("person", True): "Alex Robin Kim Noel Chris Toni Dominique Sascha Jules Morgan Andrea Camille Luca Quinn Rene Sidney".split(),
+    ("person", False): "Саша Женя Валя Слава Шура Вася Паша Витя Лёня Гена Стася Тоша Мика Рада Лада Юля".split(),
     ("man", False): "Антон Борис Виктор Григорий Денис Егор Захар Игорь Кирилл Леонид Максим Никита Олег Павел Роман Степан".split(),
     ("woman", False): "Анна Белла Вера Галина Дарья Елена Жанна Зоя Инна Кира Лариса Мария Нина Ольга Полина Раиса".split(),
 }
 SYLLABLES = {True: "bar den fel gor hal jen kor lin mar nel por ran sel tor ven wil".split(), False: "бар вен гор дан жел зор кал лен мар нор пел ров сан тел фор чен".split()}
 
 
+#: Types whose digits and letters make the entity, whatever stands between them: 1234-5678 is 1234 5678.
+LOOSE = ("card", "number", "phone", "abroad", "iban", "ssn")
 #: Types of the parts of names: family or first name by gender, each by script.
+PEOPLE = ("man", "woman", "person")
 CYRILLIC = r"\p{IsCyrillic}"
 _SCRIPT = {True: "", False: "_cyrillic"}
 
@@ -76,12 +93,12 @@ def _pick(options: list[str], n: Column) -> Column:
 
 
 def _shape(text: Column, noise: Column, letters: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
-    """Digits, small and capital letters each replaced by their own kind; all else stays."""
-    small, capital = F.lit(letters), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    """Digits, small and capital letters each replaced by their own kind, Cyrillic by Cyrillic, other letters by Latin ones; all else stays."""
+    small, capital, cyrillic = F.lit(letters), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("абвгдежзиклмнопрстуфхцчшщэюя")
 
     def one(c: Column, i: Column) -> Column:
         at = lambda chars, n: F.substring(chars, _number(noise, i, n) + 1, F.lit(1))
-        return F.when(c.rlike("[0-9]"), at(F.lit("0123456789"), 10)).when(c.rlike("[a-z]"), at(small, len(letters))).when(c.rlike("[A-Z]"), at(capital, 26)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), at(F.lit("0123456789"), 10)).when(c.rlike("[a-z]"), at(small, len(letters))).when(c.rlike("[A-Z]"), at(capital, 26)).when(c.rlike(CYRILLIC), at(cyrillic, 29)).when(c.rlike(r"\p{Lu}"), at(capital, 26)).when(c.rlike(r"\p{L}"), at(small, len(letters))).when(c.rlike(r"\p{M}"), F.lit("")).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -108,8 +125,8 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     noise = _noise(F.lit(key), kind, entity, salt)
     n = lambda i, below: _number(noise, F.lit(i), below)
     at = F.instr(entity, "@")
-    email = F.concat(_shape(F.substring(entity, F.lit(1), at - 1), noise), F.lit("@"), _shape(F.regexp_replace(F.substring(entity, at + 1, F.length(entity)), r"\.[A-Za-z]+$", ""), F.reverse(noise)), F.regexp_extract(entity, r"\.[A-Za-z]+$", 0))
-    code = F.regexp_extract(entity, r"^\+\d{1,3}", 0)
+    email = F.concat(_shape(F.substring(entity, F.lit(1), at - 1), noise), F.lit("@"), _shape(F.regexp_replace(F.substring(entity, at + 1, F.length(entity)), r"\.\p{L}+$", ""), F.reverse(noise)), F.regexp_extract(entity, r"\.\p{L}+$", 0))
+    code = F.regexp_extract(entity, r"^\+\d", 0)
     phone = F.concat(code, _shape(F.substring(entity, F.length(code) + 1, F.length(entity)), noise))
     card = _checked(F.concat(F.substring(entity, 1, 1), _shape(F.substring(entity, F.lit(2), F.length(entity)), noise)))
     ip = F.concat_ws(".", *((n(i, 254) + 1).cast("string") for i in range(4)))
@@ -150,35 +167,60 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
             return settled.select(*pair, "surrogate")
 
 
+def _plain(name: Column) -> Column:
+    """A name in capitals throughout as one that begins with a capital."""
+    return F.when(name == F.upper(name), F.initcap(F.lower(name))).otherwise(name)
+
+
 def name_parts(names: DataFrame) -> DataFrame:
-    """names (kind, entity) with their title, and kind and text of family and first name (null: none)."""
-    parts = F.split("entity", " ")
+    """names (kind, entity) with their title and what follows it, and kind and text of family and first name (null: none)."""
+    rest = F.regexp_replace("entity", r"^\S+\s+", "")
+    parts = F.split(rest, " ")
     typed = lambda stem, part: F.concat(stem, F.when(part.rlike(CYRILLIC), _SCRIPT[False]).otherwise(_SCRIPT[True]))
-    rows = names.select("kind", "entity", parts[0].alias("title"), F.element_at(parts, -1).alias("family"), F.when(F.size(parts) > 2, parts[1]).alias("first"))
+    rows = names.select("kind", "entity", F.regexp_extract("entity", r"^\S+\s+", 0).alias("title"), F.element_at(parts, -1).alias("_family"), F.when(F.size(parts) > 1, parts[0]).alias("_first"))
+    rows = rows.withColumn("family", _plain(F.col("_family"))).withColumn("first", _plain(F.col("_first")))
     return rows.withColumn("family_kind", typed(F.lit("family"), F.col("family"))).withColumn("first_kind", typed(F.col("kind"), F.col("first")))
 
 
+def _core(entity: Column) -> Column:
+    """An entity's letters, digits and plus sign."""
+    return F.regexp_replace(entity, r"[^A-Za-z0-9+]", "")
+
+
+def _laid_out(core: Column, entity: Column) -> Column:
+    """The characters of core in the places of the entity's own, with what stands between them there."""
+    place = lambda i: F.length(_core(F.substring(entity, F.lit(1), i)))
+    return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"[A-Za-z0-9+]"), F.substring(core, place(i) + 1, F.lit(1))).otherwise(c)), "")
+
+
 def replacements(entities: DataFrame, key: str = KEY) -> DataFrame:
     """entity and surrogate for each distinct entity (kind, entity).
 
     Families and first names are settled by themselves, each distinct, and names are put together from them: a family has
-    one surrogate with every title and first name, which no other family has, and so different names stay different.
+    one surrogate with every title and first name, which no other family has, and so different names stay different. Of
+    LOOSE types what makes the entity is settled by itself too, and laid out as the entity is.
     """
-    is_name = F.col("kind").isin("man", "woman")
+    is_name, loose = F.col("kind").isin(*PEOPLE), F.col("kind").isin(*LOOSE)
     named = name_parts(entities.where(is_name))
     parts = named.select(F.explode(F.array(F.struct(F.col("family_kind").alias("kind"), F.col("family").alias("entity")), F.struct(F.col("first_kind").alias("kind"), F.col("first").alias("entity")))).alias("x"))
     parts = parts.select("x.*").where("entity is not null").distinct()
-    settled = surrogates(materialize(entities.where(~is_name).unionByName(parts)), key)
+    cores = entities.where(loose).select("kind", _core(F.col("entity")).alias("entity")).distinct()
+    settled = surrogates(materialize(entities.where(~is_name & ~loose).unionByName(cores).unionByName(parts)), key)
     side = lambda k: settled.select(F.col("kind").alias(f"{k}_kind"), F.col("entity").alias(k), F.col("surrogate").alias(f"new_{k}"))
     whole = hot_join(materialize(named), side("family"), "family", "family_kind").join(side("first"), ["first", "first_kind"], "left")
-    whole = whole.select("entity", F.concat_ws(" ", "title", "new_first", "new_family").alias("surrogate"))
-    return settled.where(~F.col("kind").startswith("family") & ~F.col("kind").startswith("man") & ~F.col("kind").startswith("woman")).select("entity", "surrogate").unionByName(whole)
+    as_was = lambda k: F.when(F.col(f"_{k}") == F.upper(f"_{k}"), F.upper(f"new_{k}")).otherwise(F.col(f"new_{k}"))
+    whole = whole.select("entity", F.concat("title", F.concat_ws(" ", as_was("first"), as_was("family"))).alias("surrogate"))
+    laid = entities.where(loose).select(F.col("kind").alias("core_kind"), "entity", _core(F.col("entity")).alias("core")).join(side("core"), ["core_kind", "core"])
+    laid = laid.select("entity", F.concat(_laid_out(F.col("new_core"), F.col("entity")), F.substring("new_core", F.length("core") + 1, F.length("new_core"))).alias("surrogate"))
+    other = settled.where(F.col("kind").isin([k for k in PATTERNS if k not in PEOPLE and k not in LOOSE]))
+    return other.select("entity", "surrogate").unionByName(laid).unionByName(whole)
 
 
 def replace_entities(docs: DataFrame, columns: list[str] | None = None, key: str = KEY) -> DataFrame:
     """The rows of docs (doc_id, text), with the named columns, their texts' entities replaced, and n_replaced.
 
-    Texts without an entity, empty and null ones stay as they are. Entities match where no longer one has begun before;
+    Names stand after a title, in capitals or not; they have inner capitals, hyphens and apostrophes, and a second word that is
+    no common first word of a sentence. Texts without an entity, empty and null ones stay as they are. Entities match where no longer one has begun before;
     of types that begin at one place the first in PATTERNS counts. Rows that repeat a doc_id are treated alike. No rows: no
     rows.
     """

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from logsift.llm import mixing, packing, pii, toxicity
@@ -73,7 +74,7 @@ def test_first_of_each_class_stays(steps):
 def test_personal_data_goes(steps):
     docs, new = steps["pii"]
     old, now = sorted(rows(docs).elements(), key=repr), rows(new)
-    found = re.compile("|".join(f"(?:{p})" for k, p in pii.PATTERNS.items() if k in ("email", "ssn", "access")))
+    found = regex.compile("|".join(f"(?:{p})" for k, p in pii.PATTERNS.items() if k in ("email", "ssn", "access")))
     same = [r for r in old if not re.search("[0-9@=]|" + "|".join(map(re.escape, pii.SIGNS)), r[1] or "")]
     assert not collections.Counter(same) - now and len(old) == sum(now.values())
     before = {x for r in old for x in found.findall(r[1] or "")}
