@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .windows import MINUTE, followed_by, id_list, sliding
 
 ALERT = ["case_id", "rule_id", "rule_name", "severity", "user", "t", "timestamp", "event_ids", "description"]
+#: The same with the first and last event and their number in the place of all ids, so that no row grows with a window.
+ENDS = ["first_event", "last_event", "n_events"]
+INTERVAL = [*(c for c in ALERT if c != "event_ids"), *ENDS]
 KEY = ["case_id", "user"]
 #: Names and severities of the rules.
 RULES = {
@@ -77,13 +80,13 @@ def _text(rule: str, *parts: Column | str | int) -> Column:
     return F.format_string(TEXTS[rule], *(F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x for x in parts))
 
 
-def _named(rows: DataFrame, rule: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+def _named(rows: DataFrame, rule: Column, keep: tuple[str, ...] = (), ids: bool = True) -> DataFrame:
     """Name and severity of each alert's rule."""
     table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("name"), F.lit(x[1]).alias("severity")) for k in RULES.items() for x in k))
-    return rows.withColumn("rule_name", table[rule]["name"]).withColumn("severity", table[rule]["severity"]).select(*ALERT, *keep)
+    return rows.withColumn("rule_name", table[rule]["name"]).withColumn("severity", table[rule]["severity"]).select(*(ALERT if ids else INTERVAL), *keep)
 
 
-def row_alerts(events: DataFrame, baselines: DataFrame | None, rules: list[Row], keep: tuple[str, ...] = ()) -> DataFrame:
+def row_alerts(events: DataFrame, baselines: DataFrame | None, rules: list[Row], keep: tuple[str, ...] = (), ids: bool = True) -> DataFrame:
     """Alerts of rules over single events, in one pass, with the events' columns to keep. The baselines' size decides how Spark joins them."""
     has = F.lit(False)
     if any(r.known for r in rules):
@@ -91,10 +94,11 @@ def row_alerts(events: DataFrame, baselines: DataFrame | None, rules: list[Row],
         events, has = events.join(own, F.col("user") == F.col("_user"), "left"), F.coalesce("_known", F.lit(False))
     hits = [F.when((has & r.when) if r.known else r.when, F.struct(F.lit(r.rule).alias("rule_id"), r.text.alias("description"))) for r in rules]
     rows = events.withColumn("_a", F.explode(F.array_compact(F.array(*hits))))
-    return _named(rows.select("case_id", "_a.rule_id", "user", "t", "timestamp", F.col("event_id").alias("event_ids"), "_a.description", *keep), F.col("rule_id"), keep)
+    of = [F.col("event_id").alias("event_ids")] if ids else [F.col("event_id").alias("first_event"), F.col("event_id").alias("last_event"), F.lit(1).cast("long").alias("n_events")]
+    return _named(rows.select("case_id", "_a.rule_id", "user", "t", "timestamp", *of, "_a.description", *keep), F.col("rule_id"), keep, ids)
 
 
-def window_alerts(events: DataFrame, rules: list[Windowed]) -> DataFrame:
+def window_alerts(events: DataFrame, rules: list[Windowed], ids: bool = True) -> DataFrame:
     """Alerts of rules over windows, over one exchange of the events that any of them looks at."""
     spec = [F.when(r.when, F.struct(F.lit(r.rule).alias("rule_id"), r.by.cast("string").alias("by"), F.lit(r.width).cast("long").alias("width"), (F.lit(1) if r.weight is None else r.weight).cast("long").alias("weight"))) for r in rules]
     pick = lambda of: reduce(lambda rest, r: F.when(F.col("rule_id") == r.rule, of(r)).otherwise(rest), rules, F.lit(None))
@@ -102,10 +106,11 @@ def window_alerts(events: DataFrame, rules: list[Windowed]) -> DataFrame:
     rows = rows.select("*", "_a.rule_id", "_a.by", "_a.width", "_a.weight").drop("_a")
     kinds = tuple(dict.fromkeys(k for r in rules for k in r.kinds))
     once = F.col("rule_id").isin([r.rule for r in rules if r.kinds]) if kinds else None
-    found = sliding(rows, ["case_id", "rule_id", "by"], F.col("width"), pick(lambda r: r.hit), "weight", ("width",), kinds, once)
+    found = sliding(rows, ["case_id", "rule_id", "by"], F.col("width"), pick(lambda r: r.hit), "weight", ("width",), kinds, once, ids)
+    of = ["event_ids"] if ids else ["first_event", "last_event", F.col("n").cast("long").alias("n_events")]
     minutes = F.floor(F.col("width") / MINUTE)
     out = found.withColumn("minutes", minutes).withColumn("kinds", quoted(F.col("found_kinds")))
-    return _named(out.select("case_id", "rule_id", pick(lambda r: r.user).alias("user"), "t", "timestamp", "event_ids", pick(lambda r: r.text).alias("description")), F.col("rule_id"))
+    return _named(out.select("case_id", "rule_id", pick(lambda r: r.user).alias("user"), "t", "timestamp", *of, pick(lambda r: r.text).alias("description")), F.col("rule_id"), ids=ids)
 
 
 NO_USER = "N/A"
@@ -163,11 +168,12 @@ def lateral_movement(width=30 * MINUTE, kinds=(("auth", "login"), ("database", "
     return Windowed("R012", fit & (F.col("user") != ""), F.col("user"), width, F.col("n_kinds") >= 2, _text("R012", "by", "kinds", "minutes", "timestamp"), F.col("by"), kinds=tuple(s for s, _ in kinds))
 
 
-def privilege_then_download(events, width=30 * MINUTE, change="privilege_change", action="file_download") -> DataFrame:
+def privilege_then_download(events, width=30 * MINUTE, change="privilege_change", action="file_download", ids=True) -> DataFrame:
     pairs = followed_by(events.where(F.col("action") == change), events.where(F.col("action") == action), KEY, width)
-    ids = F.concat_ws(",", F.col("c.event_id"), id_list(F.collect_list(F.struct("d.t", "d.seq", "d.event_id"))))
-    rows = pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id", "c.timestamp").agg(ids.alias("event_ids"), F.count(F.lit(1)).alias("n"))
-    return _named(rows.select("case_id", F.lit("R008").alias("rule_id"), "user", "t", "timestamp", "event_ids", _text("R008", "timestamp", "n", width // MINUTE).alias("description")), F.col("rule_id"))
+    listed = F.concat_ws(",", F.col("c.event_id"), id_list(F.collect_list(F.struct("d.t", "d.seq", "d.event_id")))).alias("event_ids")
+    ends = [F.first("c.event_id").alias("first_event"), F.max_by("d.event_id", F.struct("d.t", "d.seq")).alias("last_event"), (F.count(F.lit(1)) + 1).alias("n_events")]
+    rows = pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id", "c.timestamp").agg(*([listed] if ids else ends), F.count(F.lit(1)).alias("n"))
+    return _named(rows.select("case_id", F.lit("R008").alias("rule_id"), "user", "t", "timestamp", *(["event_ids"] if ids else ENDS), _text("R008", "timestamp", "n", width // MINUTE).alias("description")), F.col("rule_id"), ids=ids)
 
 
 #: What makes each rule; R008 is a join and gives alerts itself. A caller's own rule is a function that gives a Row, a
@@ -179,15 +185,19 @@ REGISTRY: dict[str, Callable] = {
 JOINED = ("R008",)
 
 
-def run_rules(events: DataFrame, baselines: DataFrame | None, params: dict[str, dict] | None = None, registry: dict[str, Callable] = REGISTRY) -> DataFrame:
-    """Alerts of all rules of the registry; params: keyword arguments by rule. Sort by ORDER for the order of time."""
+def run_rules(events: DataFrame, baselines: DataFrame | None, params: dict[str, dict] | None = None, registry: dict[str, Callable] = REGISTRY, ids: bool = True) -> DataFrame:
+    """Alerts of all rules of the registry; params: keyword arguments by rule. Sort by ORDER for the order of time.
+
+    Without ids they are interval-coded (INTERVAL columns): a burst of n events gives n rows of bounded size, not n windows of up
+    to n ids. Counts, verdicts and evaluations need no more.
+    """
     args = params or {}
     made = [f(**args.get(k, {})) for k, f in registry.items() if k not in JOINED]
-    parts = [registry[k](events, **args.get(k, {})) for k in JOINED if k in registry]
+    parts = [registry[k](events, **args.get(k, {}), **({} if ids else {"ids": False})) for k in JOINED if k in registry]
     if rows := [r for r in made if isinstance(r, Row)]:
-        parts.append(row_alerts(events, baselines, rows))
+        parts.append(row_alerts(events, baselines, rows, ids=ids))
     if windowed := [r for r in made if isinstance(r, Windowed)]:
-        parts.append(window_alerts(events, windowed))
+        parts.append(window_alerts(events, windowed, ids))
     return reduce(DataFrame.unionByName, parts)
 
 

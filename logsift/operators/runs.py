@@ -82,12 +82,12 @@ def degraded_results(events: DataFrame, baselines: DataFrame, params: dict[str,
     plan, args = grid(levels, trials), params or {}
     made = {k: f(**args.get(k, {})) for k, f in REGISTRY.items() if k != "R008"}
     single = [r for r in made.values() if isinstance(r, Row)]
-    of_row = row_alerts(events, baselines, single, ("runs",)).groupBy("case_id", "rule_id", "severity").agg(_kept(plan))
+    of_row = row_alerts(events, baselines, single, ("runs",), ids=False).groupBy("case_id", "rule_id", "severity").agg(_kept(plan))
     pair = args.get("R008", {})
     looked = reduce(lambda a, b: a | b, [F.coalesce(r.when, F.lit(False)) for r in made.values() if isinstance(r, Windowed)]) | F.col("action").isin(pair.get("change", "privilege_change"), pair.get("action", "file_download"))
     copies = unfolded(events.where(looked), plan)
     copies = copies.withColumn("case_id", run_name("case_id", "level", "trial")).drop("level", "trial")
-    rest = run_rules(copies, None, args, {k: f for k, f in REGISTRY.items() if k == "R008" or isinstance(made.get(k), Windowed)})
+    rest = run_rules(copies, None, args, {k: f for k, f in REGISTRY.items() if k == "R008" or isinstance(made.get(k), Windowed)}, ids=False)
     name = run_name("case_id", "level", "trial").alias("case_id")
     all_ = _per_run(of_row, plan, "case_id", "rule_id", "severity").where("n > 0").select(name, "rule_id", "severity", "n")
     all_ = all_.unionByName(rest.groupBy("case_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n")))

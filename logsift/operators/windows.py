@@ -34,6 +34,12 @@ def attach_ids(found: DataFrame, rows: DataFrame, keys: list[str], columns: list
     return joined.groupBy(*(F.col(f"a.{c}") for c in cols)).agg(id_list(F.collect_list(F.struct(F.col("b.rn").alias("rn"), F.col("b.event_id").alias("event_id")))).alias("event_ids"))
 
 
+def attach_ends(found: DataFrame, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """found (keys, rn, last, event_id) with first_event and last_event: what attach_ids lists, as an interval of places."""
+    joined = found.alias("a").join(rows.select(*keys, "rn", "event_id").alias("b"), same("a", "b", keys) & (F.col("a.last") == F.col("b.rn")))
+    return joined.select(*(f"a.{c}" for c in dict.fromkeys([*keys, "rn", "last", *columns])), F.col("a.event_id").alias("first_event"), F.col("b.event_id").alias("last_event"))
+
+
 def sliced(rows: DataFrame, width: Column, before: int, after: int) -> DataFrame:
     """rows with a time, by slice (_s) of SLICE widths; _own is false for those that only help a slice next to theirs.
 
@@ -55,7 +61,7 @@ def _numbered(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
 
 
 def sliding(
-    events: DataFrame, keys: list[str], width: Column | int, hit: Column | str, weight: Column | str | None = None, columns: tuple[str, ...] = (), kinds: tuple[str, ...] = (), once: Column | None = None
+    events: DataFrame, keys: list[str], width: Column | int, hit: Column | str, weight: Column | str | None = None, columns: tuple[str, ...] = (), kinds: tuple[str, ...] = (), once: Column | None = None, ids: bool = True
 ) -> DataFrame:
     """Windows [t, t + width] from each event on that meet hit (over n, their events, total, the sum of weight, and
     n_kinds, how many of the source types in kinds they hold).
@@ -63,6 +69,8 @@ def sliding(
     A window counts only if it holds an event that no earlier hit of its key holds. Ends never go back, so that is a last
     row beyond the hit's before. Where once is true, the first hit of each time counts instead. Gives keys, t, seq,
     timestamp, n, total, found_kinds, columns and event_ids. Events without a time are in no window.
+
+    Without ids a window has its first and last event in their place: one row for each hit, however many events it holds.
     """
     width = F.lit(width).cast("long") if isinstance(width, int) else width
     weight = F.lit(1) if weight is None else F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0))
@@ -84,7 +92,8 @@ def sliding(
     fresh = F.col("last") > F.coalesce("_last", F.lit(0))
     if once is not None:
         fresh = F.when(once, F.coalesce(F.col("_t") != F.col("t"), F.lit(True))).otherwise(fresh)
-    return attach_ids(hits.where(fresh & F.col("_own")), rows, part, ["t", "seq", "timestamp", "n", "total", "found_kinds", *columns])
+    hits, of_hit = hits.where(fresh & F.col("_own")), ["t", "seq", "timestamp", "n", "total", "found_kinds", *columns]
+    return attach_ids(hits, rows, part, of_hit) if ids else attach_ends(hits, rows, part, of_hit)
 
 
 def trailing(events: DataFrame, keys: list[str], width: int, threshold: int) -> DataFrame:

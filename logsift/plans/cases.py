@@ -12,7 +12,7 @@ from ..operators import measures as M
 from ..operators import rules
 from ..sources.driver import EVENTS_SQL, events
 from ..sources.store import written
-from .queries import ALERTS_SQL, alerts
+from .queries import ALERTS_SQL, alerts, intervals
 
 STEPS = ("privilege_escalation", "log_deletion", "bulk_file_download", "logout")
 
@@ -50,7 +50,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    return rules.rule_results(alerts(spark, d), events(spark, d))
+    return rules.rule_results(intervals(spark, d), events(spark, d))
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 def evaluations(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     """The evaluation row of every case. Alerts and answers are written once, as several parts read them."""
-    an, found = written(answers(spark, d)), written(alerts(spark, d)) if found is None else found
+    an, found = written(answers(spark, d)), written(intervals(spark, d)) if found is None else found
     return M.evaluation(written(truth(spark, d)), found, an, events(spark, d))
 
 

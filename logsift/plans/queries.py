@@ -32,6 +32,11 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
     return rules.run_rules(events(spark, d), baselines(spark, d), PARAMS)
 
 
+def intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The same alerts with their first and last event in the place of all ids."""
+    return rules.run_rules(events(spark, d), baselines(spark, d), PARAMS, ids=False)
+
+
 def _row_sql(rule: str, name: str, severity: str, text: str, where: str) -> str:
     return f"""{EVENTS_SQL} SELECT case_id, '{rule}' AS rule_id, '{name}' AS rule_name, '{severity}' AS severity, user, t, event_id AS event_ids, {text} AS description
 FROM ev LEFT JOIN bl USING (user) WHERE {where}"""
@@ -170,6 +175,8 @@ SELECT c.case_id, count(rule_id) AS alert_count, coalesce(string_agg(DISTINCT ru
 FROM c LEFT JOIN al USING (case_id) GROUP BY c.case_id"""
 SQL |= {
     "r13_ordered_alerts": f"""WITH al AS ({ALERTS_SQL}) SELECT case_id, rule_id, severity, t, event_ids, row_number() OVER (PARTITION BY case_id ORDER BY t, rule_id, event_ids) AS position FROM al""",
+    "r13_intervals": f"""WITH al AS ({ALERTS_SQL}) SELECT case_id, rule_id, severity, user, t, description, string_split(event_ids, ',')[1] AS first_event, string_split(event_ids, ',')[-1] AS last_event,
+  len(string_split(event_ids, ',')) AS n_events FROM al""",
     "r14_rule_results": _RESULTS,
     "c9_severity_summary": f"SELECT case_id, severity, count(*) AS findings FROM ({FINDINGS_SQL}) GROUP BY case_id, severity",
     "c10_totals": f"SELECT count(*) AS findings, count(DISTINCT case_id) AS cases FROM ({FINDINGS_SQL})",
@@ -185,7 +192,8 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f"r{k[1:]}": _rule(k) for k in rules.REGISTRY} | {f"r{k}_default": _default_rule(f"R{k}") for k in ("004", "007", "008", "009", "011", "012")} | {
     "r13_ordered_alerts": lambda spark, d: rules.ordered_alerts(alerts(spark, d)).select("case_id", "rule_id", "severity", "t", "event_ids", "position"),
-    "r14_rule_results": lambda spark, d: rules.rule_results(alerts(spark, d), events(spark, d)),
+    "r13_intervals": lambda spark, d: intervals(spark, d).drop("timestamp", "rule_name"),
+    "r14_rule_results": lambda spark, d: rules.rule_results(intervals(spark, d), events(spark, d)),
     "c1_credential_stuffing": _EB(correlate.credential_stuffing), "c2_unusual_login_ip": _EB(correlate.unusual_login_ip),
     "c3_privilege_download": _EB(correlate.privilege_then_download, width=5 * DAY), "c4_new_access": _EB(correlate.new_access_after_privilege, width=5 * DAY),
     "c5_after_hours": _EB(correlate.after_hours), "c6_unusual_volume": _EB(correlate.unusual_volume, width=2 * DAY),

@@ -180,3 +180,26 @@ def test_query_equals_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect())))
     assert rows == sorted(map(repr, want.select(", ".join(f'"{c}"' for c in cols)).fetchall()))
+
+
+def test_a_burst_gives_a_row_for_each_event(spark):
+    n = 100_000  # a download a second: 1,800 in each window, so that lists of ids would hold 177 million
+    ev = spark.range(n).selectExpr(
+        "'c' AS case_id", "concat('e', id) AS event_id", "id * 1000000 AS t", "cast(id AS string) AS timestamp", "id AS seq", "'file_access' AS source_type", "'u' AS user", "'file_download' AS action",
+        "'/d/x' AS resource", "'1.1.1.1' AS source_ip", "'success' AS status", "'s' AS session_id", "'info' AS severity", "cast(1 AS bigint) AS bytes", "60 AS local_minute",
+    )
+    found = rules.run_rules(ev, None, {}, {"R004": rules.REGISTRY["R004"]}, ids=False)
+    # every window that ends at an event of its own: the last 1,800 starts end where one before them has
+    assert found.count() == n - 1800
+    ends = {r.first_event: (r.last_event, r.n_events) for r in found.where("t % 10000000000 = 0").collect()}
+    assert ends["e0"] == ("e1800", 1801) and ends["e90000"] == ("e91800", 1801)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "sequence(" not in plan
+
+
+def test_intervals_are_the_ends_of_the_lists(spark):
+    from logsift.plans.queries import alerts, intervals
+
+    lists = alerts(spark, SMALL).selectExpr("case_id", "rule_id", "t", "description", "split(event_ids, ',') AS x").selectExpr("*", "x[0] AS first_event", "element_at(x, -1) AS last_event", "size(x) AS n_events").drop("x")
+    cols = lists.columns
+    assert sorted(map(tuple, lists.collect())) == sorted(map(tuple, intervals(spark, SMALL).select(*cols).collect()))
