@@ -161,6 +161,11 @@ def select_events(events: DataFrame, source_types: list[str] | None = None, acti
     return events.where(F.col("user") == user) if user else events
 
 
+def counted(events: DataFrame) -> DataFrame:
+    """Events by case, as the count beside a selection; one row of each case that has any."""
+    return events.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def source_types(events: DataFrame) -> DataFrame:
     """The distinct source types of each case, sorted and joined by commas."""
     return events.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("source_type")), ",").alias("source_types"))

@@ -127,6 +127,12 @@ def incidents(rows: DataFrame) -> DataFrame:
     return out.select("case_id", "number", F.coalesce("label", F.lit("UNKNOWN")).alias("label"), F.coalesce("llm_verdict", F.lit("UNKNOWN")).alias("verdict"), F.coalesce("alert_count", F.lit(0)).cast("long").alias("alert_count"), "severity", "rank")
 
 
+def severity_counts(shown: DataFrame) -> DataFrame:
+    """How many incidents the console counts as threats, warnings and clear cases, and their alerts."""
+    of = lambda s: F.count_if(F.col("severity") == s)
+    return shown.agg(of("critical").alias("threats"), of("warning").alias("warnings"), of("clear").alias("clear"), F.coalesce(F.sum("alert_count"), F.lit(0)).alias("alerts"))
+
+
 def quality_figures(evaluations: DataFrame) -> DataFrame:
     """Accuracy of both detectors, average false claims, average grounding of the answers with any, and sums."""
     n = F.count(F.lit(1))
@@ -157,6 +163,12 @@ def run_counts(events: DataFrame, alerts: DataFrame, raw_rows: DataFrame) -> Dat
     return all_.groupBy("case_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw_rows", "events", "alerts")))
 
 
+def run_summary(counts: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """What a run over all cases reports of each: raw rows, events, alerts, both verdicts and the answer's false claims."""
+    own = evaluations.select("case_id", "rule_verdict", "llm_verdict", "hallucination_count")
+    return counts.join(own, "case_id", "left").select("case_id", "raw_rows", "events", "alerts", F.coalesce("rule_verdict", F.lit("")).alias("rule_verdict"), F.coalesce("llm_verdict", F.lit("")).alias("llm_verdict"), F.coalesce("hallucination_count", F.lit(0)).cast("long").alias("hallucination_count"))
+
+
 def case_list(truth: DataFrame, cases: DataFrame) -> DataFrame:
     """Every case of the truth with its description, if cases (case_id, description) has one."""
     return truth.join(cases.select("case_id", "description"), "case_id", "left").select("case_id", "name", "label", "description")

@@ -27,3 +27,14 @@ def summary(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_events"), F.min_by("timestamp", order).alias("first"), F.max_by("timestamp", order).alias("last"),
         name("user", "unknown_user").alias("users"), name("session_id", "no_session").alias("sessions"),
     )
+
+
+def groups(events: DataFrame) -> DataFrame:
+    """The user and session groups of each case's timeline: kind, name, events, and the first and last of them in order of time.
+
+    One pass for both kinds; a group is one row of fixed size, whatever its share of the events.
+    """
+    order = F.struct("t", "seq")
+    named = lambda kind, c, none: F.struct(F.lit(kind).alias("kind"), F.coalesce(F.expr(f"nullif({c}, '')"), F.lit(none)).alias("name"))
+    rows = events.withColumn("_g", F.explode(F.array(named("user", "user", "unknown_user"), named("session", "session_id", "no_session"))))
+    return rows.groupBy("case_id", "_g.kind", "_g.name").agg(F.count(F.lit(1)).alias("n"), F.min_by("event_id", order).alias("first_event"), F.max_by("event_id", order).alias("last_event"))

@@ -56,6 +56,7 @@ QUERIES = {
     "n8_normalized": normalized,
     "n10_ocsf": ocsf,
     "n11_ecs": ecs,
+    "n12_counts": lambda spark, d: normalize.counted(normalize.select_events(events(spark, d), ["file_access", "network"], "file_download")),
     "n12_selected": lambda spark, d: normalize.select_events(events(spark, d), ["file_access", "network"], "file_download").select("case_id", "event_id", "user", "resource"),
     "n13_source_types": lambda spark, d: normalize.source_types(events(spark, d)),
     "n14_chart_rows": lambda spark, d: normalize.chart_rows(events(spark, d)),
@@ -77,6 +78,7 @@ FROM r""",
   CASE action WHEN 'login' THEN 'Logon' WHEN 'logout' THEN 'Logoff' WHEN 'login_failed' THEN 'Logon' WHEN 'file_read' THEN 'Read' WHEN 'file_download' THEN 'Download' WHEN 'privilege_change' THEN 'Grant' WHEN 'log_delete' THEN 'Delete' ELSE 'Unknown' END AS activity_name,
   CASE severity WHEN 'info' THEN 1 WHEN 'warning' THEN 3 WHEN 'critical' THEN 5 ELSE 0 END AS severity_id, CASE status WHEN 'success' THEN 1 ELSE 2 END AS status_id, status, user, source_ip AS ip, resource, 'logsift' AS product, '{{}}' AS raw_data FROM ev""",
     "n11_ecs": f"""{EVENTS_SQL} SELECT case_id, event_id, source_type AS category, action, status AS outcome, CASE severity WHEN 'warning' THEN 50 WHEN 'critical' THEN 100 ELSE 0 END AS severity, nullif(resource, '') AS path, session_id AS session FROM ev""",
+    "n12_counts": f"{EVENTS_SQL} SELECT case_id, count(*) AS n FROM ev WHERE source_type IN ('file_access', 'network') AND action = 'file_download' GROUP BY case_id",
     "n12_selected": f"{EVENTS_SQL} SELECT case_id, event_id, user, resource FROM ev WHERE source_type IN ('file_access', 'network') AND action = 'file_download'",
     "n13_source_types": f"{EVENTS_SQL} SELECT case_id, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS source_types FROM ev GROUP BY case_id",
     "n14_chart_rows": f"""{EVENTS_SQL} SELECT case_id, event_id, t AS "start", t + 120000000 AS "end", CASE WHEN k > 1 THEN user ELSE source_type END AS category

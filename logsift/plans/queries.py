@@ -148,6 +148,9 @@ HAVING count(*) FILTER (action = 'login_failed') > 0 AND count(*) FILTER (action
     "tl1_timeline": f"{EVENTS_SQL} SELECT case_id, event_id, row_number() OVER (PARTITION BY case_id ORDER BY t, seq) AS position FROM ev",
     "tl2_by_user": f"{EVENTS_SQL} SELECT case_id, coalesce(nullif(user, ''), 'unknown_user') AS user, count(*) AS n, {_list('t, seq')} AS event_ids FROM ev GROUP BY ALL",
     "tl3_by_session": f"{EVENTS_SQL} SELECT case_id, coalesce(nullif(session_id, ''), 'no_session') AS session_id, count(*) AS n, {_list('t, seq')} AS event_ids FROM ev GROUP BY ALL",
+    "tl4_groups": f"""{EVENTS_SQL}, g AS (SELECT case_id, 'user' AS kind, coalesce(nullif(user, ''), 'unknown_user') AS name, event_id, t, seq FROM ev
+UNION ALL SELECT case_id, 'session', coalesce(nullif(session_id, ''), 'no_session'), event_id, t, seq FROM ev)
+SELECT case_id, kind, name, count(*) AS n, arg_min(event_id, (t, seq)) AS first_event, arg_max(event_id, (t, seq)) AS last_event FROM g GROUP BY ALL""",
     "tl4_summary": f"""{EVENTS_SQL} SELECT case_id, count(*) AS total_events, arg_min(timestamp, t) AS first, arg_max(timestamp, t) AS last, count(DISTINCT user) AS users,
 count(DISTINCT coalesce(session_id, 'no_session')) AS sessions FROM ev GROUP BY case_id""",
     "x1_session_hijack": f"""{EVENTS_SQL} SELECT case_id, session_id, event_id, before, source_ip FROM (SELECT *, lag(source_ip) OVER (PARTITION BY case_id, session_id ORDER BY t, seq) AS before
@@ -203,7 +206,7 @@ QUERIES = {f"r{k[1:]}": _rule(k) for k in rules.REGISTRY} | {f"r{k}_default": _d
     "c10_totals": lambda spark, d: correlate.totals(findings(spark, d)),
     "tl1_timeline": _EV(lambda e: timeline.timeline(e).select("case_id", "event_id", "position")),
     "tl2_by_user": _EV(lambda e: timeline.grouped(e, "user", "unknown_user")), "tl3_by_session": _EV(lambda e: timeline.grouped(e, "session_id", "no_session")),
-    "tl4_summary": _EV(timeline.summary), "x1_session_hijack": _EV(correlate.session_hijack), "x2_low_and_slow": _EB(correlate.low_and_slow, days=2),
+    "tl4_groups": _EV(timeline.groups), "tl4_summary": _EV(timeline.summary), "x1_session_hijack": _EV(correlate.session_hijack), "x2_low_and_slow": _EB(correlate.low_and_slow, days=2),
     "x3_failed_only": _EV(correlate.failed_only), "x4_login_after_access": _EV(correlate.login_after_access),
     "d2_by_source": _EV(reports.by_source), "s1_removal": _EV(lambda e: runs.unfolded(runs.with_runs(e), runs.grid()).groupBy("case_id", "level", "trial").agg(F.count(F.lit(1)).alias("events"))),
 }

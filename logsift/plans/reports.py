@@ -76,6 +76,14 @@ def stored_twice(spark: SparkSession, d: str) -> DataFrame:
     return store.load_events(ev.unionByName(ev.where("seq % 5 = 0")), f"{folder}/events", f"{folder}/second")
 
 
+def appended(spark: SparkSession, d: str) -> DataFrame:
+    """Critical alerts stored, then warnings beside them, read back and counted by case and severity."""
+    path, rows = shared_folder(spark), alerts(spark, d).select("case_id", "rule_id", "severity", "t", "event_ids")
+    for severity in ("critical", "warning"):
+        store.append(rows.where(F.col("severity") == severity), path)
+    return store.stored(spark, path, rows).groupBy("case_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rule_id").alias("rules"))
+
+
 def replaced(spark: SparkSession, d: str) -> DataFrame:
     """Answers' verdicts stored, then those of every third case replaced, and read back in order."""
     path, rows = shared_folder(spark), answers(spark, d).select("case_id", "verdict")
@@ -112,6 +120,9 @@ QUERIES = {
     "rp6_reports": flat_reports,
     "rp7_combined": lambda s, d: reports.combined(_reports(s, d)),
     "d1_incidents": lambda s, d: reports.incidents(rows_of_cases(s, d)),
+    "d1_severity_counts": lambda s, d: reports.severity_counts(reports.incidents(rows_of_cases(s, d))),
+    "d6_run_summary": lambda s, d: reports.run_summary(reports.run_counts(events(s, d), alerts(s, d), _all_raw(s, d)), evaluations(s, d)),
+    "io9_appended": appended,
     "d3_quality_figures": lambda s, d: reports.quality_figures(evaluations(s, d)),
     "d4_rule_failures": lambda s, d: reports.rule_failures(evaluations(s, d), truth(s, d)),
     "d5_disagreements": lambda s, d: reports.disagreements(evaluations(s, d)),
@@ -215,6 +226,10 @@ SQL = {
     "rp7_combined": f"{SCORES} SELECT count(*) AS reports, count(*) FILTER (label = 'ATTACK') AS attacks, count(*) FILTER (rule_correct) || '/' || count(*) AS rule_accuracy, count(*) FILTER (llm_correct) || '/' || count(*) AS llm_accuracy FROM x10",
     "d1_incidents": f"""{SCORES} SELECT case_id, cast(substr(case_id, 6) AS BIGINT) AS number, label, llm_verdict AS verdict, alert_count, CASE WHEN llm_verdict = 'YES' THEN 'critical' WHEN rule_verdict = 'suspicious' THEN 'warning' ELSE 'clear' END AS severity,
   CASE WHEN llm_verdict = 'YES' THEN 0 WHEN rule_verdict = 'suspicious' THEN 1 ELSE 2 END AS rank FROM x10""",
+    "d1_severity_counts": f"""{SCORES} SELECT count(*) FILTER (llm_verdict = 'YES') AS threats, count(*) FILTER (llm_verdict <> 'YES' AND rule_verdict = 'suspicious') AS warnings,
+  count(*) FILTER (llm_verdict <> 'YES' AND rule_verdict <> 'suspicious') AS clear, cast(sum(alert_count) AS BIGINT) AS alerts FROM x10""",
+    "d6_run_summary": f"{SCORES} SELECT x10.case_id, n AS raw_rows, n AS events, alert_count AS alerts, rule_verdict, llm_verdict, hallucination_count FROM x10 JOIN cs USING (case_id)",
+    "io9_appended": f"WITH al AS ({ALERTS_SQL}) SELECT case_id, severity, count(*) AS n, count(DISTINCT rule_id) AS rules FROM al GROUP BY case_id, severity",
     "d3_quality_figures": f"""{SCORES} SELECT count(*) AS cases, round_even(count(*) FILTER (rule_correct) / count(*)::DOUBLE, 4) AS rule_accuracy, round_even(count(*) FILTER (llm_correct) / count(*)::DOUBLE, 4) AS llm_accuracy, round_even(avg(hallucination_count), 4) AS avg_hallucinations,
   round_even(avg(evidence_grounding_pct) FILTER (evidence_grounding_pct > 0), 4) AS avg_grounding, count(*) FILTER (timeline_correct) AS timeline_correct, cast(sum(rule_fp_count) AS BIGINT) AS rule_fp, count(*) FILTER (llm_fp) AS llm_fp FROM x10""",
     "d4_rule_failures": f"{SCORES} SELECT case_id, case_name, label, upper(replace(rule_verdict, '_', ' ')) AS rule_verdict, 'few events' AS challenge FROM x10 WHERE NOT rule_correct",

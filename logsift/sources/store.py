@@ -63,11 +63,13 @@ def append(rows: DataFrame, path: str) -> None:
 def append_new(rows: DataFrame, path: str, staging: str, key: str = "event_id") -> DataFrame:
     """Appends the rows whose key is neither stored nor repeated; gives the rows added, as written to the new folder staging.
 
-    Of rows that repeat a key the one with the least hash is taken, on every run.
+    Of rows that repeat a key the one with the least hash is taken, on every run; null is a key like others. A run that died
+    after staging may be run again: what it staged is written anew.
     """
     spark = rows.sparkSession
     one = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("_r")).select("_r.*")
-    one.join(stored(spark, path, rows).select(key), key, "left_anti").select(*rows.columns).write.parquet(staging)
+    old = stored(spark, path, rows).select(F.col(key).alias("_key"))
+    one.join(old, F.col(key).eqNullSafe(F.col("_key")), "left_anti").select(*rows.columns).write.mode("overwrite").parquet(staging)
     new = spark.read.schema(rows.schema).parquet(staging)
     append(new, path)
     return new

@@ -10,7 +10,7 @@ from logsift.sources import store
 
 from .conftest import SMALL
 
-SHOWN = ["rp6_reports", "rp7_combined", "d1_incidents", "d3_quality_figures", "n15_case_list", "n16_case_details", "l2_evidence", "s1_kept_events", "s3_jittered", "s4_order_kept", "s5_chain_order", "s10_surviving", "s12_removal_scores", "s12_run_scores", "s11_accuracy_by_run", "s9_degraded_results", "io7_by_case", "io10_replaced", "io12_stored"]
+SHOWN = ["rp6_reports", "rp7_combined", "d1_incidents", "d3_quality_figures", "n15_case_list", "n16_case_details", "l2_evidence", "s1_kept_events", "s3_jittered", "s4_order_kept", "s5_chain_order", "s10_surviving", "s12_removal_scores", "d1_severity_counts", "d6_run_summary", "io9_appended", "s12_run_scores", "s11_accuracy_by_run", "s9_degraded_results", "io7_by_case", "io10_replaced", "io12_stored"]
 
 
 @pytest.mark.parametrize("name", SHOWN)
@@ -43,6 +43,8 @@ def test_store(spark, tmp_path):
     first = store.append_new(rows.where("event_id = 'e1'"), f"{tmp_path}/t", f"{tmp_path}/s1")
     assert first.count() == 1
     assert {r.case_id: (r.in_file, r.inserted) for r in store.load_events(rows, f"{tmp_path}/t", f"{tmp_path}/s2").collect()} == {"c1": (2, 0), "c2": (2, 2)}
+    again = store.load_events(rows, f"{tmp_path}/t", f"{tmp_path}/s2")  # all are stored now, the one without a key too
+    assert {r.case_id: r.inserted for r in again.collect()} == {"c1": 0, "c2": 0} and spark.read.parquet(f"{tmp_path}/t").count() == 3
     keyed = rows.groupBy("case_id").agg(F.max("v").alias("v"))
     assert store.latest(spark, f"{tmp_path}/k", keyed).count() == 0
     store.replace_keyed(keyed, f"{tmp_path}/k")
@@ -50,3 +52,22 @@ def test_store(spark, tmp_path):
     new = store.replace_keyed(keyed.where("case_id = 'c2'").withColumn("v", F.lit(9).cast("long")), f"{tmp_path}/k")
     assert [tuple(r) for r in store.of_case(new).collect()] == [("c1", 2), ("c2", 9)]
     assert store.read_case(spark, str(tmp_path / "t"), "event_id string, v long", "c9").count() == 0
+
+
+def test_answers_are_read_from_files(spark, tmp_path):
+    import json
+
+    from logsift.sources.raw import read_answers
+
+    (tmp_path / "scenario_7_llm_response.json").write_text(json.dumps({"verdict": "YES", "suspect": None, "attack_chain": [{"step": 1, "event_id": "e1", "description": "a \"b\" {c}"}], "evidence_for": ["e1"], "narrative": "x", "other": 3}, indent=1))
+    (tmp_path / "scenario_12_llm_response.json").write_text("{}")
+    got = {r.case_id: r for r in read_answers(spark, str(tmp_path)).collect()}
+    assert got["7"].verdict == "YES" and got["7"].attack_chain[0]["description"] == 'a "b" {c}' and got["7"].evidence_for == ["e1"]
+    assert set(got) == {"7", "12"} and got["12"].verdict is None and got["12"].attack_chain is None
+
+
+def test_counts_of_nothing(spark):
+    from logsift.operators import reports
+
+    none = spark.createDataFrame([], "case_id string, severity string, alert_count long")
+    assert tuple(reports.severity_counts(none).collect()[0]) == (0, 0, 0, 0)
