@@ -5,7 +5,7 @@ Texts are cut to matches by built-in functions; facts are one row a case, and on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHAIN = "array<struct<step: int, event_id: string, description: string>>"
@@ -127,16 +127,28 @@ def entities(answers: DataFrame) -> DataFrame:
     return answers.select("case_id", F.explode(named).alias("_e")).select("case_id", "_e.*")
 
 
+def unknown_paths(paths: DataFrame, resources: DataFrame, salts: int = 16) -> DataFrame:
+    """The distinct paths (case_id, value) that begin no resource of their case and that none begins; rows are linear in both sides.
+
+    In order of bytes what begins with x lies between x and x with a byte FF, which UTF-8 never holds. So one resource begins a
+    path if the furthest such end of the resources up to it lies beyond it, and a path begins one if the next resource lies before
+    the path's own end: a running maximum and a running minimum. Resources are dealt to salts, and each path goes to all of them,
+    so a case with any share of the resources is many tasks' work.
+    """
+    paths = paths.where("value is not null").distinct()
+    known = resources.where("resource <> ''").join(paths.select("case_id").distinct(), "case_id", "left_semi").distinct()
+    dealt = known.select("case_id", F.pmod(F.xxhash64("resource"), F.lit(salts)).cast("int").alias("_s"), F.col("resource").cast("binary").alias("v"), F.lit(0).alias("kind"))
+    asked = paths.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"), F.col("value").cast("binary").alias("v"), F.lit(1).alias("kind"))
+    end, part = F.concat(F.col("v"), F.expr("X'FF'")), Window.partitionBy("case_id", "_s")
+    up, down = (part.orderBy(v, "kind").rowsBetween(Window.unboundedPreceding, 0) for v in (F.col("v").asc(), F.col("v").desc()))
+    rows = dealt.unionByName(asked).withColumn("_reach", F.max(F.when(F.col("kind") == 0, end)).over(up)).withColumn("_next", F.min(F.when(F.col("kind") == 0, F.col("v"))).over(down))
+    met = F.coalesce(F.col("_reach") > F.col("v"), F.lit(False)) | F.coalesce(F.col("_next") < end, F.lit(False))
+    return rows.where("kind = 1").groupBy("case_id", F.col("v").cast("string").alias("value")).agg(F.bool_or(met).alias("_met")).where("not _met").drop("_met")
+
+
 def unknown_entities(answers: DataFrame, events: DataFrame) -> DataFrame:
     """The entities that no event of their case holds; a path also counts as known if it begins one or one begins it."""
     named = entities(answers)
     plain = lambda kind, column: named.where(F.col("type") == kind).join(events.select("case_id", F.col(column).alias("value")).distinct(), ["case_id", "value"], "left_anti")
-    paths = named.where("type = 'file_path'")
-    known = events.where("resource <> ''").select("case_id", "resource").distinct()
-    # one that begins a path: the path's own beginnings meet resources; one that a path begins: resources cut to the paths' lengths
-    begins = paths.withColumn("_cut", F.explode(F.transform(F.sequence(F.lit(1), F.length("value")), lambda k: F.substring(F.col("value"), F.lit(1), k))))
-    within = begins.join(known.withColumnRenamed("resource", "_cut"), ["case_id", "_cut"]).select("case_id", "value")
-    lengths = paths.groupBy("case_id").agg(F.collect_set(F.length("value")).alias("_n"))
-    cut = known.join(lengths, "case_id").select("case_id", F.explode(F.transform("_n", lambda k: F.substring(F.col("resource"), F.lit(1), k))).alias("value"))
-    unknown = paths.join(within.unionByName(cut).distinct(), ["case_id", "value"], "left_anti")
+    unknown = unknown_paths(named.where("type = 'file_path'").select("case_id", "value"), events.select("case_id", "resource")).withColumn("type", F.lit("file_path"))
     return plain("user", "user").unionByName(plain("ip_address", "source_ip")).unionByName(unknown).select("case_id", "type", "value")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import DAY, MINUTE, followed_by, id_list, same, trailing
+from .windows import DAY, HOUR, MINUTE, followed_by, id_list, previous, running, same, trailing
 
 KEY = ["case_id", "user"]
 
@@ -23,8 +23,8 @@ def finding(rows: DataFrame, kind: str, severity: str) -> DataFrame:
 def credential_stuffing(events: DataFrame, baselines: DataFrame) -> DataFrame:
     """Runs of failed logins of a user that a successful login ends; any other login ends a run without a finding."""
     rows = events.where((F.col("source_type") == "auth") & F.col("action").isin("login", "login_failed"))
-    island = F.coalesce(F.sum(F.when(F.col("action") == "login", 1).otherwise(0)).over(Window.partitionBy(*KEY).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = rows.withColumn("island", island).groupBy(*KEY, "island").agg(
+    runs = running(rows, KEY, F.floor(F.col("t") / HOUR), ["t", "seq"], F.when(F.col("action") == "login", 1).otherwise(0), "island")
+    groups = runs.groupBy(*KEY, "island").agg(
         F.count_if(F.col("action") == "login_failed").alias("failed"), F.count_if((F.col("action") == "login") & (F.col("status") == "success")).alias("won"), _in_order("t", "seq").alias("event_ids")
     )
     return finding(groups.where("failed > 0 and won > 0"), "credential_stuffing", "critical")
@@ -86,8 +86,7 @@ def severity_summary(findings: DataFrame) -> DataFrame:
 
 def session_hijack(events: DataFrame) -> DataFrame:
     """Events whose source address differs from the one before in their session."""
-    w = Window.partitionBy("case_id", "session_id").orderBy("t", "seq")
-    rows = events.where("session_id is not null").withColumn("before", F.lag("source_ip").over(w))
+    rows = previous(events.where("session_id is not null"), ["case_id", "session_id"], F.floor(F.col("t") / HOUR), ["t", "seq"], "source_ip", "before")
     return rows.where("source_ip <> before").select("case_id", "session_id", "event_id", "before", "source_ip")
 
 

@@ -10,10 +10,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import MINUTE, followed_by, id_list, sliding
+from .windows import MINUTE, followed_by, id_list, placed, sliding
 
 ALERT = ["case_id", "rule_id", "rule_name", "severity", "user", "t", "timestamp", "event_ids", "description"]
 #: The same with the first and last event and their number in the place of all ids, so that no row grows with a window.
@@ -210,8 +210,8 @@ ORDER = ["case_id", "timestamp", "rule_id", "event_ids"]
 
 
 def ordered_alerts(found: DataFrame, k: str = "position") -> DataFrame:
-    """Alerts with their place in their case."""
-    return found.withColumn(k, F.row_number().over(Window.partitionBy("case_id").orderBy(*ORDER[1:])).cast("long"))
+    """Alerts with their place in their case; hours of the timestamp are numbered by themselves, so a case is many tasks' work."""
+    return placed(found, ["case_id"], F.substring("timestamp", 1, 13), [F.col(c) for c in ORDER[1:]]).withColumnRenamed("position", k).drop("total_rows")
 
 
 def rule_results(found: DataFrame, cases: DataFrame) -> DataFrame:

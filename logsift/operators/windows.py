@@ -131,3 +131,28 @@ def placed(rows: DataFrame, keys: list[str], slot: Column, order: list[Column])
     local = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order)))
     joined = local.alias("a").join(offsets.alias("b"), same("a", "b", [*keys, "_slot"]))
     return joined.select("a.*", (F.col("b._before") + F.col("a._k")).cast("long").alias("position"), F.col("b._total").alias("total_rows")).drop("_k", "_slot")
+
+
+def running(rows: DataFrame, keys: list[str], slot: Column, order: list[Column | str], weight: Column, name: str) -> DataFrame:
+    """rows with name, the sum of weight over the rows before each within keys, in order of slot and then order.
+
+    Each slot sums up by itself and is given the sum of the slots before it, so a key that holds any share of the rows is many
+    tasks' work. A row of sums for each slot is all that meets by key.
+    """
+    rows = rows.withColumn("_slot", slot).withColumn("_w", weight.cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "_slot").agg(F.sum("_w").alias("_n")).withColumn("_c", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_k", F.coalesce(F.sum("_w").over(within), F.lit(0)))
+    joined = local.alias("a").join(carry.alias("b"), same("a", "b", [*keys, "_slot"]))
+    return joined.select("a.*", (F.col("b._c") + F.col("a._k")).alias(name)).drop("_k", "_slot", "_w")
+
+
+def previous(rows: DataFrame, keys: list[str], slot: Column, order: list[str], column: str, name: str) -> DataFrame:
+    """rows with name, the column of the row before within keys, in order of slot and then order; sliced as in running()."""
+    rows, it = rows.withColumn("_slot", slot), F.struct(F.col(column).alias("v"))
+    lasts = rows.groupBy(*keys, "_slot").agg(F.max_by(it, F.struct(*order)).alias("_l"))
+    carry = lasts.withColumn("_c", F.lag("_l").over(Window.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_first()))).drop("_l")
+    local = rows.withColumn("_k", F.lag(it).over(Window.partitionBy(*keys, "_slot").orderBy(*order)))
+    joined = local.alias("a").join(carry.alias("b"), same("a", "b", [*keys, "_slot"]))
+    return joined.select("a.*", F.coalesce("a._k", "b._c")["v"].alias(name)).drop("_k", "_slot")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import running
+
 #: Fields of the raw rows of each log type, in the order in which the types rank when times tie.
 RAW = {
     "auth": "timestamp string, event_type string, username string, ip_address string, result string, session string",
@@ -32,15 +34,49 @@ def micros_of(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(text))
 
 
+def objects(pieces: DataFrame) -> DataFrame:
+    """file, pos and text of the outermost objects of JSON files, from pieces (file, block, at, value): what stands between closing
+    braces, in order of at within a block of a file.
+
+    Whether a piece starts inside a string and how deep depends on all before it. Each block works both out for either start, a
+    row a block carries them on, and each block then knows its own start: a file of any size is as many tasks as it has blocks.
+    """
+    # escapes hide no brace or quote of the structure, and none is cut: no escape ends in a brace
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    outside = lambda text: F.regexp_replace(text, r'"[^"]*+("|\z)', "")
+    rows = pieces.withColumn("_b", bare).withColumn("_q", count(F.col("_b"), '"')).withColumn("_o0", count(outside(F.col("_b")), "{")).withColumn("_o1", count(outside(F.concat(F.lit('"'), "_b")), "{")).drop("_b")
+    through = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_p", F.sum("_q").over(through) - F.col("_q"))
+    for h in (0, 1):  # quotes open where the block starts: what the piece opens, and whether its brace closes
+        odd = (F.col("_p") + h) % 2 == 1
+        closes = ((F.col("_p") + F.col("_q") + h) % 2 == 0).cast("int")
+        rows = rows.withColumn(f"_c{h}", closes).withColumn(f"_n{h}", F.when(odd, F.col("_o1")).otherwise(F.col("_o0")) - closes)
+    rows = rows.withColumn("_d0", F.sum("_n0").over(through)).withColumn("_d1", F.sum("_n1").over(through))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(F.sum("_q").alias("q"), F.sum("_n0").alias("n0"), F.sum("_n1").alias("n1"))
+    blocks = blocks.withColumn("open", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2 == 1)
+    blocks = blocks.withColumn("depth", F.coalesce(F.sum(F.when(F.col("open"), F.col("n1")).otherwise(F.col("n0"))).over(earlier), F.lit(0)))
+    pick = lambda c: F.when(F.col("open"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    known = rows.join(blocks.select("file", "block", "open", "depth"), ["file", "block"])
+    ends = ((pick("_c") == 1) & (F.col("depth") + pick("_d") == 0)).cast("int")
+    placed = running(known.select("file", "block", "at", "value", ends.alias("_e")), ["file"], F.col("block"), ["at"], F.col("_e"), "pos")
+    whole = placed.groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("_v"), F.max("_e").alias("_e")).where("_e = 1")
+    text = F.concat(F.array_join(F.transform("_v", lambda x: x["value"]), "}"), F.lit("}"))
+    return whole.select("file", "pos", F.regexp_replace(text, r"^[^{]*+", "").alias("text"))
+
+
 def read_raw(spark: SparkSession, path: str, log_type: str) -> DataFrame:
-    """case_id, pos (place in the file) and the fields of all files of one type below path; each holds an array or one object.
+    """case_id, pos (place in the file) and the fields of all files of one type below path; each holds an array of objects or one.
 
-    No files: no rows. A file is read whole in one task, as its array has no line structure.
+    No files: no rows. Spark cuts files to blocks of spark.sql.files.maxPartitionBytes, whatever their lines, and objects() puts
+    together what belongs to one object. An object that isn't JSON has null fields; one that the file's end cuts off is left out.
     """
-    row = f"array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split() for x in RAW[log_type].split(', ')))}>>"
-    files = spark.read.option("pathGlobFilter", f"scenario_*_{log_type}_logs.json").text(path, wholetext=True)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), _NAME, 1).alias("case_id"), F.from_json("value", row).alias("rows"))
-    return named.select("case_id", F.posexplode("rows").alias("pos", "x")).select("case_id", "pos", "x.*")
+    row = ", ".join(f"{n}: {t}" for n, t in (x.split() for x in RAW[log_type].split(", ")))
+    cut = spark.read.option("pathGlobFilter", f"scenario_*_{log_type}_logs.json").option("lineSep", "}").text(path)
+    pieces = cut.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    named = objects(pieces).select(F.regexp_extract("file", _NAME, 1).alias("case_id"), "pos", F.from_json("text", f"struct<{row}>").alias("x"))
+    return named.select("case_id", "pos", "x.*")
 
 
 def read_baselines(spark: SparkSession, path: str) -> DataFrame:

@@ -37,8 +37,8 @@ def written(rows: DataFrame) -> DataFrame:
 
 
 def write_by_case(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """One folder a case; only the cases in rows are overwritten."""
-    rows.repartition("case_id").write.partitionBy("case_id").option("partitionOverwriteMode", "dynamic").format(form).mode("overwrite").save(path)
+    """One folder a case; only the cases in rows are overwritten. Tasks are of even size: a large case is several files, small ones share a task."""
+    rows.hint("rebalance", F.col("case_id")).write.partitionBy("case_id").option("partitionOverwriteMode", "dynamic").format(form).mode("overwrite").save(path)
 
 
 def read_case(spark: SparkSession, path: str, schema: str, case_id: str, form: str = "parquet") -> DataFrame:

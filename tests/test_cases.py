@@ -102,3 +102,16 @@ def test_times_to_detect_and_precision(spark):
     assert by(E.rule_scores(truth, alerts)) == {"c": (0.5, 0.5), "d": (None, None)}
     assert by(E.answer_precision(truth, an)) == {"c": (0.5,), "d": (None,)}
     assert by(E.rule_breakdown(truth, alerts).drop("rule_id").groupBy("case_id").agg({"alert_count": "sum"}))["c"] == (2,)
+
+
+def test_unknown_paths_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "/" + "".join(rng.choice("ab/\u00e9\U0001f600~") for _ in range(rng.randrange(6)))
+    paths, known = ({(rng.choice("cd"), word()) for _ in range(n)} for n in (300, 60))
+    known = {(c, r) for c, r in known if len(r) > 1} | {("c", "/"), ("d", "")} - {("c", "/")}
+    paths |= {("e", "/a")}  # a case without resources
+    df = lambda rows, names: spark.createDataFrame([*rows, *list(rows)[:5]], names)
+    got = {tuple(r) for r in C.unknown_paths(df(sorted(paths), "case_id string, value string"), df(sorted(known), "case_id string, resource string"), 3).collect()}
+    assert got == {(c, v) for c, v in paths if not any(k == c and r and (r.startswith(v) or v.startswith(r)) for k, r in known)} and 20 < len(got) < len(paths)

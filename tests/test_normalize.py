@@ -69,3 +69,24 @@ def test_query_equals_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect())))
     assert rows == sorted(map(repr, want.select(", ".join(f'"{c}"' for c in cols)).fetchall()))
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_one_array_is_read_in_blocks(spark, tmp_path, size):
+    odd = ['a "b" {c}', "}{", "\\", '\\"}', "x" * 200, "", "{[\n", "é}ü", '"', "\\\\}\\"]
+    rows = [{"timestamp": T, "event_type": f"e{i}", "sender": odd[i % 10], "recipients": [odd[(i + 3) % 10], "}"], "nested": {"k": [{"z": odd[(i + 5) % 10]}]}, "subject": None} for i in range(60)]
+    (tmp_path / "scenario_1_email_logs.json").write_text(json.dumps(rows, indent=2))
+    (tmp_path / "scenario_2_email_logs.json").write_text(json.dumps(rows[:7], ensure_ascii=False))
+    (tmp_path / "scenario_3_email_logs.json").write_text(json.dumps(rows[0]))
+    (tmp_path / "scenario_4_email_logs.json").write_text("[]\n")
+    (tmp_path / "scenario_5_email_logs.json").write_text("")
+    (tmp_path / "scenario_6_email_logs.json").write_text(json.dumps(rows[:2])[:-30])  # cut off
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = raw.read_raw(spark, str(tmp_path), "email").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted({r.case_id for r in got}) == ["1", "2", "3", "6"]
+    for case, want in (("1", rows), ("2", rows[:7]), ("3", rows[:1]), ("6", rows[:1])):
+        mine = sorted((r for r in got if r.case_id == case), key=lambda r: r.pos)
+        assert [(r.pos, r.event_type, r.sender, r.recipients) for r in mine] == [(i, r["event_type"], r["sender"], r["recipients"]) for i, r in enumerate(want)]

@@ -203,3 +203,23 @@ def test_intervals_are_the_ends_of_the_lists(spark):
     lists = alerts(spark, SMALL).selectExpr("case_id", "rule_id", "t", "description", "split(event_ids, ',') AS x").selectExpr("*", "x[0] AS first_event", "element_at(x, -1) AS last_event", "size(x) AS n_events").drop("x")
     cols = lists.columns
     assert sorted(map(tuple, lists.collect())) == sorted(map(tuple, intervals(spark, SMALL).select(*cols).collect()))
+
+
+def test_sliced_sums_and_rows_before(spark):
+    """A key of many slots, slots without rows between, null keys, null slots, null values and ties in all but the order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from logsift.operators.windows import previous, running
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(0, 400, 7)]), i, rng.choice(["x", "y", None]), rng.randrange(3)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, v string, w long").repartition(5)
+    slot, seen, want = F.floor(F.col("t") / 50), {}, {}
+    for k, t, seq, v, w in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2])):
+        total, last = seen.get(k, (0, None))
+        want[seq], seen[k] = (total, last), (total + w, v)
+    sums = {r.seq: r.s for r in running(df, ["k"], slot, ["t", "seq"], F.col("w"), "s").collect()}
+    before = {r.seq: r.b for r in previous(df, ["k"], slot, ["t", "seq"], "v", "b").collect()}
+    assert {i: (sums[i], before[i]) for i in sums} == want
