@@ -76,6 +76,16 @@ def stored_twice(spark: SparkSession, d: str) -> DataFrame:
     return store.load_events(ev.unionByName(ev.where("seq % 5 = 0")), f"{folder}/events", f"{folder}/second")
 
 
+def all_artefacts(spark: SparkSession, d: str) -> DataFrame:
+    """All artefacts loaded, then loaded again with answers and evaluations of some cases only: what the second load gave and stored."""
+    folder, ev, an = shared_folder(spark), events(spark, d), answers(spark, d).select("case_id", "verdict")
+    found, scores = alerts(spark, d).select("case_id", "rule_id", "severity", "t", "event_ids"), store.written(evaluations(spark, d).select("case_id", "recall_pct"))
+    store.load_all(f"{folder}/t", f"{folder}/s1", ev.where("seq % 3 = 0"), found.where("severity = 'critical'"), an, scores)
+    counts = store.load_all(f"{folder}/t", f"{folder}/s2", ev, found, an.where("length(case_id) % 2 = 0").withColumn("verdict", F.lit("INSUFFICIENT")), scores.where("length(case_id) % 2 = 0"))
+    held = store.latest(spark, f"{folder}/t/answers", an).groupBy("case_id").agg(F.min("verdict").alias("verdict"))
+    return counts.join(held, "case_id", "left").select("case_id", "artefact", "in_file", "stored", "verdict")
+
+
 def appended(spark: SparkSession, d: str) -> DataFrame:
     """Critical alerts stored, then warnings beside them, read back and counted by case and severity."""
     path, rows = shared_folder(spark), alerts(spark, d).select("case_id", "rule_id", "severity", "t", "event_ids")
@@ -145,6 +155,7 @@ QUERIES = {
     "io7_by_case": by_case,
     "io10_replaced": replaced,
     "io12_stored": stored_twice,
+    "io12_all_artefacts": all_artefacts,
     "c10_findings_by_type": lambda s, d: correlate.by_type(findings(s, d)),
 }
 
@@ -255,5 +266,9 @@ SQL = {
     "c10_findings_by_type": f"SELECT type, severity, count(*) AS findings, count(DISTINCT case_id) AS cases FROM ({FINDINGS_SQL}) GROUP BY type, severity",
     "io7_by_case": f"WITH al AS ({ALERTS_SQL}) SELECT case_id, rule_id, severity, t, event_ids FROM al WHERE case_id = 'case_2' OR (case_id = 'case_1' AND severity = 'critical')",
     "io10_replaced": f"{BASE} SELECT case_id, CASE WHEN length(case_id) % 2 = 0 THEN 'INSUFFICIENT' ELSE verdict END AS verdict FROM an",
+    "io12_all_artefacts": f"""{BASE}, al AS ({ALERTS_SQL}),
+given AS (SELECT case_id, 'events' AS artefact, count(*) AS in_file, count(*) FILTER (seq % 3 <> 0) AS stored FROM ev GROUP BY case_id UNION ALL SELECT case_id, 'alerts', count(*), count(*) FROM al GROUP BY case_id
+UNION ALL SELECT case_id, k, 1, 1 FROM an, (VALUES ('answers'), ('evaluations')) AS names(k) WHERE length(case_id) % 2 = 0)
+SELECT given.case_id, artefact, in_file, stored, CASE WHEN length(an.case_id) % 2 = 0 THEN 'INSUFFICIENT' ELSE verdict END AS verdict FROM given LEFT JOIN an USING (case_id)""",
     "io12_stored": f"{EVENTS_SQL} SELECT case_id, count(*) + count(*) FILTER (seq % 5 = 0) AS in_file, count(*) FILTER (seq % 2 = 1) AS inserted FROM ev GROUP BY case_id",
 }

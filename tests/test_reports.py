@@ -10,7 +10,7 @@ from logsift.sources import store
 
 from .conftest import SMALL
 
-SHOWN = ["rp6_reports", "rp7_combined", "d1_incidents", "d3_quality_figures", "n15_case_list", "n16_case_details", "l2_evidence", "s1_kept_events", "s3_jittered", "s4_order_kept", "s5_chain_order", "s10_surviving", "s12_removal_scores", "d1_severity_counts", "d6_run_summary", "io9_appended", "s12_run_scores", "s11_accuracy_by_run", "s9_degraded_results", "io7_by_case", "io10_replaced", "io12_stored"]
+SHOWN = ["rp6_reports", "rp7_combined", "d1_incidents", "d3_quality_figures", "n15_case_list", "n16_case_details", "l2_evidence", "s1_kept_events", "s3_jittered", "s4_order_kept", "s5_chain_order", "s10_surviving", "s12_removal_scores", "d1_severity_counts", "d6_run_summary", "io9_appended", "s12_run_scores", "s11_accuracy_by_run", "s9_degraded_results", "io7_by_case", "io10_replaced", "io12_stored", "io12_all_artefacts"]
 
 
 @pytest.mark.parametrize("name", SHOWN)
@@ -48,7 +48,7 @@ def test_store(spark, tmp_path):
     keyed = rows.groupBy("case_id").agg(F.max("v").alias("v"))
     assert store.latest(spark, f"{tmp_path}/k", keyed).count() == 0
     store.replace_keyed(keyed, f"{tmp_path}/k")
-    (tmp_path / "k" / "version=7").mkdir()  # a write that failed
+    (tmp_path / "k" / "data" / "0").mkdir()  # a write that failed
     new = store.replace_keyed(keyed.where("case_id = 'c2'").withColumn("v", F.lit(9).cast("long")), f"{tmp_path}/k")
     assert [tuple(r) for r in store.of_case(new).collect()] == [("c1", 2), ("c2", 9)]
     assert store.read_case(spark, str(tmp_path / "t"), "event_id string, v long", "c9").count() == 0
@@ -71,3 +71,45 @@ def test_counts_of_nothing(spark):
 
     none = spark.createDataFrame([], "case_id string, severity string, alert_count long")
     assert tuple(reports.severity_counts(none).collect()[0]) == (0, 0, 0, 0)
+
+
+def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    path = f"{tmp_path}/k"
+    rows = spark.createDataFrame([(f"c{i}", i) for i in range(200)] + [(None, -1)], "case_id string, v long")
+    store.replace_keyed(rows, path, buckets=16)
+    before = store._manifest(spark, path)[1]["folders"]
+    new = spark.createDataFrame([("c7", 700), ("c7", 701), (None, -2)], rows.schema)
+    got = store.replace_keyed(new, path, buckets=4)  # the table has its number of buckets
+    number, after = store._manifest(spark, path)
+    assert number == 2 and after["buckets"] == 16 and 1 <= sum(before[k] != after["folders"][k] for k in before) <= 2
+    want = [(r.case_id, r.v) for r in rows.collect() if r.case_id not in ("c7", None)] + [("c7", 700), ("c7", 701), (None, -2)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    store.vacuum(spark, path)
+    assert sorted(map(repr, map(tuple, store.latest(spark, path, rows).collect()))) == sorted(map(repr, want)) and len(list((tmp_path / "k" / "manifest").glob("*.json"))) == 1
+
+
+def test_two_writers_of_a_keyed_table_lose_nothing(spark, tmp_path, monkeypatch):
+    path, commit, row = f"{tmp_path}/k", store._commit, lambda c, v: spark.createDataFrame([(c, v)], "case_id string, v long")
+    store.replace_keyed(row("a", 1), path, buckets=2)
+
+    def late(*args):
+        monkeypatch.setattr(store, "_commit", commit)  # another writer comes between
+        store.replace_keyed(row("b", 2), path)
+        store.replace_keyed(row("a", 3), path)
+        return commit(*args)
+
+    monkeypatch.setattr(store, "_commit", late)
+    got = store.replace_keyed(row("c", 4), path)
+    assert {tuple(r) for r in got.collect()} == {("a", 3), ("b", 2), ("c", 4)} and store._manifest(spark, path)[0] == 4
+
+
+def test_a_large_case_is_several_files(spark, tmp_path):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("s"), F.col("id") % 70)).otherwise("hot").alias("case_id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        store.write_by_case(rows, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "t").glob("case_id=*")}
+    assert files["case_id=hot"] > 2 and min(files.values()) == 1  # small cases dealt to the hot one's partition are cut with it
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 40_000
