@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import DAY, HOUR, MINUTE, followed_by, id_list, previous, running, same, trailing
+from .windows import DAY, HOUR, MINUTE, chunked, followed_by, id_list, previous, running, same, trailing
 
 KEY = ["case_id", "user"]
 
@@ -51,9 +51,12 @@ def new_access_after_privilege(events: DataFrame, baselines: DataFrame, width: i
     return finding(pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id").agg(ids.alias("event_ids")), "new_resource_access_after_privilege_change", "warning")
 
 
+def _after_hours(events: DataFrame, baselines: DataFrame) -> DataFrame:
+    return events.join(baselines.select(F.col("user").alias("_user"), "start_minute", "end_minute"), F.col("user") == F.col("_user")).where("not local_minute between start_minute and end_minute")
+
+
 def after_hours(events: DataFrame, baselines: DataFrame) -> DataFrame:
-    rows = events.join(baselines.select(F.col("user").alias("_user"), "start_minute", "end_minute"), F.col("user") == F.col("_user")).where("not local_minute between start_minute and end_minute")
-    return finding(rows.groupBy(*KEY).agg(_in_order("t", "seq").alias("event_ids")), "after_hours_activity", "warning")
+    return finding(_after_hours(events, baselines).groupBy(*KEY).agg(_in_order("t", "seq").alias("event_ids")), "after_hours_activity", "warning")
 
 
 def unusual_volume(events: DataFrame, baselines: DataFrame, width: int = 30 * MINUTE, threshold: int = 5) -> DataFrame:
@@ -65,12 +68,30 @@ def cross_source(events: DataFrame, baselines: DataFrame) -> DataFrame:
     return finding(rows.where("k >= 2"), "cross_source_activity", "info")
 
 
-def session_gap(events: DataFrame, baselines: DataFrame) -> DataFrame:
-    """File and admin events of a session in which the user has no successful login, whenever it was."""
+def _without_login(events: DataFrame) -> DataFrame:
     logins = events.where("source_type = 'auth' and action = 'login' and status = 'success' and session_id <> ''").select(*KEY, "session_id").distinct().alias("b")
     rows = events.where("source_type in ('file_access', 'admin') and session_id <> ''").alias("a")
-    rows = rows.join(logins, same("a", "b", [*KEY, "session_id"]), "left_anti")
-    return finding(rows.groupBy(*KEY).agg(_in_order("t", "seq").alias("event_ids")), "session_continuity_gap", "warning")
+    return rows.join(logins, same("a", "b", [*KEY, "session_id"]), "left_anti")
+
+
+def session_gap(events: DataFrame, baselines: DataFrame) -> DataFrame:
+    """File and admin events of a session in which the user has no successful login, whenever it was."""
+    return finding(_without_login(events).groupBy(*KEY).agg(_in_order("t", "seq").alias("event_ids")), "session_continuity_gap", "warning")
+
+
+def activity_chunks(events: DataFrame, baselines: DataFrame, size: int = 1000) -> DataFrame:
+    """The findings of after_hours, cross_source and session_gap with their events in rows of size each (chunk, first, n, event_ids):
+    a finding lists all a user did, so its row would grow with the user."""
+    hour, order = F.floor(F.col("t") / HOUR), [F.col("t"), F.col("seq")]
+    several = events.where("user <> '' and source_type <> ''")
+    wide = several.groupBy(*KEY).agg(F.countDistinct("source_type").alias("_k")).where("_k >= 2")
+    parts = [
+        ("after_hours_activity", "warning", _after_hours(events, baselines), hour, order),
+        ("cross_source_activity", "info", several.join(wide, KEY), F.struct("source_type", hour.alias("hour")), [F.col("source_type"), *order]),
+        ("session_continuity_gap", "warning", _without_login(events), hour, order),
+    ]
+    made = [chunked(rows.select(*KEY, "t", "seq", "event_id", "source_type"), KEY, slot, by, F.col("event_id"), "event_ids", size).withColumn("type", F.lit(kind)).withColumn("severity", F.lit(severity)) for kind, severity, rows, slot, by in parts]
+    return reduce(DataFrame.unionByName, made).select("case_id", "type", "user", "severity", "chunk", "first", "n", "event_ids")
 
 
 PATTERNS = [credential_stuffing, unusual_login_ip, privilege_then_download, new_access_after_privilege, after_hours, unusual_volume, cross_source, session_gap]

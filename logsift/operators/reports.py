@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .claims import chain_of
 from .rules import ORDER, RULES
+from .windows import HOUR, chunked
 
 
 def by_source(events: DataFrame) -> DataFrame:
@@ -188,10 +189,34 @@ def select_case(rows: DataFrame, case_id: str) -> DataFrame:
     return rows.where(F.col("case_id") == case_id)
 
 
+#: What evidence tells of an event and an alert.
+TOLD = ("event_id", "timestamp", "source_type", "user", "action", "resource", "source_ip", "status", "session_id", "severity")
+TOLD_ALERT = ("timestamp", "rule_id", "rule_name", "severity", "user", "event_ids", "description")
+
+
+def evidence_parts(events: DataFrame, baselines: DataFrame, alerts: DataFrame, size: int = 1000) -> DataFrame:
+    """The evidence of all cases in rows of size JSON objects, joined by commas: case_id, part (baselines, events, alerts), chunk, first, n, text."""
+    users = events.select("case_id", "user").distinct().join(baselines, "user").select("case_id", "user", *(c for c in baselines.columns if c != "user"))
+    json = lambda cols: F.to_json(F.struct(*cols))
+    parts = [
+        ("baselines", users, F.lit(0), [F.col("user")], json(users.columns[1:])),
+        ("events", events, F.floor(F.col("t") / HOUR), [F.col("t"), F.col("seq")], json(TOLD)),
+        ("alerts", alerts, F.substring("timestamp", 1, 13), [F.col(c) for c in TOLD_ALERT], json(TOLD_ALERT)),
+    ]
+    return reduce(DataFrame.unionByName, (chunked(rows, ["case_id"], slot, order, item, "text", size).withColumn("part", F.lit(part)) for part, rows, slot, order, item in parts))
+
+
+def evidence_of(parts: DataFrame, case_id: str, template: str = "Baselines:\n%s\n\nEvents in order of time:\n%s\n\nAlerts:\n%s\n") -> DataFrame:
+    """case_id and document of one case, put together from its parts; no row if it has none."""
+    mine = parts.where(F.col("case_id") == case_id)
+    whole = lambda part: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("chunk", "text")))), lambda x: x["text"]), ","), F.lit("]"))
+    return mine.groupBy("case_id").agg(F.format_string(template, whole("baselines"), whole("events"), whole("alerts")).alias("document"))
+
+
 def evidence(events: DataFrame, baselines: DataFrame, alerts: DataFrame, template: str = "Baselines:\n%s\n\nEvents in order of time:\n%s\n\nAlerts:\n%s\n") -> DataFrame:
     """case_id and document: the baselines of a case's users, its events and its alerts as JSON, put into the template."""
-    told = events.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", F.struct("event_id", "timestamp", "source_type", "user", "action", "resource", "source_ip", "status", "session_id", "severity").alias("e")))), lambda x: x["e"]).alias("_e"))
-    found = alerts.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "rule_id", "rule_name", "severity", "user", "event_ids", "description"))).alias("_a"))
+    told = events.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", F.struct(*TOLD).alias("e")))), lambda x: x["e"]).alias("_e"))
+    found = alerts.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*TOLD_ALERT))).alias("_a"))
     users = events.select("case_id", "user").distinct().join(baselines, "user").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("user", *(c for c in baselines.columns if c != "user")))).alias("_b"))
     text = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
     return told.join(found, "case_id", "left").join(users, "case_id", "left").select("case_id", F.format_string(template, text("_b"), text("_e"), text("_a")).alias("document"))

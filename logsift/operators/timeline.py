@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import HOUR, id_list, placed
+from .windows import HOUR, chunked, id_list, placed
 
 
 def timeline(events: DataFrame) -> DataFrame:
@@ -19,6 +19,12 @@ def grouped(events: DataFrame, column: str, unknown: str) -> DataFrame:
     return events.groupBy("case_id", name.alias(column)).agg(F.count(F.lit(1)).alias("n"), id_list(F.collect_list(F.struct("t", "seq", "event_id"))).alias("event_ids"))
 
 
+def grouped_chunks(events: DataFrame, column: str, unknown: str, size: int = 1000) -> DataFrame:
+    """grouped() in rows of size events each, so that a user or session with any share of the events is many rows and tasks."""
+    rows = events.withColumn(column, F.coalesce(F.expr(f"nullif({column}, '')"), F.lit(unknown)))
+    return chunked(rows, ["case_id", column], F.floor(F.col("t") / HOUR), [F.col("t"), F.col("seq")], F.col("event_id"), "event_ids", size)
+
+
 def summary(events: DataFrame) -> DataFrame:
     """total_events, first and last timestamp, users and sessions of each case."""
     order = F.struct("t", "seq")

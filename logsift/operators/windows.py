@@ -156,3 +156,14 @@ def previous(rows: DataFrame, keys: list[str], slot: Column, order: list[str], c
     local = rows.withColumn("_k", F.lag(it).over(Window.partitionBy(*keys, "_slot").orderBy(*order)))
     joined = local.alias("a").join(carry.alias("b"), same("a", "b", [*keys, "_slot"]))
     return joined.select("a.*", F.coalesce("a._k", "b._c")["v"].alias(name)).drop("_k", "_slot")
+
+
+def chunked(rows: DataFrame, keys: list[str], slot: Column, order: list[Column], item: Column, name: str, size: int, by: str = ",") -> DataFrame:
+    """The items of each key in order, joined, in rows of size items: keys, chunk (from 0), first (place from 1), n and name.
+
+    No row grows with its key; whoever wants one key's list whole joins its chunks. Null items count as empty ones.
+    """
+    at = placed(rows.withColumn("_i", F.coalesce(item, F.lit(""))), keys, slot, order)
+    cut = at.withColumn("chunk", F.floor((F.col("position") - 1) / size))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("_i").alias("i")))), lambda x: x["i"]), by)
+    return cut.groupBy(*keys, "chunk").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n"), listed.alias(name))

@@ -185,6 +185,24 @@ SQL |= {
     "c10_totals": f"SELECT count(*) AS findings, count(DISTINCT case_id) AS cases FROM ({FINDINGS_SQL})",
 }
 
+
+def _chunks_sql(table: str, keys: str, order: str, size: int = 20) -> str:
+    """Lists cut to rows of size events."""
+    return f"""SELECT {keys}, (position - 1) // {size} AS chunk, min(position) AS first, count(*) AS n, string_agg(event_id, ',' ORDER BY position) AS event_ids
+FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS position FROM {table}) GROUP BY ALL"""
+
+
+SQL |= {
+    "tl2_user_chunks": f"{EVENTS_SQL} {_chunks_sql("(SELECT case_id, coalesce(nullif(user, ''), 'unknown_user') AS user, event_id, t, seq FROM ev)", 'case_id, user', 't, seq')}",
+    "tl3_session_chunks": f"{EVENTS_SQL} {_chunks_sql("(SELECT case_id, coalesce(nullif(session_id, ''), 'no_session') AS session_id, event_id, t, seq FROM ev)", 'case_id, session_id', 't, seq')}",
+    "c5_activity_chunks": f"""{EVENTS_SQL}, listed AS (
+SELECT 'after_hours_activity' AS type, 'warning' AS severity, case_id, user, '' AS place, t, seq, event_id FROM ev WHERE local_minute NOT BETWEEN 540 AND 1020
+UNION ALL SELECT 'cross_source_activity', 'info', case_id, user, source_type, t, seq, event_id FROM ev WHERE (case_id, user) IN (SELECT (case_id, user) FROM ev GROUP BY case_id, user HAVING count(DISTINCT source_type) >= 2)
+UNION ALL SELECT 'session_continuity_gap', 'warning', case_id, user, '', t, seq, event_id FROM ev a WHERE source_type IN ('file_access', 'admin') AND session_id <> '' AND NOT EXISTS
+(SELECT 1 FROM ev b WHERE b.case_id = a.case_id AND b.user = a.user AND b.session_id = a.session_id AND b.source_type = 'auth' AND b.action = 'login' AND b.status = 'success'))
+{_chunks_sql('listed', 'case_id, type, user, severity', 'place, t, seq')}""",
+}
+
 _EV = lambda f: lambda spark, d: f(events(spark, d))
 _EB = lambda f, **k: lambda spark, d: f(events(spark, d), baselines(spark, d), **k)
 
@@ -206,6 +224,9 @@ QUERIES = {f"r{k[1:]}": _rule(k) for k in rules.REGISTRY} | {f"r{k}_default": _d
     "c10_totals": lambda spark, d: correlate.totals(findings(spark, d)),
     "tl1_timeline": _EV(lambda e: timeline.timeline(e).select("case_id", "event_id", "position")),
     "tl2_by_user": _EV(lambda e: timeline.grouped(e, "user", "unknown_user")), "tl3_by_session": _EV(lambda e: timeline.grouped(e, "session_id", "no_session")),
+    "tl2_user_chunks": _EV(lambda e: timeline.grouped_chunks(e, "user", "unknown_user", 20)),
+    "tl3_session_chunks": _EV(lambda e: timeline.grouped_chunks(e, "session_id", "no_session", 20)),
+    "c5_activity_chunks": _EB(correlate.activity_chunks, size=20),
     "tl4_groups": _EV(timeline.groups), "tl4_summary": _EV(timeline.summary), "x1_session_hijack": _EV(correlate.session_hijack), "x2_low_and_slow": _EB(correlate.low_and_slow, days=2),
     "x3_failed_only": _EV(correlate.failed_only), "x4_login_after_access": _EV(correlate.login_after_access),
     "d2_by_source": _EV(reports.by_source), "s1_removal": _EV(lambda e: runs.unfolded(runs.with_runs(e), runs.grid()).groupBy("case_id", "level", "trial").agg(F.count(F.lit(1)).alias("events"))),

@@ -79,7 +79,7 @@ def stored_twice(spark: SparkSession, d: str) -> DataFrame:
 def all_artefacts(spark: SparkSession, d: str) -> DataFrame:
     """All artefacts loaded, then loaded again with answers and evaluations of some cases only: what the second load gave and stored."""
     folder, ev, an = shared_folder(spark), events(spark, d), answers(spark, d).select("case_id", "verdict")
-    found, scores = alerts(spark, d).select("case_id", "rule_id", "severity", "t", "event_ids"), store.written(evaluations(spark, d).select("case_id", "recall_pct"))
+    found, scores = store.written(alerts(spark, d).select("case_id", "rule_id", "severity", "t", "event_ids")), store.written(evaluations(spark, d).select("case_id", "recall_pct"))
     store.load_all(f"{folder}/t", f"{folder}/s1", ev.where("seq % 3 = 0"), found.where("severity = 'critical'"), an, scores)
     counts = store.load_all(f"{folder}/t", f"{folder}/s2", ev, found, an.where("length(case_id) % 2 = 0").withColumn("verdict", F.lit("INSUFFICIENT")), scores.where("length(case_id) % 2 = 0"))
     held = store.latest(spark, f"{folder}/t/answers", an).groupBy("case_id").agg(F.min("verdict").alias("verdict"))
@@ -116,6 +116,10 @@ def details(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("case_id", "label", F.size("events").cast("long").alias("n_events"), F.get("events", F.lit(0))["event_id"].alias("first_event"), F.coalesce(F.size("alerts"), F.lit(0)).cast("long").alias("n_alerts"), F.col("answer.verdict").alias("verdict"), F.col("evaluation.recall_pct").alias("recall_pct"))
 
 
+def parts_of_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return reports.evidence_parts(events(spark, d), baselines(spark, d), alerts(spark, d), 50)
+
+
 def documents_of_evidence(spark: SparkSession, d: str) -> DataFrame:
     rows = reports.evidence(events(spark, d), baselines(spark, d), alerts(spark, d))
     count = lambda p: F.regexp_count("document", F.lit(p)).cast("long")
@@ -141,6 +145,7 @@ QUERIES = {
     "n16_case_details": details,
     "n17_one_case": lambda s, d: reports.select_case(results(s, d), "case_3"),
     "l2_evidence": documents_of_evidence,
+    "l2_evidence_parts": parts_of_evidence,
     "s1_kept_events": lambda s, d: runs.unfolded(runs.with_runs(events(s, d)), runs.grid()).select("case_id", "level", "trial", "event_id"),
     "s3_jittered": lambda s, d: degrade.jitter(events(s, d), 30 * 60_000_000).select("case_id", "event_id", "t"),
     "s4_order_kept": jitter_orders,
@@ -249,6 +254,15 @@ SQL = {
     "n15_case_list": f"{BASE} SELECT case_id, 'Case ' || number AS name, CASE WHEN benign THEN 'BENIGN' ELSE 'ATTACK' END AS label, CASE WHEN NOT benign THEN 'Case ' || number || ' of the driver' END AS description FROM an",
     "n16_case_details": f"{SCORES} SELECT x10.case_id, label, n AS n_events, first AS first_event, alert_count AS n_alerts, llm_verdict AS verdict, recall_pct FROM x10 JOIN cs USING (case_id)",
     "n17_one_case": f"{SCORES} SELECT case_id, alert_count, rules_triggered, warnings, criticals, rule_verdict AS verdict FROM x10 WHERE case_id = 'case_3'",
+    "l2_evidence_parts": f"""{EVENTS_SQL}, al AS ({ALERTS_SQL}), told AS (
+SELECT case_id, 'baselines' AS part, row_number() OVER (PARTITION BY case_id ORDER BY user) AS k,
+  '{{"user":"' || user || '","start_minute":540,"end_minute":1020,"normal_ips":["' || ip || '"],"normal_directories":["' || directory || '"]}}' AS item FROM (SELECT DISTINCT case_id, user FROM ev) JOIN bl USING (user)
+UNION ALL SELECT case_id, 'events', row_number() OVER (PARTITION BY case_id ORDER BY t, seq), '{{' || concat_ws(',', '"event_id":"' || event_id || '"', '"timestamp":"' || timestamp || '"', '"source_type":"' || source_type || '"',
+  '"user":"' || user || '"', '"action":"' || action || '"', '"resource":"' || resource || '"', '"source_ip":"' || source_ip || '"', '"status":"' || status || '"', '"session_id":"' || session_id || '"', '"severity":"' || severity || '"') || '}}' FROM ev
+UNION ALL SELECT case_id, 'alerts', row_number() OVER (PARTITION BY case_id ORDER BY t, rule_id, rule_name, severity, user, event_ids, description),
+  '{{' || concat_ws(',', '"timestamp":"' || strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00"', '"rule_id":"' || rule_id || '"', '"rule_name":"' || rule_name || '"', '"severity":"' || severity || '"',
+  '"user":"' || user || '"', '"event_ids":"' || event_ids || '"', '"description":"' || description || '"') || '}}' FROM al)
+SELECT case_id, part, (k - 1) // 50 AS chunk, min(k) AS first, count(*) AS n, string_agg(item, ',' ORDER BY k) AS text FROM told GROUP BY case_id, part, (k - 1) // 50""",
     "l2_evidence": f"{SCORES} SELECT case_id, n AS events, coalesce(k, 0) AS alerts, users AS baselines FROM cs LEFT JOIN ac USING (case_id) JOIN (SELECT case_id, count(DISTINCT user) AS users FROM ev GROUP BY case_id) USING (case_id)",
     "s1_kept_events": f"{EVENTS_SQL}, {_KEPT} SELECT case_id, level, trial, event_id FROM kept",
     "s3_jittered": f"{EVENTS_SQL} SELECT case_id, event_id, {_MOVED.format(w=1800000000)} AS t FROM ev",

@@ -10,7 +10,7 @@ from logsift.sources import store
 
 from .conftest import SMALL
 
-SHOWN = ["rp6_reports", "rp7_combined", "d1_incidents", "d3_quality_figures", "n15_case_list", "n16_case_details", "l2_evidence", "s1_kept_events", "s3_jittered", "s4_order_kept", "s5_chain_order", "s10_surviving", "s12_removal_scores", "d1_severity_counts", "d6_run_summary", "io9_appended", "s12_run_scores", "s11_accuracy_by_run", "s9_degraded_results", "io7_by_case", "io10_replaced", "io12_stored", "io12_all_artefacts"]
+SHOWN = ["rp6_reports", "rp7_combined", "d1_incidents", "d3_quality_figures", "n15_case_list", "n16_case_details", "l2_evidence", "l2_evidence_parts", "s1_kept_events", "s3_jittered", "s4_order_kept", "s5_chain_order", "s10_surviving", "s12_removal_scores", "d1_severity_counts", "d6_run_summary", "io9_appended", "s12_run_scores", "s11_accuracy_by_run", "s9_degraded_results", "io7_by_case", "io10_replaced", "io12_stored", "io12_all_artefacts"]
 
 
 @pytest.mark.parametrize("name", SHOWN)
@@ -113,3 +113,16 @@ def test_a_large_case_is_several_files(spark, tmp_path):
     files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "t").glob("case_id=*")}
     assert files["case_id=hot"] > 2 and min(files.values()) == 1  # small cases dealt to the hot one's partition are cut with it
     assert spark.read.parquet(f"{tmp_path}/t").count() == 40_000
+
+
+def test_evidence_put_together_equals_the_whole(spark):
+    from logsift.operators import reports
+    from logsift.plans import queries
+    from logsift.sources.driver import baselines, events
+
+    ev, bl = events(spark, SMALL), baselines(spark, SMALL)
+    found = queries.alerts(spark, SMALL).where("rule_id in ('R003', 'R006')")
+    parts, whole = store.written(reports.evidence_parts(ev, bl, found, 7)), reports.evidence(ev, bl, found)
+    for row in whole.limit(3).collect():
+        assert [tuple(r) for r in reports.evidence_of(parts, row.case_id).collect()] == [tuple(row)]
+    assert reports.evidence_of(parts, "none").count() == 0 and parts.agg(F.max("n")).first()[0] == 7
