@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bounds_of, hot_join, keyed, materialize, partitions, salted_join, small_batches, text_bytes, window_hashes, word_hashes, word_spans
+from .common import CHUNK_BYTES, bounds_of, discard, hot_join, keyed, materialize, partitions, salted_join, small_batches, text_bytes, window_hashes, word_hashes, word_spans
 from .jaccard import GROUP_ROWS, components
 
 PERMUTATIONS = 128
@@ -86,18 +86,77 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("_rid", "text").mapInArrow(run, "_rid long, signature binary")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (left, right) of rows with different labels that share a key; members: key, _rid, label.
+def least_equal(threshold: float) -> int:
+    """Equal entries below which signatures are far: six deviations under the mean of sets as alike as the threshold.
 
-    Groups are cut to blocks of GROUP_ROWS, and two blocks at a time meet.
+    At 0.8 these are 75 of 128, which a pair at the threshold misses once in a hundred million.
     """
-    groups = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
-    cut = salted_join(members, groups.select("key", F.ceil(F.col("k") / GROUP_ROWS).cast("int").alias("nb")), "key")
-    cut = materialize(cut.withColumn("side", F.pmod(F.xxhash64("_rid"), F.col("nb")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    a = cut.select("key", F.col("side").alias("i"), other.alias("j"), F.col("_rid").alias("left"), F.col("label").alias("x"))
-    b = cut.select("key", F.col("side").alias("j"), other.alias("i"), F.col("_rid").alias("right"), F.col("label").alias("y"))
-    return a.join(b, ["key", "i", "j"]).where("left < right and x <> y").select("left", "right").distinct()
+    return max(0, int(PERMUTATIONS * threshold - 6 * (PERMUTATIONS * threshold * (1 - threshold)) ** 0.5))
+
+
+def _close(least: int):
+    """Pairs with different labels and least equal entries in each cell (key, lo, hi); rows come sorted by those."""
+
+    def give(rows: list[tuple]) -> pa.RecordBatch:
+        rid, label, side = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        sign = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(len(rows), PERMUTATIONS)
+        one = rows[0][1] == rows[0][2]  # a block with itself, otherwise one block with another
+        others, left, right = np.flatnonzero(side == rows[0][2]), [], []
+        for i in np.flatnonzero(side == rows[0][1]):
+            near = others[others > i] if one else others
+            near = near[label[near] != label[i]]
+            near = near[np.count_nonzero(sign[near] == sign[i], axis=1) >= least]
+            left.append(np.minimum(rid[i], rid[near]))
+            right.append(np.maximum(rid[i], rid[near]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (left, right)], names=["left", "right"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "_rid", "label", "side", "signature")), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield give(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield give(held)
+
+    return run
+
+
+def _across(members: DataFrame, prints: DataFrame, least: int) -> DataFrame:
+    """Pairs (left, right) of rows with different labels that share a key and whose signatures have least equal entries.
+
+    members: key, _rid, label, each once; prints: _rid, signature. Groups with the same members count once. They are cut to blocks
+    of GROUP_ROWS; two blocks at a time meet in a task, which compares signatures alone.
+    """
+    same = [F.bit_xor(F.xxhash64("_rid", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    groups = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k"), *same).where("x <> y")
+    groups = groups.groupBy("k", "x", "y", "h1", "h2").agg(F.min("key").alias("key"))
+    rest = salted_join(members, groups.select("key", F.ceil(F.col("k") / GROUP_ROWS).cast("int").alias("nb")), "key")
+    cells = rest.withColumn("side", F.pmod(F.xxhash64("_rid"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    order = ["key", "lo", "hi"]
+    cells = materialize(cells.select("key", "_rid", "label", "side", F.least("side", "j").alias("lo"), F.greatest("side", "j").alias("hi")))
+    rows = cells.join(prints.hint("shuffle_hash"), "_rid").repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order)
+    found = materialize(rows.select(*order, "_rid", "label", "side", "signature").mapInArrow(_close(least), "left long, right long"))
+    near = materialize(found.distinct())
+    discard(cells, found)
+    return near
+
+
+def _likely(pairs: DataFrame, prints: DataFrame, least: int) -> DataFrame:
+    """The pairs (left, right) whose signatures have least equal entries."""
+    pairs = materialize(pairs)
+    both = hot_join(pairs, prints.select(F.col("_rid").alias("left"), F.col("signature").alias("a")), "left").join(prints.select(F.col("_rid").alias("right"), F.col("signature").alias("b")), "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for c in ("a", "b"))
+            yield batch.select(["left", "right"]).filter(pa.array(np.count_nonzero(a == b, axis=1) >= least))
+
+    near = materialize(both.select("left", "right", "a", "b").mapInArrow(run, "left long, right long"))
+    discard(pairs)
+    return near
 
 
 def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS) -> DataFrame:
@@ -105,24 +164,25 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, bands: int = BAND
     with a similar one is in one component with it.
 
     Signatures are cut to bands; documents with an equal band are compared to the bucket's first one, then those of a
-    bucket that no links join yet to each other. A pair is kept if the Jaccard similarity of the whole shingle sets is at
-    least the threshold. Texts without words have no link.
+    bucket that no links join yet to each other. Texts are joined only for pairs whose signatures aren't far (least_equal); a pair is
+    kept if the Jaccard similarity of the whole shingle sets is at least the threshold. Texts without words have no link.
     """
-    rows = PERMUTATIONS // bands
+    rows, least = PERMUTATIONS // bands, least_equal(threshold)
     docs = docs.select("_rid", "text")
-    prints = fingerprints(docs).where(F.col("signature") != F.lit(b"\xff" * (4 * PERMUTATIONS)))
+    prints = materialize(fingerprints(docs).where(F.col("signature") != F.lit(b"\xff" * (4 * PERMUTATIONS))))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * rows) + 1, F.lit(4 * rows))))
     keys = materialize(prints.select("_rid", F.explode(band).alias("key")))
     first = keys.groupBy("key").agg(F.min("_rid").alias("left"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = _verified(salted_join(keys, first, "key").where("_rid > left").select("left", F.col("_rid").alias("right")).distinct(), docs, threshold)
+    links = _verified(_likely(salted_join(keys, first, "key").where("_rid > left").select("left", F.col("_rid").alias("right")).distinct(), prints, least), docs, threshold)
     labels = materialize(components(links.select(F.col("left").alias("a"), F.col("right").alias("b"))))
-    members = keys.join(labels, "_rid", "left").select("key", "_rid", F.coalesce("label", "_rid").alias("label"))
-    return links.unionByName(_verified(_across(materialize(members)), docs, threshold))
+    members = materialize(keys.join(labels, "_rid", "left").select("key", "_rid", F.coalesce("label", "_rid").alias("label")))
+    more = _verified(_across(members, prints, least), docs, threshold)
+    discard(prints, keys, labels, members)
+    return links.unionByName(more)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (left, right) whose whole shingle sets are alike, and how much."""
-    pairs = materialize(pairs)
+    """The pairs (left, right; a written table, deleted then) whose whole shingle sets are alike, and how much."""
     left = hot_join(pairs, docs.select(F.col("_rid").alias("left"), F.col("text").alias("a")), "left").join(docs.select(F.col("_rid").alias("right"), F.col("text").alias("b")), "right")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +195,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                 sims.append(both / max(1, len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column("left"), batch.column("right"), pa.array(sims, pa.float64())], names=["left", "right", "jaccard"])
 
-    return materialize(left.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, jaccard double").where(F.col("jaccard") >= threshold))
+    alike = materialize(left.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, jaccard double").where(F.col("jaccard") >= threshold))
+    discard(pairs)
+    return alike
 
 
 def with_next(rows: DataFrame) -> DataFrame:
@@ -202,7 +264,7 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """doc_id, component_id (the smallest doc_id that links reach) and n_links of every row of docs (doc_id, text).
 
     Of equal texts the first stands for all, which link to it alone; the bands are joined between such first ones.
-    Two documents that share no band aren't linked: at a similarity of 0.8 that is one pair in about two million. Null, empty
+    Two documents that share no band, or whose signatures are far, aren't linked: at a similarity of 0.8 that is one pair in about two million. Null, empty
     and wordless texts have no link. Rows that repeat a doc_id are documents of their own; null ids come last in order.
     """
     rows = keyed(docs)

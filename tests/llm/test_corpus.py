@@ -308,6 +308,22 @@ def test_near_copies_recall(spark, edge):
     assert fingerprint.near_copies(edge.limit(0)).count() == 0
 
 
+def test_blocks_of_signatures(spark, monkeypatch):
+    """Groups of several blocks, one with the same members as another, against all pairs; far signatures don't meet."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, (3, fingerprint.PERMUTATIONS), dtype=np.uint32)
+    sign = {i: np.where(rng.random(fingerprint.PERMUTATIONS) < 0.2, rng.integers(0, 1 << 32, fingerprint.PERMUTATIONS, dtype=np.uint32), base[i % 3]) for i in range(30)}
+    label = {i: i // 2 for i in sign}
+    members = [(1, i, label[i]) for i in sign] + [(2, i, label[i]) for i in sign] + [(3, i, label[i]) for i in (0, 1)] + [(4, i, label[i]) for i in (0, 3, 6)]
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 7)
+    prints = spark.createDataFrame([(i, x.tobytes()) for i, x in sign.items()], "_rid long, signature binary")
+    got = fingerprint._across(spark.createDataFrame(members, "key long, _rid long, label long"), prints, 75)
+    want = {(a, b) for a, b in itertools.combinations(sign, 2) if label[a] != label[b] and (sign[a] == sign[b]).sum() >= 75}
+    assert {(0, 3), (1, 4)} <= want and not any((a - b) % 3 for a, b in want)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert fingerprint.least_equal(0.8) == 75 and fingerprint.least_equal(1.0) == 128
+
+
 def test_large_branches(spark, docs, edge, monkeypatch):
     want = sorted(map(tuple, jaccard.jaccard_classes(docs).collect()))
     for k, v in {"BROADCAST_KEYS": -1, "GROUP_ROWS": 3}.items():
