@@ -6,6 +6,7 @@ threshold (Windowed). All rules of a kind run together, over one read and one ex
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import MINUTE, followed_by, id_list, placed, sliding
+from .windows import MINUTE, followed_by, id_list, placed, same, sliding
 
 ALERT = ["case_id", "rule_id", "rule_name", "severity", "user", "t", "timestamp", "event_ids", "description"]
 #: The same with the first and last event and their number in the place of all ids, so that no row grows with a window.
@@ -201,6 +202,42 @@ def run_rules(events: DataFrame, baselines: DataFrame | None, params: dict[str,
     return reduce(DataFrame.unionByName, parts)
 
 
+def alert_events(named: DataFrame, events: DataFrame, params: dict[str, dict] | None = None, registry: dict[str, Callable] = REGISTRY) -> DataFrame:
+    """case_id, rule_id, first_event, t and event_id of each event of the named alerts (INTERVAL columns): what ids of run_rules lists.
+
+    params and registry are those of the run that gave the alerts; event_id is unique within a case. An alert's first and last event
+    are looked up by id, which gives its key and its ends; the events between meet it by key and slot of the rule's width, of which
+    an alert has two at most. Rows are as many as the named alerts have events. Those of a rule over single events have one.
+    named is read twice and should be written.
+    """
+    args = params or {}
+    made = {k: f(**args.get(k, {})) for k, f in registry.items() if k not in JOINED}
+    windowed = [r for r in made.values() if isinstance(r, Windowed)]
+    looks = [(r.rule, r.when, r.by.cast("string"), r.width, F.lit(False)) for r in windowed]
+    for k in JOINED:
+        if k in registry:  # a change and the downloads after it
+            at = {n: p.default for n, p in inspect.signature(registry[k]).parameters.items()} | args.get(k, {})
+            is_later = F.col("action") == at["action"]
+            looks.append((k, (F.col("action") == at["change"]) | is_later, F.col("user"), at["width"], is_later))
+    spec = [F.when(when, F.struct(F.lit(k).alias("rule_id"), by.alias("by"), F.lit(width).cast("long").alias("width"), later.alias("later"))) for k, when, by, width, later in looks]
+    if not spec:
+        spec = [F.lit(None).cast("struct<rule_id: string, by: string, width: bigint, later: boolean>")]
+    rows = events.withColumn("_a", F.explode(F.array_compact(F.array(*spec)))).select("case_id", "event_id", F.struct("t", "seq").alias("at"), "_a.*")
+    ends = named.select("case_id", "rule_id", "first_event", "last_event")
+    start = rows.select("case_id", "rule_id", F.col("event_id").alias("first_event"), "by", "width", F.col("at").alias("start"))
+    stop = rows.select("case_id", "rule_id", F.col("event_id").alias("last_event"), F.col("at").alias("stop"))
+    ends = ends.where(F.col("rule_id").isin([k for k, *_ in looks])).join(start, ["case_id", "rule_id", "first_event"]).join(stop, ["case_id", "rule_id", "last_event"])
+    slot = lambda c: F.floor(F.col(c)["t"] / F.col("width"))
+    a = ends.withColumn("slot", F.explode(F.sequence(slot("start"), slot("stop")))).alias("a")
+    b = rows.withColumn("slot", slot("at")).alias("b")
+    paired = F.col("a.rule_id").isin(*JOINED)
+    between = F.col("b.at").between(F.col("a.start"), F.col("a.stop")) & (~paired | (F.col("b.later") & (F.col("b.at")["t"] > F.col("a.start")["t"])))
+    joined = a.join(b, same("a", "b", ["case_id", "rule_id", "by", "slot"]) & (between | (F.col("a.first_event") == F.col("b.event_id"))))
+    found = joined.select("a.case_id", "a.rule_id", "a.first_event", F.col("b.at")["t"].alias("t"), "b.event_id")
+    single = named.where(~F.col("rule_id").isin([k for k, *_ in looks])).select("case_id", "rule_id", "first_event", "t", F.col("first_event").alias("event_id"))
+    return found.unionByName(single)
+
+
 def one_rule(rule: str, events: DataFrame, baselines: DataFrame | None, **params) -> DataFrame:
     return run_rules(events, baselines, {rule: params}, {rule: REGISTRY[rule]})
 

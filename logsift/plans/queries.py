@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import correlate, reports, rules, runs, timeline
 from ..operators.windows import DAY
 from ..sources.driver import EVENTS_SQL, baselines, dense_events, events
+from ..sources.store import written
 
 PARAMS = {"R004": {"width": 10 * DAY}, "R007": {"width": 2 * DAY}, "R008": {"width": 5 * DAY}, "R009": {"width": 10 * DAY, "threshold": 3}, "R011": {"width": 5 * DAY}, "R012": {"width": DAY}}
 DENSE = {"R009": {"threshold": 3}}
@@ -178,6 +179,8 @@ SELECT c.case_id, count(rule_id) AS alert_count, coalesce(string_agg(DISTINCT ru
 FROM c LEFT JOIN al USING (case_id) GROUP BY c.case_id"""
 SQL |= {
     "r13_ordered_alerts": f"""WITH al AS ({ALERTS_SQL}) SELECT case_id, rule_id, severity, t, event_ids, row_number() OVER (PARTITION BY case_id ORDER BY t, rule_id, event_ids) AS position FROM al""",
+    "r13_alert_events": f"""{EVENTS_SQL}, al AS ({ALERTS_SQL}), x AS (SELECT case_id, rule_id, string_split(event_ids, ',')[1] AS first_event, unnest(string_split(event_ids, ',')) AS event_id
+  FROM al WHERE severity = 'critical' OR rule_id IN ('R007', 'R012')) SELECT x.case_id, x.rule_id, x.first_event, ev.t, x.event_id FROM x JOIN ev ON x.case_id = ev.case_id AND x.event_id = ev.event_id""",
     "r13_intervals": f"""WITH al AS ({ALERTS_SQL}) SELECT case_id, rule_id, severity, user, t, description, string_split(event_ids, ',')[1] AS first_event, string_split(event_ids, ',')[-1] AS last_event,
   len(string_split(event_ids, ',')) AS n_events FROM al""",
     "r14_rule_results": _RESULTS,
@@ -213,6 +216,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f"r{k[1:]}": _rule(k) for k in rules.REGISTRY} | {f"r{k}_default": _default_rule(f"R{k}") for k in ("004", "007", "008", "009", "011", "012")} | {
     "r13_ordered_alerts": lambda spark, d: rules.ordered_alerts(alerts(spark, d)).select("case_id", "rule_id", "severity", "t", "event_ids", "position"),
+    "r13_alert_events": lambda spark, d: rules.alert_events(written(intervals(spark, d)).where("severity = 'critical' OR rule_id IN ('R007', 'R012')"), events(spark, d), PARAMS),
     "r13_intervals": lambda spark, d: intervals(spark, d).drop("timestamp", "rule_name"),
     "r14_rule_results": lambda spark, d: rules.rule_results(intervals(spark, d), events(spark, d)),
     "c1_credential_stuffing": _EB(correlate.credential_stuffing), "c2_unusual_login_ip": _EB(correlate.unusual_login_ip),

@@ -205,6 +205,26 @@ def test_intervals_are_the_ends_of_the_lists(spark):
     assert sorted(map(tuple, lists.collect())) == sorted(map(tuple, intervals(spark, SMALL).select(*cols).collect()))
 
 
+def test_events_of_named_alerts(spark):
+    """Ties, null users, a change at the time of its downloads, single events, and no alerts."""
+    acts = ["file_download"] * 4 + ["privilege_change"] + ["login_failed"] * 2 + ["login", "db_login"]
+    kinds = {"db_login": "database", "file_download": "file_access"}
+    draw = random.Random(5)
+    ev = table(spark, [dict(action=(a := draw.choice(acts)), source_type=kinds.get(a, "auth"), user=draw.choice(["u", "v", None]), t=draw.randrange(40) * 2 * MIN) for _ in range(150)])
+    args = {"R004": {"threshold": 2}, "R008": {"width": 9 * MIN}}
+    picked = {k: rules.REGISTRY[k] for k in ("R003", "R004", "R007", "R008", "R012")}
+    lists = rules.run_rules(ev, None, args, picked).collect()
+    want = sorted((r.rule_id, r.event_ids.split(",")[0], x) for r in lists for x in r.event_ids.split(","))
+    named = rules.run_rules(ev, None, args, picked, ids=False)
+    assert {r.rule_id for r in lists} == set(picked)
+    assert sorted((r.rule_id, r.first_event, r.event_id) for r in rules.alert_events(named, ev, args, picked).collect()) == want
+    one = named.where("rule_id = 'R008'").orderBy("first_event").limit(1)
+    first = one.first().first_event
+    assert sorted(r.event_id for r in rules.alert_events(one, ev, args, picked).collect()) == sorted(x for k, f, x in want if (k, f) == ("R008", first))
+    assert rules.alert_events(named.limit(0), ev, args, picked).count() == 0
+    assert rules.alert_events(named.where("rule_id = 'R003'"), ev, {}, {"R003": picked["R003"]}).count() == sum(k == "R003" for k, *_ in want)
+
+
 def test_sliced_sums_and_rows_before(spark):
     """A key of many slots, slots without rows between, null keys, null slots, null values and ties in all but the order."""
     import random
