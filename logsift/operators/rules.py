@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import MINUTE, followed_by, id_list, placed, same, sliding
+from .windows import MINUTE, followed_by, id_list, placed, same, sliding, sliding_runs
 
 ALERT = ["case_id", "rule_id", "rule_name", "severity", "user", "t", "timestamp", "event_ids", "description"]
 #: The same with the first and last event and their number in the place of all ids, so that no row grows with a window.
@@ -99,14 +99,19 @@ def row_alerts(events: DataFrame, baselines: DataFrame | None, rules: list[Row],
     return _named(rows.select("case_id", "_a.rule_id", "user", "t", "timestamp", *of, "_a.description", *keep), F.col("rule_id"), keep, ids)
 
 
-def window_alerts(events: DataFrame, rules: list[Windowed], ids: bool = True) -> DataFrame:
-    """Alerts of rules over windows, over one exchange of the events that any of them looks at."""
+def _looked(events: DataFrame, rules: list[Windowed], keep: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...], Column | None, Callable]:
+    """Events once for each rule that looks at them, with its key, width and weight; the kinds that count, where one hit of a time counts, and a choice by rule."""
     spec = [F.when(r.when, F.struct(F.lit(r.rule).alias("rule_id"), r.by.cast("string").alias("by"), F.lit(r.width).cast("long").alias("width"), (F.lit(1) if r.weight is None else r.weight).cast("long").alias("weight"))) for r in rules]
     pick = lambda of: reduce(lambda rest, r: F.when(F.col("rule_id") == r.rule, of(r)).otherwise(rest), rules, F.lit(None))
-    rows = events.select("case_id", "event_id", "timestamp", "t", "seq", "source_type", "user", F.explode(F.array_compact(F.array(*spec))).alias("_a"))
+    rows = events.select("case_id", "t", "seq", "source_type", "user", *keep, F.explode(F.array_compact(F.array(*spec))).alias("_a"))
     rows = rows.select("*", "_a.rule_id", "_a.by", "_a.width", "_a.weight").drop("_a")
     kinds = tuple(dict.fromkeys(k for r in rules for k in r.kinds))
-    once = F.col("rule_id").isin([r.rule for r in rules if r.kinds]) if kinds else None
+    return rows, kinds, F.col("rule_id").isin([r.rule for r in rules if r.kinds]) if kinds else None, pick
+
+
+def window_alerts(events: DataFrame, rules: list[Windowed], ids: bool = True) -> DataFrame:
+    """Alerts of rules over windows, over one exchange of the events that any of them looks at."""
+    rows, kinds, once, pick = _looked(events, rules, ("event_id", "timestamp"))
     found = sliding(rows, ["case_id", "rule_id", "by"], F.col("width"), pick(lambda r: r.hit), "weight", ("width",), kinds, once, ids)
     of = ["event_ids"] if ids else ["first_event", "last_event", F.col("n").cast("long").alias("n_events")]
     minutes = F.floor(F.col("width") / MINUTE)
@@ -114,6 +119,17 @@ def window_alerts(events: DataFrame, rules: list[Windowed], ids: bool = True) ->
     return _named(out.select("case_id", "rule_id", pick(lambda r: r.user).alias("user"), "t", "timestamp", *of, pick(lambda r: r.text).alias("description")), F.col("rule_id"), ids=ids)
 
 
+def window_runs(events: DataFrame, rules: list[Windowed], runs: int) -> DataFrame:
+    """case_id, rule_id, severity and run of each alert that window_alerts gives for the events of a run, of so many; events have the bitmap runs."""
+    rows, kinds, once, pick = _looked(events, rules, ("runs",))
+    found = sliding_runs(rows.drop("user"), ["case_id", "rule_id", "by"], F.col("width"), pick(lambda r: r.hit), runs, "weight", kinds, once)
+    return found.select("case_id", "rule_id", _severity(), "run")
+
+
+def _severity() -> Column:
+    return F.create_map(*(F.lit(x) for k, (_, severity) in RULES.items() for x in (k, severity)))[F.col("rule_id")].alias("severity")
+
+
 NO_USER = "N/A"
 _or_na = lambda c: F.coalesce(F.col(c), F.lit(NO_USER))
 
@@ -177,6 +193,13 @@ def privilege_then_download(events, width=30 * MINUTE, change="privilege_change"
     return _named(rows.select("case_id", F.lit("R008").alias("rule_id"), "user", "t", "timestamp", *(["event_ids"] if ids else ENDS), _text("R008", "timestamp", "n", width // MINUTE).alias("description")), F.col("rule_id"), ids=ids)
 
 
+def privilege_then_download_runs(events, width=30 * MINUTE, change="privilege_change", action="file_download") -> DataFrame:
+    """case_id, rule_id, severity and runs of each change: those that keep it and a download after it."""
+    pairs = followed_by(events.where(F.col("action") == change), events.where(F.col("action") == action), KEY, width)
+    rows = pairs.groupBy("c.case_id", "c.user", "c.t", "c.seq", "c.event_id").agg(F.bit_or(F.col("c.runs").bitwiseAND(F.col("d.runs"))).alias("runs"))
+    return rows.select("case_id", F.lit("R008").alias("rule_id"), "runs").select("case_id", "rule_id", _severity(), "runs")
+
+
 #: What makes each rule; R008 is a join and gives alerts itself. A caller's own rule is a function that gives a Row, a
 #: Windowed, or, from events, alerts.
 REGISTRY: dict[str, Callable] = {

@@ -6,17 +6,21 @@ A removal run (level, trial) takes away the level's percentage of a case's event
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .degrade import JITTERS, LEVELS, TRIALS, chain_in_order, moved, step_recall, verdict_correct
-from .rules import REGISTRY, Row, Windowed, row_alerts, run_rules
+from .rules import REGISTRY, Row, Windowed, privilege_then_download_runs, row_alerts, window_runs
 from .windows import HOUR
 
-#: First hexadecimal digits of a hash by which a case's events are counted before any are put in order.
+#: First hexadecimal digits of a hash by which a large case's events are counted before any are put in order.
 SLOT_DIGITS = 2
+#: Events of a case whose ids may meet in one row.
+WHOLE = 20_000
+LAST = "struct<h: string, seq: bigint>"
 
 
 def grid(levels: tuple[int, ...] = LEVELS, trials: int = TRIALS) -> list[tuple[int, int]]:
@@ -29,28 +33,46 @@ def bit(r: int | Column, column: str = "runs") -> Column:
     return F.shiftright(F.col(column), r).bitwiseAND(F.lit(1)) if isinstance(r, int) else F.call_function("shiftright", F.col(column), r).bitwiseAND(F.lit(1))
 
 
-def with_runs(events: DataFrame, levels: tuple[int, ...] = LEVELS, trials: int = TRIALS, seed: int = 42) -> DataFrame:
+def with_runs(events: DataFrame, levels: tuple[int, ...] = LEVELS, trials: int = TRIALS, seed: int = 42, whole: int = WHOLE) -> DataFrame:
     """events with runs, the bitmap of the runs (by place in grid) that keep each.
 
-    A case's events are counted by run and hash slot; only those of the slot in which a run's cut falls are put in order, to
-    find the last one it takes. Events are read three times and never copied by run, whatever a case's share of them.
+    Of a case of up to whole events the last one that each run takes is found among its ids, which meet in one row; of a
+    larger one by hash slots. Hashes are worked out where they are compared and never exchanged. Only case_id, event_id and
+    seq are used: callers that need no other columns should give no others.
     """
     plan = grid(levels, trials)
-    table = ", ".join(f"'|{p}|{k}|{seed}'" for p, k in plan)
-    hashed = events.withColumn("_h", F.expr(f"transform(array({table}), x -> md5(concat(event_id, x)))"))
+    text = lambda p, k: F.lit(f"|{p}|{k}|{seed}")
+    large = F.broadcast(events.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select("case_id"))
+    ids = events.select("case_id", "event_id", "seq")
+    last = _last_of_small(ids.join(large, "case_id", "left_anti"), plan, text).unionByName(_last_of_large(ids.join(large, "case_id", "left_semi"), plan, text))
+    gone = lambda r, p, k: F.struct(F.md5(F.concat("event_id", text(p, k))).alias("h"), F.col("seq").alias("seq")) <= F.get("_last", F.lit(r))
+    drop = reduce(Column.bitwiseOR, [F.when(gone(r, p, k), F.lit(1 << r)).otherwise(F.lit(0)).cast("long") for r, (p, k) in enumerate(plan)])
+    every = (1 << len(plan)) - 1
+    return events.join(last.hint("shuffle_hash"), "case_id", "left").withColumn("runs", F.lit(every).cast("long").bitwiseXOR(drop)).drop("_last")
+
+
+def _last_of_small(ids: DataFrame, plan: list[tuple[int, int]], text: Callable[[int, int], Column]) -> DataFrame:
+    """case_id and _last: hash and seq of the last event that each run takes, null for a run that takes none."""
+    rows = ids.groupBy("case_id").agg(F.collect_list(F.struct("event_id", "seq")).alias("_e"))
+    ranked = lambda p, k: F.sort_array(F.transform("_e", lambda x: F.struct(F.md5(F.concat(x["event_id"], text(p, k))).alias("h"), x["seq"].alias("seq"))))
+    cut = lambda p: F.floor(F.size("_e") * p / 100).cast("int")
+    return rows.select("case_id", F.array(*(F.when(cut(p) > 0, F.get(ranked(p, k), cut(p) - 1)).cast(LAST) if p else F.lit(None).cast(LAST) for p, k in plan)).alias("_last"))
+
+
+def _last_of_large(ids: DataFrame, plan: list[tuple[int, int]], text: Callable[[int, int], Column]) -> DataFrame:
+    """The same of cases of any size: events are counted by run and hash slot, and only those of the slot in which a run's cut
+    falls are put in order, so a case is many tasks' work."""
+    hashed = ids.withColumn("_h", F.array(*(F.md5(F.concat("event_id", text(p, k))) for p, k in plan)))
     slot = lambda h: F.substring(h, 1, SLOT_DIGITS)
     counts = hashed.select("case_id", F.posexplode(F.transform("_h", slot)).alias("run", "slot")).groupBy("case_id", "run", "slot").agg(F.count(F.lit(1)).alias("n"))
     level = F.array(*(F.lit(p) for p, _ in plan))[F.col("run")]
     by = Window.partitionBy("case_id", "run")
     counts = counts.withColumn("through", F.sum("n").over(by.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))).withColumn("cut", F.floor(F.sum("n").over(by) * level / 100))
     cuts = counts.where("through >= cut and through - n < cut").groupBy("case_id").agg(F.collect_list(F.struct("run", "slot", (F.col("cut") - F.col("through") + F.col("n")).alias("need"))).alias("_cuts"))
-    near = hashed.select("case_id", "seq", "_h").join(cuts, "case_id").withColumn("_c", F.explode(F.filter("_cuts", lambda c: slot(F.get(F.col("_h"), c["run"])) == c["slot"])))
+    near = hashed.join(F.broadcast(cuts), "case_id").withColumn("_c", F.explode(F.filter("_cuts", lambda c: slot(F.get(F.col("_h"), c["run"])).eqNullSafe(c["slot"]))))
     near = near.select("case_id", "_c.run", "_c.need", F.struct(F.get(F.col("_h"), F.col("_c.run")).alias("h"), "seq").alias("last"))
-    last = near.withColumn("_k", F.row_number().over(by.orderBy("last"))).where("_k = need").groupBy("case_id").agg(F.collect_list(F.struct("run", "last")).alias("_last"))
-    gone = lambda c: F.struct(F.get(F.col("_h"), c["run"]).alias("h"), F.col("seq").alias("seq")) <= c["last"]
-    drop = F.aggregate(F.filter(F.coalesce("_last", F.array().cast("array<struct<run: int, last: struct<h: string, seq: bigint>>>")), gone), F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c["run"])))
-    whole = (1 << len(plan)) - 1
-    return hashed.join(last, "case_id", "left").withColumn("runs", F.lit(whole).cast("long").bitwiseXOR(drop)).drop("_h", "_last")
+    found = near.withColumn("_k", F.row_number().over(by.orderBy("last"))).where("_k = need")
+    return found.groupBy("case_id").agg(F.array(*(F.max(F.when(F.col("run") == r, F.col("last"))).cast(LAST) for r in range(len(plan)))).alias("_last"))
 
 
 def unfolded(rows: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
@@ -76,21 +98,19 @@ def run_name(*columns: str) -> Column:
 def degraded_results(events: DataFrame, baselines: DataFrame, params: dict[str, dict] | None = None, levels: tuple[int, ...] = LEVELS, trials: int = TRIALS, suspicious: int = 3) -> DataFrame:
     """alert_count, number of distinct rules, and verdict of every removal run of events with runs (case_id#level#trial).
 
-    Rules over single events run once, their alerts count for all runs that keep the event. Rules over windows and pairs run
-    over the copies of the events they look at. suspicious needs as many warnings.
+    Rules over single events run once, their alerts count for all runs that keep the event. So do pairs, for the runs that keep
+    both, and windows, which count the events of each run beside each other. suspicious needs as many warnings.
     """
     plan, args = grid(levels, trials), params or {}
     made = {k: f(**args.get(k, {})) for k, f in REGISTRY.items() if k != "R008"}
-    single = [r for r in made.values() if isinstance(r, Row)]
-    of_row = row_alerts(events, baselines, single, ("runs",), ids=False).groupBy("case_id", "rule_id", "severity").agg(_kept(plan))
-    pair = args.get("R008", {})
-    looked = reduce(lambda a, b: a | b, [F.coalesce(r.when, F.lit(False)) for r in made.values() if isinstance(r, Windowed)]) | F.col("action").isin(pair.get("change", "privilege_change"), pair.get("action", "file_download"))
-    copies = unfolded(events.where(looked), plan)
-    copies = copies.withColumn("case_id", run_name("case_id", "level", "trial")).drop("level", "trial")
-    rest = run_rules(copies, None, args, {k: f for k, f in REGISTRY.items() if k == "R008" or isinstance(made.get(k), Windowed)}, ids=False)
+    single = row_alerts(events, baselines, [r for r in made.values() if isinstance(r, Row)], ("runs",), ids=False)
+    columns = ("case_id", "rule_id", "severity")
+    once = single.select(*columns, "runs").unionByName(privilege_then_download_runs(events, **args.get("R008", {})))
     name = run_name("case_id", "level", "trial").alias("case_id")
-    all_ = _per_run(of_row, plan, "case_id", "rule_id", "severity").where("n > 0").select(name, "rule_id", "severity", "n")
-    all_ = all_.unionByName(rest.groupBy("case_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n")))
+    all_ = _per_run(once.groupBy(*columns).agg(_kept(plan)), plan, *columns).where("n > 0").select(name, "rule_id", "severity", "n")
+    windows = window_runs(events, [r for r in made.values() if isinstance(r, Windowed)], len(plan)).groupBy(*columns, "run").agg(F.count(F.lit(1)).alias("n"))
+    runs = F.array(*(F.struct(F.lit(p).alias("level"), F.lit(k).alias("trial")) for p, k in plan))
+    all_ = all_.unionByName(windows.withColumn("_g", F.get(runs, F.col("run"))).select("*", "_g.*").select(name, "rule_id", "severity", "n"))
     kind = lambda s: F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0))
     sums = all_.groupBy("case_id").agg(F.sum("n").alias("n"), F.countDistinct("rule_id").alias("k"), kind("critical").alias("c"), kind("warning").alias("w"))
     cases = _per_run(events.groupBy("case_id").agg(_kept(plan)), plan, "case_id").where("n > 0").select(name)

@@ -34,12 +34,6 @@ def attach_ids(found: DataFrame, rows: DataFrame, keys: list[str], columns: list
     return joined.groupBy(*(F.col(f"a.{c}") for c in cols)).agg(id_list(F.collect_list(F.struct(F.col("b.rn").alias("rn"), F.col("b.event_id").alias("event_id")))).alias("event_ids"))
 
 
-def attach_ends(found: DataFrame, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """found (keys, rn, last, event_id) with first_event and last_event: what attach_ids lists, as an interval of places."""
-    joined = found.alias("a").join(rows.select(*keys, "rn", "event_id").alias("b"), same("a", "b", keys) & (F.col("a.last") == F.col("b.rn")))
-    return joined.select(*(f"a.{c}" for c in dict.fromkeys([*keys, "rn", "last", *columns])), F.col("a.event_id").alias("first_event"), F.col("b.event_id").alias("last_event"))
-
-
 def sliced(rows: DataFrame, width: Column, before: int, after: int) -> DataFrame:
     """rows with a time, by slice (_s) of SLICE widths; _own is false for those that only help a slice next to theirs.
 
@@ -70,7 +64,8 @@ def sliding(
     row beyond the hit's before. Where once is true, the first hit of each time counts instead. Gives keys, t, seq,
     timestamp, n, total, found_kinds, columns and event_ids. Events without a time are in no window.
 
-    Without ids a window has its first and last event in their place: one row for each hit, however many events it holds.
+    Without ids a window has its first and last event in their place: one row for each hit, however many events it holds. The
+    last one comes with the running counts, so rows meet by exchange once only.
     """
     width = F.lit(width).cast("long") if isinstance(width, int) else width
     weight = F.lit(1) if weight is None else F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0))
@@ -81,6 +76,7 @@ def sliding(
     by_then = Window.partitionBy(*part).orderBy("_at", "_end", "t", "seq").rowsBetween(Window.unboundedPreceding, 0)
     come = F.col("_end") == 0
     ends = ends.withColumn("last", F.max(F.when(come, F.col("rn"))).over(by_then)).withColumn("top", F.max(F.when(come, F.col("cum"))).over(by_then))
+    ends = ends.withColumn("last_event", F.max(F.when(come, F.struct("rn", "event_id"))).over(by_then)["event_id"])
     latest = F.array(*(F.struct(F.lit(k).alias("kind"), F.max(F.when(come & (F.col("source_type") == k), F.col("rn"))).over(by_then).alias("rn")) for k in sorted(kinds)))
     if kinds:
         ends = ends.withColumn("_latest", latest).where("_end = 1").withColumn("found_kinds", F.transform(F.filter("_latest", lambda x: x["rn"] >= F.col("rn")), lambda x: x["kind"]))
@@ -93,7 +89,37 @@ def sliding(
     if once is not None:
         fresh = F.when(once, F.coalesce(F.col("_t") != F.col("t"), F.lit(True))).otherwise(fresh)
     hits, of_hit = hits.where(fresh & F.col("_own")), ["t", "seq", "timestamp", "n", "total", "found_kinds", *columns]
-    return attach_ids(hits, rows, part, of_hit) if ids else attach_ends(hits, rows, part, of_hit)
+    return attach_ids(hits, rows, part, of_hit) if ids else hits.select(*part, "rn", "last", *of_hit, F.col("event_id").alias("first_event"), "last_event")
+
+
+def sliding_runs(events: DataFrame, keys: list[str], width: Column, hit: Column, runs: int, weight: Column | str, kinds: tuple[str, ...] = (), once: Column | None = None) -> DataFrame:
+    """keys and run of each window that sliding() finds among the events of a run; runs, a column, has bit r set for the
+    events of run r, of so many. Events aren't copied by run: each has its running counts of all runs beside each other, and
+    only windows are told apart.
+    """
+    part, of = [*keys, "_s"], range(runs)
+    weight = F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0)).cast("long")
+    has = lambda r: F.col("runs").bitwiseAND(F.lit(1 << r).cast("long")) != 0
+    rows = sliced(events.withColumn("_width", width).withColumn("_weight", weight), F.col("_width"), 1, 1)
+    through = Window.partitionBy(*part).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *(F.sum(F.when(has(r), v).otherwise(F.lit(0))).over(through).alias(f"{c}{r}") for r in of for c, v in (("_rn", F.lit(1)), ("_cum", F.col("_weight")))))
+    ends = rows.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_at", F.col("t") + F.col("_end") * F.col("_width"))
+    by_then = Window.partitionBy(*part).orderBy("_at", "_end", "t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    top = lambda c, r, when=F.lit(True): F.max(F.when((F.col("_end") == 0) & when, F.col(f"{c}{r}"))).over(by_then)
+    tops = [top(c, r).alias(f"_top{c}{r}") for r in of for c in ("_rn", "_cum")]
+    ends = ends.select("*", *tops, *(top("_rn", r, (F.col("source_type") == k) & has(r)).alias(f"_kind{i}_{r}") for r in of for i, k in enumerate(kinds))).where("_end = 1")
+    n_kinds = lambda r: reduce(lambda a, b: a + b, (F.when(F.col(f"_kind{i}_{r}") >= F.col(f"_rn{r}"), 1).otherwise(0) for i in range(len(kinds))), F.lit(0))
+    windows = [
+        F.when(has(r), F.struct(F.lit(r).alias("run"), F.col(f"_top_rn{r}").alias("last"), (F.col(f"_top_rn{r}") - F.col(f"_rn{r}") + 1).alias("n"), (F.col(f"_top_cum{r}") - F.col(f"_cum{r}") + F.col("_weight")).alias("total"), n_kinds(r).alias("n_kinds")))
+        for r in of
+    ]
+    found = ends.select(*part, "t", "seq", "_own", F.explode(F.array_compact(F.array(*windows))).alias("_w")).select(*part, "t", "seq", "_own", "_w.*").where(hit)
+    order = Window.partitionBy(*part, "run").orderBy("t", "seq")
+    found = found.withColumn("_last", F.lag("last").over(order)).withColumn("_t", F.lag("t").over(order))
+    fresh = F.col("last") > F.coalesce("_last", F.lit(0))
+    if once is not None:
+        fresh = F.when(once, F.coalesce(F.col("_t") != F.col("t"), F.lit(True))).otherwise(fresh)
+    return found.where(fresh & F.col("_own")).select(*keys, "run")
 
 
 def trailing(events: DataFrame, keys: list[str], width: int, threshold: int) -> DataFrame:

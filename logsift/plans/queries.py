@@ -233,5 +233,5 @@ QUERIES = {f"r{k[1:]}": _rule(k) for k in rules.REGISTRY} | {f"r{k}_default": _d
     "c5_activity_chunks": _EB(correlate.activity_chunks, size=20),
     "tl4_groups": _EV(timeline.groups), "tl4_summary": _EV(timeline.summary), "x1_session_hijack": _EV(correlate.session_hijack), "x2_low_and_slow": _EB(correlate.low_and_slow, days=2),
     "x3_failed_only": _EV(correlate.failed_only), "x4_login_after_access": _EV(correlate.login_after_access),
-    "d2_by_source": _EV(reports.by_source), "s1_removal": _EV(lambda e: runs.unfolded(runs.with_runs(e), runs.grid()).groupBy("case_id", "level", "trial").agg(F.count(F.lit(1)).alias("events"))),
+    "d2_by_source": _EV(reports.by_source), "s1_removal": _EV(lambda e: runs.unfolded(runs.with_runs(e.select("case_id", "event_id", "seq")), runs.grid()).groupBy("case_id", "level", "trial").agg(F.count(F.lit(1)).alias("events"))),
 }

@@ -35,13 +35,18 @@ def bitmaps(spark: SparkSession, d: str) -> DataFrame:
     return written(runs.with_runs(events(spark, d)))
 
 
+def citable(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the events with the runs that keep them."""
+    return written(runs.with_runs(events(spark, d).select("case_id", "event_id", "seq")))
+
+
 def degraded_results(spark: SparkSession, d: str) -> DataFrame:
     """Rule results of every removal run. Only the runs of rules over single events and of R008 depend on no width."""
     return runs.degraded_results(bitmaps(spark, d), baselines(spark, d), PARAMS)
 
 
 def removal_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = runs.removal_scores(written(answers(spark, d)), written(truth(spark, d)), bitmaps(spark, d))
+    rows = runs.removal_scores(written(answers(spark, d)), written(truth(spark, d)), citable(spark, d))
     return rows.withColumn("case_id", runs.run_name("case_id", "level", "trial")).drop("trial")
 
 
@@ -57,7 +62,7 @@ def all_run_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of removal and jitter runs and of both modes. Events of the jitter runs are those in compressed time."""
     an, tr = written(answers(spark, d)), written(truth(spark, d))
     modes = runs.mode_scores({"raw_logs": raw_answers(an), "full_pipeline": an}, tr, events(spark, d))
-    return runs.all_scores(runs.removal_scores(an, tr, bitmaps(spark, d)), runs.jitter_scores(an, tr, dense_events(spark, d)), modes)
+    return runs.all_scores(runs.removal_scores(an, tr, citable(spark, d)), runs.jitter_scores(an, tr, dense_events(spark, d)), modes)
 
 
 def jitter_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +151,7 @@ QUERIES = {
     "n17_one_case": lambda s, d: reports.select_case(results(s, d), "case_3"),
     "l2_evidence": documents_of_evidence,
     "l2_evidence_parts": parts_of_evidence,
-    "s1_kept_events": lambda s, d: runs.unfolded(runs.with_runs(events(s, d)), runs.grid()).select("case_id", "level", "trial", "event_id"),
+    "s1_kept_events": lambda s, d: runs.unfolded(runs.with_runs(events(s, d).select("case_id", "event_id", "seq")), runs.grid()).select("case_id", "level", "trial", "event_id"),
     "s3_jittered": lambda s, d: degrade.jitter(events(s, d), 30 * 60_000_000).select("case_id", "event_id", "t"),
     "s4_order_kept": jitter_orders,
     "s5_chain_order": lambda s, d: degrade.chain_in_order(answers(s, d)),

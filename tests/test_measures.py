@@ -8,9 +8,9 @@ from logsift.operators import answers as A
 from logsift.operators import claims as C
 from logsift.operators import evaluate as E
 from logsift.operators import measures as M
-from logsift.operators import runs
+from logsift.operators import rules, runs
 from logsift.plans.cases import answers, truth
-from logsift.sources.driver import events
+from logsift.sources.driver import baselines, events
 
 from .conftest import SMALL
 
@@ -141,3 +141,47 @@ def test_modes_and_accuracy(spark):
     scores = runs.all_scores(runs.removal_scores(an, tr, runs.with_runs(ev)), runs.jitter_scores(an, tr, ev, (0,)), runs.mode_scores({"whole": an}, tr, ev))
     level = {(r.kind, r.level): r.runs for r in runs.accuracy_by_run(scores).collect()}
     assert level == {("removal", "0"): 2, **{("removal", str(p)): 6 for p in (20, 40, 60, 80)}, ("jitter", "0"): 2, ("mode", "whole"): 3}
+
+
+def test_removal_exchanges_no_hashes(spark):
+    ev = events(spark, SMALL)
+    plan = runs.with_runs(ev)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    depth = plan[join + 1].index(":")
+    side = [line for line in plan[join + 1 :] if line[depth : depth + 1] == ":"]  # the events that meet the cuts
+    assert any("md5(" in line for line in plan[:join]) and side and not any("md5(" in line for line in side)
+
+
+def test_large_cases_have_the_same_runs(spark):
+    ev = events(spark, SMALL)
+    by = lambda rows: {(r.case_id, r.event_id): r.runs for r in rows.collect()}
+    assert by(runs.with_runs(ev, whole=300)) == by(runs.with_runs(ev)) == by(runs.with_runs(ev, whole=0))
+
+
+def test_windows_of_all_runs_equal_each_run_alone(spark):
+    hour, rows = 3_600_000_000, []
+    kinds = [("auth", "login", None), ("database", "db_login", None), ("network", "dns_query", None), ("network", "firewall_allow", 40 << 20), ("file_access", "file_download", None), ("auth", "login_failed", None), ("admin", "privilege_change", None)]
+    for i in range(420):
+        source, action, size = kinds[(i * 5 + i // 7) % 7]
+        rows.append((f"c{i % 2}", f"e{i}", None if i % 41 == 0 else (i // 3) * hour // 20, "2024", i, source, action, f"u{i % 3}" if i % 5 else None, "d.org", size))
+    ev = spark.createDataFrame(rows, "case_id string, event_id string, t long, timestamp string, seq long, source_type string, action string, user string, resource string, bytes long").withColumn("runs", F.xxhash64("event_id").bitwiseAND(F.lit(7)))
+    made = [rules.bulk_download(hour, 2), rules.failed_login_spike(hour), rules.dns_tunnel(hour, 2), rules.exfiltration_volume(hour), rules.lateral_movement(hour)]
+    tell = lambda rows: sorted((r.case_id, r.rule_id, r.severity, r.n) for r in rows.groupBy("case_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n")).collect())
+    together, pairs = rules.window_runs(ev, made, 3).cache(), rules.privilege_then_download_runs(ev, hour).cache()
+    for r in range(3):
+        kept = ev.where(runs.bit(r) == 1)
+        want = tell(rules.window_alerts(kept, made, ids=False))
+        assert {x[1] for x in want} == {"R004", "R007", "R009", "R011", "R012"} and tell(together.where(F.col("run") == r)) == want
+        assert tell(pairs.where(runs.bit(r) == 1)) == tell(rules.privilege_then_download(kept, hour, ids=False)) != []
+
+
+def test_degraded_results_copy_no_events(spark):
+    ev = runs.with_runs(events(spark, SMALL)).localCheckpoint()
+    plan = runs.degraded_results(ev, baselines(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    # case_id is put together with level and trial in rows of sums only, none of which feeds a window
+    assert not any("concat_ws(#" in line for line in plan[plan.rindex("Window [") :].splitlines())
+
+
+def test_intervals_meet_in_one_exchange(spark):
+    rows = rules.window_alerts(events(spark, SMALL), [rules.bulk_download(), rules.failed_login_spike()], ids=False)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
