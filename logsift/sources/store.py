@@ -47,7 +47,12 @@ def write_by_case(rows: DataFrame, path: str, form: str = "parquet") -> None:
 
 def read_case(spark: SparkSession, path: str, schema: str, case_id: str, form: str = "parquet") -> DataFrame:
     """The rows of one case, whose folder alone is read; a case that isn't there has none."""
-    return spark.read.schema(f"{schema}, case_id string").format(form).load(path).where(F.col("case_id") == case_id)
+    reader = spark.read.schema(f"{schema}, case_id string").format(form)
+    if re.fullmatch(r"[A-Za-z0-9_-]+", case_id):  # the folder's name as it is, so no other is listed
+        jvm, files = _files(spark, path)
+        folder = f"{path}/case_id={case_id}"
+        reader, path = reader.option("basePath", path), folder if files.exists(jvm.Path(folder)) else path
+    return reader.load(path).where(F.col("case_id") == case_id)
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

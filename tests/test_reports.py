@@ -126,3 +126,23 @@ def test_evidence_put_together_equals_the_whole(spark):
     for row in whole.limit(3).collect():
         assert [tuple(r) for r in reports.evidence_of(parts, row.case_id).collect()] == [tuple(row)]
     assert reports.evidence_of(parts, "none").count() == 0 and parts.agg(F.max("n")).first()[0] == 7
+
+
+def test_one_case_is_read_from_its_folder_alone(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("x y", 3)], "case_id string, n long")
+    store.write_by_case(rows, f"{tmp_path}/cases")
+    found = store.read_case(spark, f"{tmp_path}/cases", "n long", "b")
+    assert found.inputFiles() and all("case_id=b" in f for f in found.inputFiles()) and [tuple(r) for r in found.collect()] == [(2, "b")]
+    assert [r.n for r in store.read_case(spark, f"{tmp_path}/cases", "n long", "x y").collect()] == [3]
+    assert store.read_case(spark, f"{tmp_path}/cases", "n long", "none").count() == 0
+
+
+def test_details_run_the_rules_once(spark, monkeypatch):
+    from logsift.plans import cases
+    from logsift.plans import reports as plans
+
+    def again(*_):
+        raise AssertionError("the alerts are there already")
+
+    monkeypatch.setattr(cases, "intervals", again)
+    assert plans.details(spark, SMALL).count() == 3
