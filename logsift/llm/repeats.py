@@ -154,6 +154,18 @@ def _unpacked(n: int, meta: bytes, body: bytes) -> tuple[np.ndarray, bytes]:
     return rows, pa.decompress(body, int(rows["size"].sum()), codec="zstd", asbytes=True)
 
 
+def _joined(meta: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Settled snippets of a row whose windows follow each other as one, so that a copy gives one row, not one for each anchor."""
+    if not len(meta):
+        return meta, bodies
+    done = meta["size"] == 0
+    follows = done[1:] & done[:-1] & (meta["rid"][1:] == meta["rid"][:-1]) & (meta["start"][1:] == meta["start"][:-1] + meta["windows"][:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~follows)))
+    out = meta[first]
+    out["windows"] = np.add.reduceat(meta["windows"], first)
+    return out, [bodies[i] for i in first.tolist()]
+
+
 def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
     def cut(c: Chunk, rid: np.ndarray, known: list, seen: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, list[bytes]]:
         a, b = c.stretches()
@@ -188,7 +200,7 @@ def _snippets(kind: Kind, buckets: int, common: np.ndarray) -> Callable:
                 body = b""  # all its windows stand earlier in this task
             meta[k] = (keys[i], *here, count[i], len(body))
             bodies.append(body)
-        return meta, bodies
+        return _joined(meta, bodies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}

@@ -1,5 +1,5 @@
 """Robustness runs as bitmaps: each event carries the set of runs that keep it, a bit for each, so that rules over single events,
-citations and counts are worked out once for all runs. Only events that window rules look at are copied by run.
+citations and counts are worked out once for all runs, and window rules count all runs beside each other. No event is copied by run.
 
 A removal run (level, trial) takes away the level's percentage of a case's events, rounded down, those with the least seeded hash.
 """

@@ -372,3 +372,14 @@ def test_words_of_one_text_with_many_copies_tell_nothing():
     bad += [(f, sign([f"own{i}x{k}" for k in range(50)])) for i, f in enumerate(others)]
     assert toxicity.spread(bad, {"idiot": 0, "lamp": 0}, 0.1) == {"idiot"}
     assert toxicity.spread([], {}, 0.1) == set()
+
+
+def test_settled_snippets_of_a_copy_are_one_row():
+    import numpy as np
+
+    from logsift.llm.repeats import META, _joined
+
+    meta = np.array([(9, 1, 0, 4, 0), (8, 1, 4, 3, 0), (7, 1, 7, 2, 60), (6, 1, 9, 5, 0), (5, 1, 15, 1, 0), (4, 2, 16, 1, 0), (3, 2, 17, 2, 0)], META)
+    out, bodies = _joined(meta, [b"", b"", b"x", b"", b"", b"", b""])
+    assert [tuple(r)[1:] for r in out.tolist()] == [(1, 0, 7, 0), (1, 7, 2, 60), (1, 9, 5, 0), (1, 15, 1, 0), (2, 16, 3, 0)] and bodies == [b"", b"x", b"", b"", b""]
+    assert len(_joined(meta[:0], [])[0]) == 0
